@@ -68,7 +68,7 @@ def windows(sums: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     _, down = powers(len(sums))
-    return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size) * M2)
+    return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size * int(M2) & (2**64 - 1)))
 
 
 BYTES = random_table(7, 256)
