@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, sql
 from .decontamination import find_contamination, report
 from .packing import pack
+from .passages import dedup_passages
 from .pii import find_pii
 from .quality import quality
+from .suffixes import dedup_substrings
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -28,6 +30,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), size=200).drop("ranges")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), bpe(), end_id=0))
 
@@ -55,17 +61,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents"), size=50).drop("ranges")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
+    "op10_passages": op10_passages,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.contamination(),
     "op5_chat": sql.chats(),
     "op6_quality": sql.quality(),
+    "op10_passages": sql.passages(),
 }

@@ -65,3 +65,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(head) + length(body) + 24) AS BIGINT) AS formatted_chars
 FROM x GROUP BY conv_id"""
+
+
+def passages(docs: str = "documents", size: int = 50) -> str:
+    return f"""
+WITH t AS (SELECT doc_id, {BLANK_WORDS} AS w FROM {docs}),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {size - 1}], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size} + 2)) AS i FROM t WHERE len(w) >= {size})),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM win) WHERE owner < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {size})) AS p FROM hit),
+lost AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS x FROM (
+           SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+FROM t LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
