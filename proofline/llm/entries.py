@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, sql
 from .decontamination import find_contamination, report
+from .near_dups import link
 from .packing import pack
 from .passages import dedup_passages
 from .pii import find_pii
@@ -30,6 +31,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), size=200).drop("ranges")
 
@@ -67,6 +72,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_near_dups": op2_near_dups,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_chat": op5_chat,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.contamination(),
+    "op2_near_dups": sql.near_dups(),
     "op5_chat": sql.chats(),
     "op6_quality": sql.quality(),
     "op10_passages": sql.passages(),

@@ -79,3 +79,17 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS x FROM (
            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
 FROM t LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def near_dups(docs: str = "documents", size: int = 3, percent: int = 85) -> str:
+    words = rf"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), [])"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, {words} AS w FROM {docs}),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, w, least(len(w), {size}) AS k, unnest(range(1, len(w) - least(len(w), {size}) + 2)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM t UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, t.doc_id = c AS kept
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) USING (doc_id)"""
