@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +70,15 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+
+
+#: Rows of ids (16 bytes each) that ``without`` broadcasts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids``; a null id equals a null id."""
+    gone = stage(ids.select(F.col("doc_id").alias("gone")).distinct(), f"{shared_dir(docs.sparkSession)}/ids")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")

@@ -5,14 +5,17 @@ has ``chunks * width`` symbols, each 16 bits of a minimum. Two signatures that d
 in fewer than ``2 * chunks`` symbols have, by the pigeonhole principle, a chunk with
 one wrong symbol at most; the allowed errors are enumerated by leaving out each
 symbol of each chunk in turn, so such a pair always shares a key. At the similarity
-asked for, a pair shares none with a chance under 2e-8.
+asked for (0.85), a pair shares none with a chance under 2e-8.
 
 Classes that share a key are compared without making all pairs of a group: first
-each with the least class of the key, then, for keys whose classes are still in
-several components, each with other members in turn (hubs drawn anew each round), and at last,
-for keys that still hold several components, all pairs across components whose sizes
-and signatures allow a link. Every link is confirmed on full sets. Links within one
-component cannot change the result, so nothing is lost.
+each with the least class of the key, then, for keys whose classes are still in several
+components, each with another member, drawn by hash, and at last, for keys
+that still hold several components, all pairs across components that can be linked
+at all: the shingles that a class shares with any other class of such keys bound its
+similarity to each, and an odd sketch of each set bounds how many shingles a pair
+does not share; both rule out pairs of heavily edited copies in the join itself.
+Every link is confirmed on full sets. Links within one component cannot change the
+result, so nothing is lost.
 
 A null text, or one without words, has an empty set and no links. Rows with one
 doc_id are linked only through their texts. A null doc_id is never the smallest
@@ -34,6 +37,8 @@ from .hashing import NOT_BLANK, Words, mix, random_table
 
 #: Candidates' ids are broadcast up to so many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: 64-bit words of an odd sketch.
+SKETCH = 16
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +133,46 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, cid bigint, hub bigint")
 
 
+def able_to_link(active: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """cid, n, held of the active classes that can have a link to another one.
+
+    held: how many of a class's shingles another active class has too. Shingles of
+    its own lower the similarity to any partner, so a class with many cannot link.
+    """
+
+    def run(batches):
+        for b in batches:
+            raw, off = texts_of(b.column(1))
+            for lo, hi in runs_of(off):
+                doc, h = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(b.column(0).to_numpy()[lo:hi][doc])], ["key", "cid"])
+
+    rows = texts.join(active.select("cid").distinct(), "cid").select("cid", "text").mapInArrow(run, "key bigint, cid bigint")
+    held = shared_keys(rows).groupBy("cid").agg(F.count("*").alias("held"))
+    return held.join(sizes, "cid").filter(F.col("held") * 100 >= F.col("n") * percent).select("cid", "n", "held")
+
+
+def sketched(able: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``able`` with an odd sketch: bit i is the parity of the shingles dealt to it.
+
+    The bits in which two sketches differ are never more than the shingles that only
+    one of the sets has: a bound that no link breaks.
+    """
+
+    def run(batches):
+        for b in batches:
+            raw, off = texts_of(b.column("text"))
+            for lo, hi in runs_of(off):
+                doc, h = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                bit = doc * (64 * SKETCH) + (h >> np.uint64(32)).astype(np.int64) % (64 * SKETCH)
+                odd = (np.bincount(bit, minlength=(hi - lo) * 64 * SKETCH) & 1).astype(np.uint8)
+                longs = np.packbits(odd).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, SKETCH, dtype=np.int32)), pa.array(longs))
+                yield pa.record_batch([*(b.column(c).slice(lo, hi - lo) for c in ("cid", "n", "held")), sketch], ["cid", "n", "held", "sketch"])
+
+    return able.join(texts, "cid").mapInArrow(run, "cid bigint, n bigint, held bigint, sketch array<bigint>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -170,7 +215,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def link(docs: DataFrame, size: int = 3, percent: int = 85, chunks: int = 10, width: int = 5, rounds: int = 3) -> DataFrame:
+def link(docs: DataFrame, size: int = 3, percent: int = 85, chunks: int = 10, width: int = 5, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     signed = stage(signatures(docs, size, chunks * width), f"{folder}/signed")
@@ -187,8 +232,12 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, chunks: int = 10, wi
     active = shared.select("key", "cid", F.col("cid").alias("comp"), "hub")
     for turn in range(rounds + 1):
         if turn == rounds:  # all that is left
-            x, y = (active.join(sizes, "cid").select("key", F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-            near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+            able = stage(able_to_link(active, texts, sizes, size, percent), f"{folder}/able")
+            able = stage(sketched(able, texts, size), f"{folder}/sketched")
+            x, y = (active.join(able, "cid").select("key", F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("held").alias(f"held_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+            most = F.least("held_a", "held_b", "n_a", "n_b")  # more than that the two sets cannot share
+            apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
+            near = (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
             pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & near).select("a", "b").distinct()
         else:
             pairs = active.filter("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()

@@ -109,6 +109,14 @@ def measure(raw: np.ndarray, off: np.ndarray, min_repeat: int) -> dict[str, np.n
     return out
 
 
+def verdicts(m: dict[str, np.ndarray], min_words: int, min_repeat: int, max_covered: int, max_longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept from the counts."""
+    n = m["n_words"]
+    failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
+    long = (m["longest_repeat"] >= min_repeat) & (100 * m["longest_repeat"] > max_longest * n)
+    return failed, ~failed & ~(100 * m["n_covered"] > max_covered * n) & ~long
+
+
 def quality(docs: DataFrame, min_words: int = 50, min_repeat: int = 8, max_covered: int = 40, max_longest: int = 30) -> DataFrame:
     """Counts, base_failed and kept of every document; limits are percents of its words."""
 
@@ -117,10 +125,23 @@ def quality(docs: DataFrame, min_words: int = 50, min_repeat: int = 8, max_cover
             raw, off = texts_of(b.column(1))
             for lo, hi in chunks(off):
                 m = measure(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], min_repeat)
-                n = m["n_words"]
-                failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
-                long = (m["longest_repeat"] >= min_repeat) & (100 * m["longest_repeat"] > max_longest * n)
-                kept = ~failed & ~(100 * m["n_covered"] > max_covered * n) & ~long
+                failed, kept = verdicts(m, min_words, min_repeat, max_covered, max_longest)
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo).cast(pa.int64()), *(pa.array(m[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept)], ["doc_id", *COUNTS, "base_failed", "kept"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, min_words: int = 50, min_repeat: int = 8, max_covered: int = 40, max_longest: int = 30) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            raw, off = texts_of(b.column(place))
+            kept = [np.zeros(0, bool)]
+            for lo, hi in chunks(off):
+                m = measure(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], min_repeat)
+                kept.append(verdicts(m, min_words, min_repeat, max_covered, max_longest)[1])
+            yield b.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
