@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.oracle import SQL
+from .plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
