@@ -98,6 +98,15 @@ def verdict_of(checks: Column) -> Column:
     return F.when(F.exists(checks, lambda c: (c["verdict"] == "fail") & ~c["advisory"]), "fail").when(F.exists(checks, lambda c: c["verdict"] == "flag"), "flag").otherwise("pass")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns computed once.
+
+    Spark merges neighbouring projections; an array that a later lambda refers to
+    would be built again for each of its elements. A generator of one row keeps them apart.
+    """
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("row")).select("row.*")
+
+
 def review(rows: DataFrame) -> DataFrame:
     """Joined rows (``exp_*``, ``obs_*``) with brand, klass, how, commodity, checks and verdict."""
     keep = rows.columns
@@ -130,11 +139,13 @@ def review(rows: DataFrame) -> DataFrame:
         check("government_warning", "code_warning", F.lit(text.STATEMENT), c("said")),
         check("warning_typography", "code_type"),
     )))
+    rows = settled(rows)
     small = c("obs_legibility") == "illegible"
     rows = rows.withColumn("checks", soften_several_missing(c("checks")))
     rows = rows.withColumn("checks", soften_unconfirmed(c("checks"), c("obs_unread"), small))
     rows = rows.withColumn("checks", soften_unreliable(c("checks"), c("obs_confidence"), c("obs_soft")))
     rows = rows.withColumn("checks", cited(c("checks"), c("commodity")))
+    rows = settled(rows)
     container = quantities.minimum_type_mm(F.coalesce("exp_ml", "obs_ml"))
     rows = rows.withColumns({"verdict": verdict_of(c("checks")), "minimum_type_mm": container, "warning_misreads": F.col("differences.misread"), "warning_alterations": F.col("differences.altered")})
     return rows.select(*keep, "brand", "klass", "how", "commodity", "checks", "verdict", "minimum_type_mm", "warning_alterations", "warning_misreads")

@@ -77,14 +77,14 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
         rows = F.filter("before", lambda b: (row_field(b["field"]) == f) & F.exists("checks", lambda c: c["field"] == b["field"]))
         return F.forall(rows, lambda b: (rank(find("checks", b["field"])["verdict"]) <= rank(b["verdict"])) & (~F.array_contains("doubtful", b["field"]) | (find("checks", b["field"])["verdict"] == "pass")))
 
-    again = again.withColumn("adopted", F.array_sort(F.filter(fields, holds)))
+    again = engine.settled(again.withColumn("adopted", F.array_sort(F.filter(fields, holds))))
 
     def merged(b: Column) -> Column:
         new_row = find("checks", b["field"])
         use = new_row.isNotNull() & F.coalesce(F.array_contains("adopted", row_field(b["field"])), F.lit(False))
         return F.when(use, engine.updated(new_row, source=F.lit("second_reading"), read_uncertain=F.lit(False))).otherwise(b)
 
-    out = again.withColumn("merged", F.transform("before", merged))
+    out = engine.settled(again.withColumn("merged", F.transform("before", merged)))
     cleared = F.transform(F.filter("merged", lambda c: (c["source"] == "second_reading") & (c["verdict"] == "pass") & F.exists("before", lambda b: (b["field"] == c["field"]) & (b["verdict"] != "pass"))), lambda c: c["field"])
     back = [F.col(c) if c in own else F.col(f"was_{c}").alias(c) for c in first + own if c not in ("checks", "verdict")]
     changed = out.select(*back, F.col("merged").alias("checks"), engine.verdict_of(F.col("merged")).alias("verdict"), cleared.alias("cleared"), "adopted")

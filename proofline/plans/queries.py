@@ -77,7 +77,7 @@ def softening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_compact(F.array(engine.check("alcohol_content", "code_alcohol", None, F.col("obs_alcohol")), engine.check("net_contents", "code_net", None, F.col("obs_net"))))
     r = r.withColumn("checks", rows)
     for step in (lambda c: engine.soften_several_missing(c), lambda c: engine.soften_unconfirmed(c, F.col("obs_unread"), F.col("obs_legibility") == "illegible"), lambda c: engine.soften_unreliable(c, F.col("obs_confidence"), F.col("obs_soft"))):
-        r = r.withColumn("checks", step(F.col("checks")))
+        r = engine.settled(r).withColumn("checks", step(F.col("checks")))
     c = r.select(F.explode("checks").alias("c"))
     return c.groupBy(F.col("c.field").alias("field"), F.col("c.verdict").alias("verdict"), F.col("c.read_uncertain").alias("read_uncertain"), F.col("c.softened").alias("softened")).agg(F.count("*").alias("n"))
 
