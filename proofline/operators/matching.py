@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,7 +27,12 @@ def by_contained_id(records: DataFrame, files: DataFrame, rounds: int = 3) -> Da
     if not lengths:
         return ids.join(files, F.lit(False)).select("cola_id", "file_no")
     name = F.lower("file_name")
-    parts = F.flatten(F.array(*(F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i, n=n: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths)))
+
+    def pieces(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, F.lit(n)))
+        return F.when(F.length(name) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    parts = F.flatten(F.array(*(pieces(n) for n in lengths)))
     grams = files.select("file_no", F.explode(F.array_distinct(parts)).alias("key"))
     open_ = grams.join(ids, "key").select("file_no", "cola_id", F.length("key").alias("size"))
     taken = None

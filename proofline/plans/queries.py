@@ -198,7 +198,7 @@ def second_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = derived.tables(spark, sf_dir, "events")["events"]
     r = e.select((F.col("user_id") % 40).cast("string").alias("digest"), F.array(F.lit("net_contents"), F.col("event_type")).alias("fields"), "ts", (F.col("event_type") != "error").alias("ok"))
-    return second_reading.daily_cap(r, 20).groupBy("day", "outcome").agg(F.count("*").alias("n"))
+    return second_reading.daily_cap(r, 20).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "outcome").agg(F.count("*").alias("n"))
 
 
 def export_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
