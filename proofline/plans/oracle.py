@@ -143,20 +143,20 @@ SQL: dict[str, str] = {
     "review_verdicts": f"SELECT verdict, count(*) AS n FROM (SELECT {_VERDICT} AS verdict FROM ({CODED})) GROUP BY verdict",
     "rule_alcohol": f"SELECT code_alcohol, code_format, code_proof, count(*) AS n FROM ({CODED}) GROUP BY ALL",
     "rule_net_contents": f"SELECT code_net, commodity, count(*) AS n, round(sum(obs_ml), 1) AS ml FROM ({CODED}) GROUP BY ALL",
-    "rule_typography": f"SELECT code_type, CASE WHEN ml <= 237 THEN 1 WHEN ml <= 3000 THEN 2 WHEN ml IS NOT NULL THEN 3 END AS mm, count(*) AS n FROM (SELECT *, coalesce(exp_ml, obs_ml) AS ml FROM ({CODED})) GROUP BY ALL",
+    "rule_typography": f"SELECT code_type, CASE WHEN ml <= 237 THEN 1 WHEN ml <= 3000 THEN 2 WHEN ml IS NOT NULL THEN 3 ELSE 0 END AS mm, count(*) AS n FROM (SELECT *, coalesce(exp_ml, obs_ml) AS ml FROM ({CODED})) GROUP BY ALL",
     "rule_warning": f"""SELECT code, count(*) AS n FROM (SELECT CASE WHEN m = 1 AND warning_legibility = 'illegible' THEN 'warning_illegible' WHEN m = 1 THEN 'warning_missing' WHEN m = 3 THEN 'warning_heading_case'
         WHEN m = 4 THEN 'warning_body_case' WHEN m = 6 THEN 'warning_trailing' WHEN m = 7 THEN 'warning_punctuation' ELSE 'warning_exact' END AS code FROM ({O})) GROUP BY code""",
     "softening": _SOFT,
     "applications_commodity": f"""SELECT commodity, CASE commodity WHEN 'wine' THEN '27 CFR 4.37 (net contents)' WHEN 'spirits' THEN '27 CFR 5.70 (net contents)' WHEN 'malt' THEN '27 CFR 7.70 (net contents)'
         ELSE '27 CFR 5.70 (spirits), 4.37 (wine) or 7.70 (malt beverages): net contents' END AS citation, count(*) AS n FROM (SELECT {_commodity('class_type')} AS commodity FROM ({A})) GROUP BY ALL""",
-    "application_volumes": f"SELECT net_contents, count(*) AS n, round(max(ml), 3) AS ml, max({_standard('ml', chr(39) + 'spirits' + chr(39))}) AS standard FROM (SELECT *, {_ml('net_contents')} AS ml FROM ({A})) GROUP BY net_contents",
-    "folded_names": f"""SELECT replace(a, ' ', '') = replace(b, ' ', '') AS same, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE len(pa) > 0 AND len(pa) < len(pb) AND len(list_filter(pa, lambda x: NOT list_contains(pb, x))) = 0 END AS part, count(*) AS n
+    "application_volumes": f"SELECT net_contents, count(*) AS n, round(max(ml), 3) AS ml, coalesce(CAST(max({_standard('ml', chr(39) + 'spirits' + chr(39))}) AS VARCHAR), 'none') AS standard FROM (SELECT *, {_ml('net_contents')} AS ml FROM ({A})) GROUP BY net_contents",
+    "folded_names": f"""SELECT coalesce(CAST(replace(a, ' ', '') = replace(b, ' ', '') AS VARCHAR), 'none') AS same, coalesce(CAST(CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE len(pa) > 0 AND len(pa) < len(pb) AND len(list_filter(pa, lambda x: NOT list_contains(pb, x))) = 0 END AS VARCHAR), 'none') AS part, count(*) AS n
         FROM (SELECT *, string_split(a, ' ') AS pa, string_split(b, ' ') AS pb FROM (SELECT {_FOLD.format('exp_brand')} AS a, {_FOLD.format('obs_brand')} AS b FROM ({ROWS}))) GROUP BY ALL""",
     "producer_names": f"""SELECT CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE folded END AS name, count(*) AS n FROM (SELECT folded, list_filter(string_split(folded, ' '), lambda x: x NOT IN ({', '.join(f"'{g}'" for g in GENERIC)})) AS kept
         FROM (SELECT {_FOLD.format("regexp_replace(bottler_name, '(?is)^.*?\\bby\\b[\\s:]*', '')")} AS folded FROM ({A}))) GROUP BY ALL""",
     "country_names": f"SELECT trim(regexp_replace(country_of_origin, '(?i)^\\s*(?:product|produce|produced|bottled|distilled|made|imported)\\s+(?:of|in|by|from)\\s*(?:the\\s+)?', ''), ' .,') AS country, count(*) AS n FROM ({A}) GROUP BY ALL",
     "statement_words": rf"""SELECT CASE WHEN regexp_matches(said, '(?i)^government\s+warning') THEN regexp_extract(said, '(?i)^(government\s+warning:?)', 1) END AS heading,
-        CASE WHEN said IS NULL THEN NULL ELSE len(list_filter(string_split(regexp_replace(lower(regexp_replace(said, '(?i)^government\s+warning\s*:?\s*', '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) END AS words, length(said) AS chars, count(*) AS n
+        CASE WHEN said IS NULL THEN -1 ELSE len(list_filter(string_split(regexp_replace(lower(regexp_replace(said, '(?i)^government\s+warning\s*:?\s*', '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) END AS words, coalesce(length(said), -1) AS chars, count(*) AS n
         FROM (SELECT {_SAID} AS said FROM ({O})) GROUP BY ALL""",
     "records_checked": _CHECKED,
     "records_first": f"SELECT cola_id, row_no, brand_name FROM ({_CHECKED}) WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY cola_id ORDER BY row_no) = 1",

@@ -49,7 +49,7 @@ def rule_net_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_typography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _coded(spark, sf_dir).withColumn("mm", quantities.minimum_type_mm(F.coalesce("exp_ml", "obs_ml")))
+    c = _coded(spark, sf_dir).withColumn("mm", F.coalesce(quantities.minimum_type_mm(F.coalesce("exp_ml", "obs_ml")), F.lit(0)))
     return c.groupBy("code_type", "mm").agg(F.count("*").alias("n"))
 
 
@@ -90,14 +90,14 @@ def applications_commodity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def application_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = derived.applications(spark, sf_dir)
     ml = quantities.volume_ml(F.col("net_contents"))
-    return a.groupBy("net_contents").agg(F.count("*").alias("n"), F.round(F.max(ml), 3).alias("ml"), F.max(quantities.is_standard_fill(ml, F.lit("spirits"))).alias("standard"))
+    return a.groupBy("net_contents").agg(F.count("*").alias("n"), F.round(F.max(ml), 3).alias("ml"), F.coalesce(F.max(quantities.is_standard_fill(ml, F.lit("spirits"))).cast("string"), F.lit("none")).alias("standard"))
 
 
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folding and word tests between application and reading."""
     r = _rows(spark, sf_dir)
     a, b = text.fold_ascii(F.col("exp_brand")), text.fold_ascii(F.col("obs_brand"))
-    return r.groupBy(text.same_words(a, b).alias("same"), text.is_part_of(a, b).alias("part")).agg(F.count("*").alias("n"))
+    return r.groupBy(*(F.coalesce(t.cast("string"), F.lit("none")).alias(n) for n, t in (("same", text.same_words(a, b)), ("part", text.is_part_of(a, b))))).agg(F.count("*").alias("n"))
 
 
 def producer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def statement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading, word count and spacing of the statements."""
     o = derived.observations(spark, sf_dir)
     said = text.unwrapped(F.col("warning_text"))
-    return o.groupBy(text.heading_of(said).alias("heading"), F.size(text.letters(text.body_of(said))).cast("bigint").alias("words"), F.length(said).cast("bigint").alias("chars")).agg(F.count("*").alias("n"))
+    return o.groupBy(text.heading_of(said).alias("heading"), F.coalesce(F.size(text.letters(text.body_of(said))), F.lit(-1)).cast("bigint").alias("words"), F.coalesce(F.length(said), F.lit(-1)).cast("bigint").alias("chars")).agg(F.count("*").alias("n"))
 
 
 def records_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
