@@ -67,12 +67,12 @@ def admissions(requests: DataFrame, per_minute: float, burst: float | None = Non
                 waits.append(wait)
             yield pa.record_batch([b.column("client"), b.column("request_id"), pa.array(waits, pa.float64())], ["client", "request_id", "wait_s"])
 
-    df = requests.select(F.col("client").cast("string").alias("client"), F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros("ts").cast("double").alias("micros"), F.col("cost").cast("double").alias("cost"))
+    df = requests.select(F.col("client").cast("string").alias("client"), F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), F.col("cost").cast("double").alias("cost"))
     df = df.withColumn("at", F.col("micros") / 1e6).repartition("client").sortWithinPartitions("client", "at", "request_id")
     return df.mapInArrow(run, "client string, request_id bigint, wait_s double")
 
 
-def admission_stream(requests: DataFrame, per_minute: float, burst: float | None = None, idle: str = "1 hour") -> DataFrame:
+def admission_stream(requests: DataFrame, per_minute: float, burst: float | None = None, late: str = "1 minute") -> DataFrame:
     """The same for a stream; a client's bucket is dropped once it must be full again."""
     rate, capacity = per_minute / 60.0, float(burst if burst is not None else per_minute)
     full_after_ms = int(1000 * capacity / rate) + 1 if rate else 24 * 3_600_000
@@ -91,6 +91,6 @@ def admission_stream(requests: DataFrame, per_minute: float, burst: float | None
                 rows.append((key[0], r.request_id, wait))
             yield pd.DataFrame(rows, columns=["client", "request_id", "wait_s"])
         state.update((tokens, last if last is not None else 0.0))
-        state.setTimeoutDuration(full_after_ms)
+        state.setTimeoutTimestamp(max(int((last or 0.0) * 1000), state.getCurrentWatermarkMs()) + full_after_ms)
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client string, request_id bigint, wait_s double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("client").applyInPandasWithState(step, "client string, request_id bigint, wait_s double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)

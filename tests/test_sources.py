@@ -86,9 +86,8 @@ def test_token_bucket_and_stream_agree(spark, tmp_path):
     assert [got[i] for i in range(6)] == [0.0, 0.0, 30.0, 0.0, 0.0, got[5]] and got[5] > 0 and got[10] == 90.0
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = jobs.admission_stream(stream, per_minute=2, burst=2).writeStream.format("memory").queryName("adm").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = jobs.admission_stream(stream, per_minute=2, burst=2).writeStream.format("memory").queryName("adm").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(45)
     assert {r.request_id: r.wait_s for r in spark.table("adm").collect()} == got
 
 
@@ -97,9 +96,8 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     df = spark.createDataFrame([(t0 + dt.timedelta(minutes=7 * i), ("pass", "flag", "fail")[i % 3]) for i in range(40)], "ts timestamp, verdict string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.verdict_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), late="1 minute")
-    q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(45)
     key = lambda rows: sorted((r.window_start, r.verdict, r.n) for r in rows)
     assert key(spark.table("counts").collect()) == key(jobs.verdict_counts(df).collect())
 
