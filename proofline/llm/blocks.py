@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import chunks, stage, tasks, texts_of
 from .hashing import BYTES, prefix, windows
 
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 TYPE = "block bigint, docs binary, bounds binary, data binary"
 #: Stands for a null doc_id inside blocks.
 NULL_ID = -(2**63)
