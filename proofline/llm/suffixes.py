@@ -73,6 +73,16 @@ def candidates(block: Block, where: str, size: int, modulus: int, bits: int):
         yield first, bounds, data, own, spans(sums, own, own + size)
 
 
+def removed_spans(bounds: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of a run's removed spans, cut where one text ends and the next begins."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+    # Empty texts repeat a bound, and the last ones of a run lie at its very end.
+    cuts = np.unique(bounds[1:-1])
+    cuts = cuts[(cuts > 0) & (cuts < len(gone))]
+    cuts = cuts[gone[cuts] & gone[cuts - 1]]
+    return np.sort(np.concatenate([edge[::2], cuts])), np.sort(np.concatenate([edge[1::2], cuts]))
+
+
 def dedup_substrings(docs: DataFrame, size: int = 200, modulus: int = 91) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ranges of every document."""
     folder = shared_dir(docs.sparkSession)
@@ -96,12 +106,7 @@ def dedup_substrings(docs: DataFrame, size: int = 200, modulus: int = 91) -> Dat
                 for first, bounds, data, own, k in runs:
                     start = own[twin[np.searchsorted(keys, k)]] if len(own) else own
                     gone = covered(len(data), start, start + size)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                    begin, end = edge[::2], edge[1::2]
-                    # A removed run may go on from one text's end to the next one's start.
-                    cuts = bounds[1:-1][np.diff(gone.astype(np.int8), prepend=0)[bounds[1:-1]] == 0] if len(data) else bounds[:0]
-                    cuts = cuts[gone[cuts] & gone[cuts - 1]] if len(cuts) else cuts
-                    begin, end = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([end, cuts]))
+                    begin, end = removed_spans(bounds, gone)
                     keep = data[~gone].tobytes()
                     kept = np.concatenate([[0], np.cumsum(~gone)])[bounds]
                     lo = np.searchsorted(begin, bounds)

@@ -209,6 +209,18 @@ def test_suffix_dedup(spark, docs, nothing, rows):
     assert got == bytes_brute(more, 200)
 
 
+@pytest.mark.parametrize("order", ["A0", "A0A", "0A00A0", "00", "B0A0A", "A00"])
+def test_suffix_dedup_of_a_block_with_empty_texts(spark, monkeypatch, order):
+    """Empty texts at the end of a block, and between two texts removed up to their bound."""
+    line = "a line that two texts share, of more than two hundred bytes in all; " * 4
+    texts = [{"A": line, "B": "short", "0": ""}[c] for c in order]
+    bounds = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+    block = (0, np.arange(len(texts)).tobytes(), bounds.tobytes(), "".join(texts).encode())
+    monkeypatch.setattr(suffixes, "make_blocks", lambda docs, where: spark.createDataFrame([block], "block bigint, docs binary, bounds binary, data binary"))
+    got = suffixes.dedup_substrings(table(spark, [])).drop("ranges").collect()
+    assert sorted(map(tuple, got)) == bytes_brute(list(enumerate(texts)), 200)
+
+
 def passages_brute(rows, size):
     docs = [(i, BLANK.findall(t or "")) for i, t in rows]
     owner = {}
