@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each on all that the one before kept.
 
 1. quality: documents that the rules reject go.
-2. near_dups: of each group of near copies the one with the smallest doc_id stays.
+2. near_dups: of each group of near copies (five-word shingles, similarity 0.8) the one
+   with the smallest doc_id stays.
 3. decontaminate: documents that hold a benchmark window go.
 4. pii: personal data in the texts is replaced by its kind; ``n_chars`` follows.
 5. pack: what is left becomes training sequences of at most 2048 tokens.
@@ -26,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, link(docs).filter("not kept"))
+    return without(docs, link(docs, size=5, percent=80).filter("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

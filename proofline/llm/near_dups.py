@@ -4,8 +4,9 @@ A text's set is its distinct shingles. Equal sets are one class. A class's signa
 has ``chunks * width`` symbols, each 16 bits of a minimum. Two signatures that differ
 in fewer than ``2 * chunks`` symbols have, by the pigeonhole principle, a chunk with
 one wrong symbol at most; the allowed errors are enumerated by leaving out each
-symbol of each chunk in turn, so such a pair always shares a key. At the similarity
-asked for (0.85), a pair shares none with a chance under 2e-8.
+symbol of each chunk in turn, so such a pair always shares a key. Width and number of
+chunks follow the similarity asked for: a pair at it shares no key with a chance of
+at most ``MISS``.
 
 Classes that share a key are compared without making all pairs of a group: first
 each with the least class of the key, then, for keys whose classes are still in several
@@ -25,6 +26,8 @@ are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +42,21 @@ from .hashing import NOT_BLANK, Words, mix, random_table
 BROADCAST_ROWS = 1_000_000
 #: 64-bit words of an odd sketch.
 SKETCH = 16
+#: Chance that a pair just at the similarity asked for shares no key.
+MISS = 2e-8
+
+
+def miss_chance(similarity: float, chunks: int, width: int) -> float:
+    """Chance that every chunk has two wrong symbols or more."""
+    one = similarity**width + width * similarity ** (width - 1) * (1 - similarity)
+    return (1 - one) ** chunks
+
+
+def scheme(percent: int) -> tuple[int, int]:
+    """(chunks, width): a key's symbols are all right with about even chance, and ``MISS`` holds."""
+    s = min(max(percent, 1), 99) / 100
+    width = min(max(1 + round(math.log(0.52) / math.log(s)), 3), 8)
+    return math.ceil(math.log(MISS) / math.log(miss_chance(s, 1, width))), width
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +233,9 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def link(docs: DataFrame, size: int = 3, percent: int = 85, chunks: int = 10, width: int = 5, rounds: int = 2) -> DataFrame:
+def link(docs: DataFrame, size: int = 3, percent: int = 85, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    chunks, width = scheme(percent)
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     signed = stage(signatures(docs, size, chunks * width), f"{folder}/signed")
     grouped = signed.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"))

@@ -159,6 +159,22 @@ def test_near_dups(docs, nothing, rows, rounds):
     assert near_dups.link(nothing).count() == 0
 
 
+def test_chunks_follow_the_similarity():
+    assert near_dups.scheme(85) == (10, 5)
+    for percent in range(20, 101):
+        assert near_dups.miss_chance(min(percent, 99) / 100, *near_dups.scheme(percent)) <= near_dups.MISS
+
+
+def test_near_dups_at_half_similarity(spark):
+    """Eighty pairs of similarity just over 0.5; ten chunks of five lose one in eight."""
+    rows = []
+    for i in range(80):
+        w = [f"w{i}x{k}" for k in range(120)]
+        rows += [(2 * i, " ".join(w[:91])), (2 * i + 1, " ".join(w[29:]))]
+    got = near_dups.link(table(spark, rows), percent=50).collect()
+    assert sorted(map(tuple, got)) == near_brute(rows, percent=50) and sum(r.kept for r in got) == 80
+
+
 def test_near_dups_family_without_a_centre(spark):
     """A chain: each text near the next only; one hot group of far copies besides."""
     r = np.random.default_rng(3)
