@@ -2,7 +2,7 @@
 
 1. quality: documents that the rules reject go.
 2. near_dups: of each group of near copies (five-word shingles, similarity 0.8) the one
-   with the smallest doc_id stays.
+   with the smallest doc_id stays; of rows with one doc_id, or none, the first.
 3. decontaminate: documents that hold a benchmark window go.
 4. pii: personal data in the texts is replaced by its kind; ``n_chars`` follows.
 5. pack: what is left becomes training sequences of at most 2048 tokens.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.common import remove, shared_dir, stage, without
+from proofline.llm.common import numbered, remove, shared_dir, stage, without
 from proofline.llm.decontamination import find_contamination
 from proofline.llm.entries import bpe, table
 from proofline.llm.near_dups import link
@@ -27,11 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, link(docs, size=5, percent=80).filter("not kept"))
+    """Rows are linked and removed by number, so equal or null ids neither hold nor lose other rows."""
+    rows, no = numbered(docs)
+    linked = link(rows.select(F.col(no).alias("doc_id"), "text"), size=5, percent=80)
+    linked = stage(linked.select(F.col("doc_id").alias("gone"), "component_id"), f"{shared_dir(spark)}/linked")
+    named = linked.join(rows.select(F.col(no).alias("gone"), "doc_id"), "gone")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "gone"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.gone").alias("gone"))
+    return without(rows, no, linked.select("gone").join(kept, "gone", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0))
+    rows, no = numbered(docs)
+    found = find_contamination(rows.select(F.col(no).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, no, found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("gone")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

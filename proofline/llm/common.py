@@ -72,13 +72,21 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
         lo = hi
 
 
-#: Rows of ids (16 bytes each) that ``without`` broadcasts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Row numbers (16 bytes each) that ``without`` broadcasts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids``; a null id equals a null id."""
-    gone = stage(ids.select(F.col("doc_id").alias("gone")).distinct(), f"{shared_dir(docs.sparkSession)}/ids")
-    if gone.count() <= BROADCAST_IDS:
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number for each row, and that column's name."""
+    row = "row_no"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), f"{shared_dir(docs.sparkSession)}/numbered"), row
+
+
+def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """Numbered ``docs`` less the rows in ``gone`` (a column ``gone`` of row numbers), without the numbers."""
+    gone = stage(gone, f"{shared_dir(docs.sparkSession)}/gone")
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    return docs.join(gone, docs[row] == gone["gone"], "left_anti").drop(row)

@@ -32,6 +32,18 @@ def test_near_copies_between_80_and_85_percent_go(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dups(spark, docs, "").collect()) == [1, 3, 4]
 
 
+def test_rows_with_one_id_or_none_stand_for_themselves(spark, tmp_path):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    bench = words("q", 12)
+    rows = [(None, words("a", 60)), (None, words("a", 60)), (None, words("b", 60)), (4, words("c", 60)), (4, words("c", 60)), (4, words("d", 60)), (None, words("d", 60)), (5, None), (5, "")]
+    left = corpus_pipeline.near_dups(spark, table(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in left) == [(0, "a"), (0, "b"), (4, "c"), (4, "d"), (5, ""), (5, "")]
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bench), (None, words("a", 60)), (4, "x " + bench), (4, words("b", 60)), (6, None)]
+    left = corpus_pipeline.decontaminate(spark, table(spark, rows), str(tmp_path))
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in left.collect()) == [(0, "a"), (4, "b"), (6, "")] and left.columns == table(spark, []).columns
+
+
 def test_all_operators_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in entries.QUERIES}) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dups", "decontaminate", "pii", "pack"]
