@@ -16,7 +16,8 @@ phone  \\+[0-9][ ().0-9-]+[0-9], 9 to 15 digits
 
 Added kinds: ``url`` (an address that names a user), ``address`` (house number,
 capitalised names and a street word), ``account`` (an identifier with digits after
-a cue such as an account, passport or token). Spans are in code points, end
+a cue such as an account, passport or token; an IBAN may be in printed groups).
+Identifiers and addresses of any length are read to their end. Spans are in code points, end
 exclusive. A null or empty text has none; repeated rows get a row each; an empty
 table gives no rows; other columns are not read.
 """
@@ -42,9 +43,12 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
-URL_END = re.compile(r"[^\s<>\"'`]*")
+URL_END = re.compile(r"[^\s<>\"'`]*+")
 USER_IN_URL = re.compile(r"//[^/@]+@|/~[\w.-]+|/(?:users?|profiles?|u)/[\w.-]+", re.I)
-ACCOUNT = re.compile(r"(?:[ _-]?(?:number|no\.?|nr\.?|id|key))?[ \t]*[:=#]?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,63})(?![A-Za-z0-9_-])", re.I)
+AFTER_CUE = tuple(re.compile(p + r"[ \t]*+[:=#]?+[ \t]*+[\"']?+", re.I) for p in (r"[ _-]?(?:number|no\.?|nr\.?|id|key)", ""))
+# An identifier of six characters or more, with the parts that dots, slashes and the like join to it (JWT, base64).
+ACCOUNT = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,}+(?:[.+/~][A-Za-z0-9_-]++)*+={0,2}+")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ \u00a0\u202f][A-Za-z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:[ \u00a0\u202f][A-Za-z0-9]{1,3}(?![A-Za-z0-9]))?+")
 NUMBER_AND_NAMES = re.compile(r"[0-9]{1,5}[A-Za-z]?,? (?:[A-Z][\w.'-]* ){1,4}\Z")
 NAME_AND_NUMBER = re.compile(r" (?:[A-Z][\w.'-]* ){0,3}[A-Z][\w.'-]*,? [0-9]{1,5}\b")
 
@@ -97,10 +101,22 @@ def digit_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """The end of the longest IBAN in printed groups that passes the mod-97 check."""
+    m = IBAN.match(text, at)
+    end = m.end() if m else at
+    while end > at:
+        body = re.sub(r"\s", "", text[at:end])
+        if 15 <= len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1:
+            return end
+        end = max(text.rfind(c, at, end) for c in " \u00a0\u202f")
+    return None
+
+
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then by kind as listed."""
     out = digit_spans(text)
-    email_end = phone_end = url_end = 0
+    email_end = phone_end = url_end = account_end = 0
     for last, (kind, size) in anchors.iter(text):
         at = last - size + 1
         if kind == "@":
@@ -119,7 +135,7 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                         out.append(("phone", at, phone_end))
         elif kind == "scheme":
             if at >= url_end and not (at and text[at - 1].isalnum()):
-                end = URL_END.match(text, at, at + 2048).end()
+                end = URL_END.match(text, at).end()
                 body = text[at:end].rstrip(".,;:!?)]}")
                 url_end = at + len(body)
                 if len(body) > size and (text.startswith(("mailto:", "sip:"), at) and "@" in body or USER_IN_URL.search(body, size - 2)):
@@ -130,10 +146,24 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                 out.append(("address", lo + m.start(), at + size))
             elif m := NAME_AND_NUMBER.match(text, at + size, at + size + 80):
                 out.append(("address", at, m.end()))
-        elif not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
-            m = ACCOUNT.match(text, last + 1, last + 120)
-            if m and sum(c.isdigit() for c in m[1]) >= 4:
-                out.append(("account", *m.span(1)))
+        elif not (at and text[at - 1].isalnum()):
+            for after in AFTER_CUE:
+                m = after.match(text, last + 1)
+                if not m:
+                    continue
+                start = m.end()
+                if start < account_end:
+                    break  # the tail of an identifier that an earlier cue was followed by, and judged whole
+                if end := iban_end(text, start):
+                    out.append(("account", start, end))
+                elif m := ACCOUNT.match(text, start):
+                    end = m.end()
+                    if sum(c.isdigit() for c in m[0]) >= 4:
+                        out.append(("account", start, end))
+                else:
+                    continue
+                account_end = end
+                break
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -315,6 +315,28 @@ def test_pii(spark, docs, nothing, rows):
     assert pii.find_pii(nothing).count() == 0 and pii.redact(nothing).columns == nothing.columns
 
 
+def test_pii_reads_identifiers_and_urls_to_their_end():
+    import time
+
+    anchors = pii.automaton()
+    spans = lambda t, k: [t[a:b] for kind, a, b in pii.find(t, anchors) if kind == k]
+    jwt = ".".join(["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIn0" * 9, "dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"])
+    for n in (64, 65, 100, 300, 5000):
+        assert spans(f"token: {'a1b2' * n}"[: 7 + n] + " end", "account") == [("a1b2" * n)[:n]]
+    assert spans(f'access_token = "{jwt}", x', "account") == [jwt] and spans("client_secret: ab12cd34ef.", "account") == ["ab12cd34ef"]
+    spans("secret: abcd12/cd34+ef56gh==\n", "account") == ["abcd12/cd34+ef56gh=="]
+    assert spans("token secret_key: 12345678", "account") == ["12345678"]
+    for iban in ("DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"):
+        assert spans(f"IBAN: {iban} then on", "account") == [iban]
+    assert spans("IBAN: DE89 3704 0044 0532 0130 01 x", "account") == []
+    url = "https://example.org/users/" + "long" * 2000 + "/end"
+    assert spans(f"see {url}, or", "url") == [url]
+    for hard in ("token_" * 40_000 + "12345", "token:" + "token_" * 40_000, "token " + " " * 200_000, "token1a.tokenab" * 20_000, "http://" * 30_000):
+        t = time.process_time()
+        pii.find(hard, anchors)
+        assert time.process_time() - t < 5
+
+
 def test_chat(spark):
     own = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", own), (1, 1, "assistant", own), (2, 1, "assistant", "~1 é ~~"), (2, 0, "us\ner<|", None), (2, 2, "assistant", "a\nb<"), (3, 0, None, "only"), (None, 0, "user", "q"), (4, 0, "user", "x"), (4, 0, "user", "x")]
