@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _staged(df: DataFrame, where: str) -> DataFrame:
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def by_declared_name(records: DataFrame, files: DataFrame) -> DataFrame:
-    """(cola_id, file_no): the file that a record declares, in any case; the first file wins."""
-    want = records.filter("image IS NOT NULL").select("cola_id", F.lower("image").alias("name"))
+    """(cola_id, file_no): the file that a record declares, in any case.
+
+    Of equal names the first file goes to the first record, the second to the second,
+    and so on. A record with several names declares the least one that a file has.
+    """
+    nth = lambda order: F.row_number().over(Window.partitionBy("name").orderBy(order))
     have = files.select("file_no", F.lower("file_name").alias("name"))
-    hits = want.join(have, "name")
-    one = hits.groupBy("cola_id").agg(F.min("file_no").alias("file_no"))
-    return one.groupBy("file_no").agg(F.min("cola_id").alias("cola_id")).select("cola_id", "file_no")
+    known = records.select("cola_id", F.lower("image").alias("name")).join(have, "name", "left_semi")
+    want = known.groupBy("cola_id").agg(F.min("name").alias("name"))
+    return want.withColumn("nth", nth("cola_id")).join(have.withColumn("nth", nth("file_no")), ["name", "nth"]).select("cola_id", "file_no")
 
 
-def by_contained_id(records: DataFrame, files: DataFrame, rounds: int = 3) -> DataFrame:
-    """(cola_id, file_no): an id inside the file name, the longest first, each id once.
+def by_contained_id(records: DataFrame, files: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(cola_id, file_no): an id inside the file name, the longest free one, in file order.
 
     Instead of testing every pair, each file name gives its substrings of the
-    lengths that ids have, and those meet the ids in an equi-join. A file whose id
-    went to an earlier file tries its next one in the next round.
+    lengths that ids have, and those meet the ids in an equi-join. Each round every
+    file claims its best id left, the first file holds it, and later files lose the id
+    for good; a held id still falls to an earlier file that comes to it. When no file
+    loses anything, each has what it gets when files choose one after the other.
+    ``rounds``: the holders after so many rounds, instead of the end.
     """
     ids = records.select("cola_id", F.lower("cola_id").alias("key")).distinct()
     lengths = sorted(r[0] for r in ids.select(F.length("key")).distinct().collect() if r[0])  # a handful
@@ -35,14 +56,25 @@ def by_contained_id(records: DataFrame, files: DataFrame, rounds: int = 3) -> Da
     parts = F.flatten(F.array(*(pieces(n) for n in lengths)))
     grams = files.select("file_no", F.explode(F.array_distinct(parts)).alias("key"))
     open_ = grams.join(ids, "key").select("file_no", "cola_id", F.length("key").alias("size"))
-    taken = None
-    for _ in range(rounds):
-        best = Window.partitionBy("file_no").orderBy(F.desc("size"), "cola_id")
-        claims = open_.withColumn("nth", F.row_number().over(best)).filter("nth = 1")
-        won = claims.groupBy("cola_id").agg(F.min("file_no").alias("file_no"))
-        taken = won if taken is None else taken.unionByName(won)
-        open_ = open_.join(won.select("cola_id"), "cola_id", "left_anti").join(won.select("file_no"), "file_no", "left_anti")
-    return taken.select("cola_id", "file_no")
+
+    def holders(pairs: DataFrame) -> DataFrame:
+        claims = pairs.groupBy("file_no").agg(F.min(F.struct((-F.col("size")).alias("size"), "cola_id")).alias("best"))
+        return claims.groupBy(F.col("best.cola_id").alias("cola_id")).agg(F.min("file_no").alias("file_no"))
+
+    if rounds == 1:
+        return holders(open_)
+    folder, done = _shared_dir(files.sparkSession), 0
+    open_ = _staged(open_, f"{folder}/open0")
+    left = open_.count()
+    while True:
+        held, done = holders(open_), done + 1
+        if done == rounds:
+            return held
+        kept = open_.join(held.withColumnRenamed("file_no", "holder"), "cola_id", "left").filter("holder IS NULL OR file_no <= holder").drop("holder")
+        open_ = _staged(kept, f"{folder}/open{done}")
+        was, left = left, open_.count()
+        if left == was:
+            return held
 
 
 def match(records: DataFrame, files: DataFrame) -> DataFrame:

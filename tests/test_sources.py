@@ -52,6 +52,43 @@ def test_matching_prefers_longest_id(spark):
     assert matching.without_image(recs, m).count() == 0 and matching.to_review(recs, m).count() == 3
 
 
+def _one_by_one(ids, files):
+    """The reference's walk: files in order, each takes the longest free id in its name."""
+    taken = {}
+    for no, name in sorted(files):
+        for i in sorted(ids, key=lambda i: (-len(i), i)):
+            if i.lower() in name.lower() and i not in taken:
+                taken[i] = no
+                break
+    return taken
+
+
+def _tables(spark, recs, files):
+    return spark.createDataFrame(recs, "cola_id string, image string"), spark.createDataFrame(files, "file_no bigint, file_name string")
+
+
+def test_losers_of_an_id_go_on_to_the_last_free_one(spark):
+    ids = [c * n for n, c in enumerate("abcdef", 1)]
+    files = [(i, " ".join(ids)) for i in range(8)]
+    got = matching.match(*_tables(spark, [(i, None) for i in ids], files)).collect()
+    assert sorted((r.file_no, r.cola_id) for r in got) == [(k, ids[5 - k]) for k in range(6)]
+
+
+def test_contained_ids_equal_the_walk_in_file_order(spark):
+    import random
+
+    r = random.Random(4)
+    ids = sorted({"".join(r.choice("ab1") for _ in range(r.randrange(1, 5))) for _ in range(40)})
+    files = [(i, "".join(r.choice("AB1-") for _ in range(r.randrange(1, 9)))) for i in range(70)]
+    got = matching.by_contained_id(*_tables(spark, [(i, None) for i in ids], files)).collect()
+    assert {x.cola_id: x.file_no for x in got} == _one_by_one(ids, files) and len(got) == len({x.file_no for x in got})
+
+
+def test_equal_declared_names_pair_in_order(spark):
+    recs, files = _tables(spark, [("r1", "a.png"), ("r2", "A.png"), ("r3", "b.png")], [(1, "A.PNG"), (2, "a.png"), (3, "a.png"), (4, "B.png"), (5, "b.png")])
+    assert sorted(map(tuple, matching.by_declared_name(recs, files).collect())) == [("r1", 1), ("r2", 2), ("r3", 4)]
+
+
 def _line(image, n, text, top, height, conf=95.0):
     return [(image, 1, 1, n, w, 40 * i, top, 35, height, conf) for i, w in enumerate(text.split())]
 
