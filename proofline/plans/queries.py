@@ -160,11 +160,16 @@ def match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First round of the id search: every (file, id inside its name) pair, by an equi-join."""
+    """First round of the id search: of each file the longest id in its name, of each id the first such file."""
     recs, files = _images(spark, sf_dir)
     return matching.by_contained_id(recs, files, rounds=1)
 
 
+def match_contained_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole id search: files that lose an id try the next one, until no free id is left."""
+    return matching.by_contained_id(*_images(spark, sf_dir))
+
+
 def read_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct contents are read once; every request gets the reading."""
     d = derived.tables(spark, sf_dir, "documents")["documents"].select("doc_id", "text")
@@ -321,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_verdicts, rule_alcohol, rule_net_contents, rule_typography, rule_warning, review_full, review_queue, softening, applications_commodity, application_volumes,
-        folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_files,
+        folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files,
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
         eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations,
         similar_names, ordered_batch, verdict_ranks,

@@ -89,6 +89,15 @@ def test_equal_declared_names_pair_in_order(spark):
     assert sorted(map(tuple, matching.by_declared_name(recs, files).collect())) == [("r1", 1), ("r2", 2), ("r3", 4)]
 
 
+def test_registered_id_search_equals_the_walk(spark):
+    from proofline.plans import queries
+
+    recs, files = queries._images(spark, "/root/testdata/sf0.01")
+    want = _one_by_one(sorted({r.cola_id for r in recs.collect()}), [(f.file_no, f.file_name) for f in files.collect()])
+    got = queries.QUERIES["match_contained_all"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.cola_id: r.file_no for r in got} == want and len(got) == len(want)
+
+
 def _line(image, n, text, top, height, conf=95.0):
     return [(image, 1, 1, n, w, 40 * i, top, 35, height, conf) for i, w in enumerate(text.split())]
 
