@@ -184,9 +184,12 @@ def recorded_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitized_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = derived.tables(spark, sf_dir, "pages")["pages"]
-    field = F.when(F.col("page_id") % 3 == 0, "warning_text").when(F.col("page_id") % 3 == 1, "brand_name").otherwise("warning_prefix_is_bold")
-    r = p.select(F.col("page_id").alias("digest"), field.alias("field"), F.substring("html", 1, 700).alias("value"), (F.col("page_id") % 2 == 0).alias("value_bool"))
+    """Whole pages, mostly too long, and whole lines of documents as readings."""
+    t = derived.tables(spark, sf_dir, "pages", "documents")
+    lines = t["documents"].select(F.col("doc_id").alias("digest"), F.explode(F.split("text", "\n")).alias("value"))
+    r = t["pages"].select(F.col("page_id").alias("digest"), F.col("html").alias("value")).unionByName(lines)
+    field = F.when(F.col("digest") % 3 == 0, "warning_text").when(F.col("digest") % 3 == 1, "brand_name").otherwise("warning_prefix_is_bold")
+    r = r.select("digest", field.alias("field"), "value", (F.col("digest") % 2 == 0).alias("value_bool"))
     return second_reading.sanitized(r).groupBy("field", "value_bool").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
 
 

@@ -97,3 +97,14 @@ def test_second_reading_clears_and_never_rejects(spark, reviewed):
     assert got["low confidence"].verdict == "flag" and got["near miss"].verdict == "flag" and got["several missing"].verdict == "flag"
     before = {r.cola_id: r.verdict for r in reviewed.collect()}
     assert all(r.verdict != "fail" or before[k] == "fail" for k, r in got.items())
+
+
+def test_sanitized_readings_takes_whole_texts(spark, tmp_path):
+    """A page whose first 700 characters collapse to under 600 is too long as a whole."""
+    from proofline.plans import queries
+
+    page = "a " * 100 + " " * 490 + "b" * 590
+    spark.createDataFrame([(0, page), (3, "short  page")], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "a brand\n" + "x" * 201), (6, "w" * 601 + "\n" + "w" * 600), (9, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.sanitized_readings(spark, str(tmp_path)).collect()
+    assert sorted((r.field, r.n, r.chars) for r in got) == [("brand_name", 1, 7), ("warning_text", 2, 610)]
