@@ -1,10 +1,11 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds at-signs, plus signs, schemes and identifier cues
-in one pass over a text; runs of digits are anchors too. A deterministic local
-parser expands each anchor to the bounds of an email, phone, address, card or
-account and validates it. Every parser reads each character a bounded number of
-times, so a very long word costs no more than other text.
+An Aho-Corasick automaton finds at-signs, plus signs, digits, schemes, street words
+and identifier cues in one pass over a text, ASCII case aside. A deterministic local
+parser expands each anchor to the bounds of an email, phone, address, number or
+account and validates it. Spans end where the grammar ends, at no fixed length; every
+parser reads each character a bounded number of times, so a very long word costs no
+more than other text.
 
 Base kinds follow fixed patterns (leftmost, not overlapping within a kind; a match
 that fails its check is dropped and not tried again):
@@ -16,10 +17,12 @@ phone  \\+[0-9][ ().0-9-]+[0-9], 9 to 15 digits
 
 Added kinds: ``url`` (an address that names a user), ``address`` (house number,
 capitalised names and a street word), ``account`` (an identifier with digits after
-a cue such as an account, passport or token; an IBAN may be in printed groups).
-Identifiers and addresses of any length are read to their end. Spans are in code points, end
-exclusive. A null or empty text has none; repeated rows get a row each; an empty
-table gives no rows; other columns are not read.
+a cue such as an account, passport or token; an IBAN may be in printed groups; after
+a secret's cue and a colon or equals sign all up to the next blank or quote, if it has
+a digit or capitals inside). Spans are in code points, end exclusive. A null or empty
+text, in any row, has none, whatever its doc_id; repeated rows get a row each; an empty
+table gives no rows; other columns are not read. A text is held whole by one task, in
+about twenty bytes a character.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ BASE = KINDS[:4]
 # Cue words that the parsers expand from.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "sip:")
 STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Straße", "Calle", "Rue")
-CUES = ("account", "acct", "iban", "ssn", "passport", "token", "secret", "password", "api_key", "apikey", "license", "tax id")
+CUES = ("account", "acct", "iban", "ssn", "passport", "license", "tax id")
+SECRETS = ("token", "secret", "password", "api_key", "apikey")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,27 +49,24 @@ DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 URL_END = re.compile(r"[^\s<>\"'`]*+")
 USER_IN_URL = re.compile(r"//[^/@]+@|/~[\w.-]+|/(?:users?|profiles?|u)/[\w.-]+", re.I)
-AFTER_CUE = tuple(re.compile(p + r"[ \t]*+[:=#]?+[ \t]*+[\"']?+", re.I) for p in (r"[ _-]?(?:number|no\.?|nr\.?|id|key)", ""))
+AFTER_CUE = tuple(re.compile(p + r"[ \t]*+[:=#]?+[ \t]*+[\"']?+", re.I) for p in (r"[ \t_-]*+(?:number|no\.?|nr\.?|id|key)", ""))
 # An identifier of six characters or more, with the parts that dots, slashes and the like join to it (JWT, base64).
 ACCOUNT = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,}+(?:[.+/~][A-Za-z0-9_-]++)*+={0,2}+")
+SECRET = re.compile(r"[^\s\"'`<>]{6,}+")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ \u00a0\u202f][A-Za-z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:[ \u00a0\u202f][A-Za-z0-9]{1,3}(?![A-Za-z0-9]))?+")
-NUMBER_AND_NAMES = re.compile(r"[0-9]{1,5}[A-Za-z]?,? (?:[A-Z][\w.'-]* ){1,4}\Z")
-NAME_AND_NUMBER = re.compile(r" (?:[A-Z][\w.'-]* ){0,3}[A-Z][\w.'-]*,? [0-9]{1,5}\b")
+HOUSE_NUMBER = re.compile(r"[0-9]{1,5}[A-Za-z]?,?\Z")
+NAME = re.compile(r"[A-Z][\w.'-]*+")
+NAME_AND_NUMBER = re.compile(r" (?:[A-Z][\w.'-]*+ ){0,3}[A-Z][\w.'-]*+,? [0-9]{1,5}\b")
 
 
 def automaton():
+    """Of texts in lower case: anchors by kind and length."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    a.add_word("@", ("@", 1))
-    a.add_word("+", ("+", 1))
-    for s in SCHEMES:
-        a.add_word(s, ("scheme", len(s)))
-    for s in STREETS:
-        a.add_word(s, ("street", len(s)))
-    for s in CUES:
-        for v in {s, s.upper(), s.title(), s.capitalize()}:
-            a.add_word(v, ("cue", len(v)))
+    for kind, words in (("@", "@"), ("+", "+"), ("digit", "0123456789"), ("scheme", SCHEMES), ("street", STREETS), ("cue", CUES), ("secret", SECRETS)):
+        for w in words:
+            a.add_word(w.lower(), (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -76,9 +77,8 @@ def luhn(digits: str) -> bool:
     return (sum(d[::2]) + sum(twice[x] for x in d[1::2])) % 10 == 0
 
 
-def digit_spans(text: str) -> list[tuple[str, int, int]]:
+def digit_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """ip and card spans, from the runs of digits."""
-    runs = [m.span() for m in DIGITS.finditer(text)]
     out, i, n = [], 0, len(runs)
     dot = [j + 1 < n and runs[j + 1][0] == runs[j][1] + 1 and text[runs[j][1]] == "." for j in range(n)]
     while i < n:
@@ -113,13 +113,49 @@ def iban_end(text: str, at: int) -> int | None:
     return None
 
 
+def street_start(text: str, at: int) -> int | None:
+    """Where a house number and up to four names before a street word begin."""
+    end, names = at - 1, 0
+    while end > 0 and text[end] == " ":
+        start = text.rfind(" ", 0, end) + 1
+        tail = max(start, end - 7)
+        if names and (m := HOUSE_NUMBER.search(text[tail:end])):
+            return tail + m.start()
+        if names == 4 or not NAME.fullmatch(text, start, end):
+            return None
+        end, names = start - 1, names + 1
+    return None
+
+
+def is_secret(value: str) -> bool:
+    """A digit, or capitals inside: no plain word."""
+    return any(c.isdigit() for c in value) or (any(c.islower() for c in value) and any(c.isupper() for c in value[1:]))
+
+
+def account_span(text: str, after: re.Match, secret: bool) -> tuple[int, int, bool] | None:
+    """(start, end, good) of the identifier behind a cue, if there is any."""
+    start = after.end()
+    if end := iban_end(text, start):
+        return start, end, True
+    if secret and after[0].strip(" \t\"'")[-1:] in (":", "=", "#") and (m := SECRET.match(text, start)):
+        body = m[0].rstrip(".,;:!?)]}")
+        return start, start + len(body), len(body) > 5 and is_secret(body)
+    if m := ACCOUNT.match(text, start):
+        return start, m.end(), sum(c.isdigit() for c in m[0]) >= 4
+    return None
+
+
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then by kind as listed."""
-    out = digit_spans(text)
-    email_end = phone_end = url_end = account_end = 0
-    for last, (kind, size) in anchors.iter(text):
+    out, runs = [], []
+    email_end = phone_end = url_end = account_end = digits_end = 0
+    for last, (kind, size) in anchors.iter(text.encode().lower().decode()):  # of bytes: lower case of ASCII alone
         at = last - size + 1
-        if kind == "@":
+        if kind == "digit":
+            if at >= digits_end:
+                digits_end = DIGITS.match(text, at).end()
+                runs.append((at, digits_end))
+        elif kind == "@":
             start = at
             while start > email_end and text[start - 1] in LOCAL:
                 start -= 1
@@ -133,38 +169,35 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                     phone_end = at + len(body)
                     if 9 <= sum(c.isdigit() for c in body) <= 15:
                         out.append(("phone", at, phone_end))
+        elif at and text[at - 1].isalnum():
+            continue
         elif kind == "scheme":
-            if at >= url_end and not (at and text[at - 1].isalnum()):
+            if at >= url_end:
                 end = URL_END.match(text, at).end()
                 body = text[at:end].rstrip(".,;:!?)]}")
                 url_end = at + len(body)
-                if len(body) > size and (text.startswith(("mailto:", "sip:"), at) and "@" in body or USER_IN_URL.search(body, size - 2)):
+                if len(body) > size and (body[:7].lower().startswith(("mailto:", "sip:")) and "@" in body or USER_IN_URL.search(body, size - 2)):
                     out.append(("url", at, url_end))
         elif kind == "street":
-            lo = max(0, at - 80)
-            if m := NUMBER_AND_NAMES.search(text[lo:at]):
-                out.append(("address", lo + m.start(), at + size))
-            elif m := NAME_AND_NUMBER.match(text, at + size, at + size + 80):
+            if text[at] == text[at].lower():
+                continue
+            if (start := street_start(text, at)) is not None:
+                out.append(("address", start, at + size))
+            elif m := NAME_AND_NUMBER.match(text, at + size):
                 out.append(("address", at, m.end()))
-        elif not (at and text[at - 1].isalnum()):
-            for after in AFTER_CUE:
-                m = after.match(text, last + 1)
-                if not m:
+        else:
+            for pattern in AFTER_CUE:
+                after = pattern.match(text, last + 1)
+                if not after:
                     continue
-                start = m.end()
-                if start < account_end:
+                if after.end() < account_end:
                     break  # the tail of an identifier that an earlier cue was followed by, and judged whole
-                if end := iban_end(text, start):
-                    out.append(("account", start, end))
-                elif m := ACCOUNT.match(text, start):
-                    end = m.end()
-                    if sum(c.isdigit() for c in m[0]) >= 4:
-                        out.append(("account", start, end))
-                else:
-                    continue
-                account_end = end
-                break
-    return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+                if found := account_span(text, after, kind == "secret"):
+                    start, account_end, good = found
+                    if good:
+                        out.append(("account", start, account_end))
+                    break
+    return sorted({*out, *digit_spans(text, runs)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
