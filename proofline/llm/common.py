@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder that the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made and set.
+    The folder is read from ``spark.checkpoint.dir``. Only where that is unset and
+    driver and tasks are one process on one machine, a temporary folder is made and
+    set; on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -41,6 +45,38 @@ def remove(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def finished(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as a table of its own; the working folder that it was made from goes."""
+    out = stage(df, shared_dir(df.sparkSession))
+    remove(df.sparkSession, folder)
+    return out
+
+
+#: A key is hot when it holds more than one in HOT rows, and more than FEW: no data has more than HOT hot keys.
+HOT, FEW = 1000, 1000
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``rows`` joined with a ``table`` that has one row a key, whatever share of the rows a key holds.
+
+    Hot keys number ``HOT`` at most; their rows of the table are broadcast, so rows of
+    one key stay spread over tasks. All other rows are joined by a shuffle. ``rows``
+    is read several times: it should be a written table. hot: the hot keys, if known.
+    """
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(table, key, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
+    apart = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    return rows.join(few, key, "left_anti").join(table, key, how).unionByName(apart)
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys of more than one in ``HOT`` rows, ``HOT`` at most."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > FEW)
+    return [r[0] for r in n.filter(F.col("n_rows") * HOT > rows.count()).select(key).collect()]
+
+
 def tasks(df: DataFrame) -> int:
     """Partitions for work that must keep all cores busy."""
     s = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, remove, shared_dir, stage, texts_of
+from .common import chunks, finished, shared_dir, stage, texts_of
 from .tokens import encoder
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint"
@@ -118,9 +118,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, grain:
     counts = table.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum(F.expr(f"n_tokens div {window}")).alias("wins"))
     before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    per_part = stage(ranks.groupBy("part").agg(F.sum("wins").alias("wins"), F.map_from_entries(F.collect_list(F.struct("kind", "before"))).alias("before")), f"{folder}/ranks")
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stage(per_part.select("part", "before", F.coalesce(F.sum("wins").over(upto), F.lit(0)).alias("first_full")), f"{folder}/starts")
+    maps = stage(ranks.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("kind", "before"))).alias("before")), f"{folder}/ranks")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # two numbers a partition
+    full = counts.groupBy("part").agg(F.sum("wins").alias("wins")).select("part", F.coalesce(F.sum("wins").over(upto), F.lit(0)).alias("first_full"))
+    starts = stage(maps.join(full, "part").select("part", "before", "first_full"), f"{folder}/starts")
 
     histogram, n_full = np.zeros(classes, np.int64), 0  # a row a class: bounded by the window
     for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("wins").alias("wins")).collect():
@@ -170,5 +171,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, grain:
     joined = table.join(starts, "part").select("first_full", F.coalesce(F.element_at("before", F.col("kind")), F.lit(0)).alias("before"), "doc_id", "n_tokens", "kind", "rank", "full", "ids")
     pieces = joined.mapInArrow(place, PIECE)
     inside = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    remove(spark, f"{folder}/ranks")
-    return pieces.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("slot")
+    return finished(pieces.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("slot"), folder)
