@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts_of, chunks
+from .common import by_key, chunks, shared_dir, stage, texts_of
 from .tokens import counter, file_digest
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -61,5 +61,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, cache: str | Non
         spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer_digest") == version)
         .groupBy(F.col("content_digest").alias("digest")).agg(F.first("n_tokens").alias("n_tokens"))
     )
-    sizes = docs.select("doc_id", F.octet_length(content).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
-    return sizes.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sizes = stage(docs.select("doc_id", F.octet_length(content).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest")), shared_dir(spark))
+    return by_key(sizes, stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
