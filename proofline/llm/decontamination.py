@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, shared_dir, stage, texts_of
-from .hashing import ALNUM, LOWER, Words, prefix, windows
+from .hashing import ALNUM, LOWER, Words, windows
 
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = "n_words bigint, items array<bigint>, spans array<struct<start:bigint,end:bigint>>"
@@ -43,7 +43,7 @@ def scheme(n_words: int, span: int, k: int) -> tuple[int, int]:
 
 def winnow(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and fingerprints kept: minima, ties included, of runs in one text."""
-    h = windows(prefix(words.hash), k)
+    h = windows(words.hash, k)
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)

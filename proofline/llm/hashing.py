@@ -1,17 +1,29 @@
-"""Vectorised 64-bit fingerprints of bytes, words and windows.
-
-Sums are polynomials modulo 2**64 over seeded random values, so that the
-fingerprint of any range comes from two prefix sums. Equal content always gives
-equal fingerprints, in every task and at every size.
+"""Vectorised 64-bit fingerprints of byte ranges, words and windows.
+
+No sum is taken over letters, which structured texts can bring to the same value
+whatever the base: a fingerprint is a tree of non-linear steps. A range is read
+eight bytes a step, each step a bijection of the bytes read, so ranges of eight
+bytes or less and one length never share a fingerprint. A window of twice the size
+comes from its halves; one of another size from the two largest powers of two that
+cover it. Unlike content meets with a chance of 2**-64 a pair. Equal content always
+gives equal fingerprints, in every task and at every size; ``seed`` gives an
+independent family.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15 | 1
+K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_tables: dict[str, np.ndarray] = {}
+HALF = np.uint64(32)
+#: Ranges over so many bytes are digested one by one.
+LONG = 128
+#: Positions whose windows are made at once: their arrays stay in the cache.
+STEP = 1 << 16
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def random_table(seed: int, n: int) -> np.ndarray:
@@ -19,25 +31,6 @@ def random_table(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64, n, np.uint64, endpoint=False)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each.
-
-    Tables over 4M values are made for the call and not kept.
-    """
-    have = _tables.get("up")
-    if have is not None and len(have) >= n:
-        return have, _tables["down"]
-    size = max(1 << 17, 1 << (n - 1).bit_length())
-    made = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
-        t = np.full(size, b, np.uint64)
-        t[0] = 1
-        made.append(np.cumprod(t, out=t))
-    if size <= 1 << 22:
-        _tables["up"], _tables["down"] = made
-    return made[0], made[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of fingerprints (a bijection)."""
     h = h ^ (h >> np.uint64(30))
@@ -48,30 +41,68 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; one more entry than values."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The fingerprint of two parts in order; for one ``a`` a bijection of ``b``."""
+    h = a * K1
+    h += b
+    h ^= h >> HALF
+    h *= K2
+    return h
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """Of each place the eight bytes from it on as one number, zeros past the end: a view."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprints of the byte ranges [start, end)."""
+    n, x = end - start, eights(raw)
+    lengths = mix(np.arange(LONG + 2, dtype=np.uint64) * M1 + np.uint64(2 * seed + 1) * M2)
+    h = join(lengths[np.minimum(n, LONG + 1)], x[start] & MASK[np.minimum(n, 8)])
+    own, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(own):
+        h[own] = join(h[own], x[start[own] + at] & MASK[np.minimum(n[own] - at, 8)])
+        at += 8
+        own = own[n[own] > at]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return mix(h)
+
+
+def _doubled(count: int, size: int, have: int, part) -> np.ndarray:
+    """Fingerprints of ``count`` windows; part(lo, hi): those of ``have`` places that start in [lo, hi)."""
+    out, top = np.empty(count, np.uint64), 1 << (size.bit_length() - 1)
+    own = np.uint64(size * int(M2) & (1 << 64) - 1)
+    for lo in range(0, count, STEP):
+        m = min(STEP, count - lo)
+        h, k = part(lo, lo + m + size - have), have
+        while k < top:
+            h, k = join(h[:-k], h[k:]), 2 * k
+        h = h[:m] if k >= size else join(h[:m], h[size - k : size - k + m])
+        out[lo : lo + m] = mix(h + own)
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the ranges [start, end) under ``sums``."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * M2)
+def windows(values: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all runs of ``size`` of the values, which are fingerprints themselves."""
+    return _doubled(max(len(values) - size + 1, 0), size, 1, lambda lo, hi: values[lo:hi])
+
+
+def byte_windows(raw: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all strings of ``size`` bytes."""
+    x, few = eights(raw), min(size, 8)
 
+    def part(lo: int, hi: int) -> np.ndarray:
+        h = x[lo:hi].astype(np.uint64)
+        h &= MASK[few]
+        h ^= h >> HALF
+        h *= K2
+        return h
 
-def windows(sums: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of all ranges of one size."""
-    n = len(sums) - size
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    _, down = powers(len(sums))
-    return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size * int(M2) & (2**64 - 1)))
+    return _doubled(max(len(raw) - size + 1, 0), size, few, part)
 
 
-BYTES = random_table(7, 256)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word bytes by pattern: not blank, and ASCII letters and digits or any byte of a longer character.
@@ -87,7 +118,7 @@ class Words:
     raw, offsets: the texts' bytes and their n+1 bounds. No word crosses a bound.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bool):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bool, seed: int = 0):
         n = len(raw)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = member[raw]
@@ -97,8 +128,7 @@ class Words:
         self.start = np.flatnonzero(right & (~left | bound))
         self.end = np.flatnonzero(left & (~right | bound))
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.sums = prefix((BYTES[LOWER] if lower else BYTES)[raw])
-        self.hash = spans(self.sums, self.start, self.end)
+        self.hash = ranges(LOWER[raw] if lower else raw, self.start, self.end, seed)
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))  # first word of each text
 
     def __len__(self) -> int:
@@ -106,7 +136,7 @@ class Words:
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and fingerprints of the windows that stay in one text."""
-        h = windows(prefix(self.hash), size)
+        h = windows(self.hash, size)
         at = np.flatnonzero(self.doc[: len(h)] == self.doc[size - 1 :]) if len(h) else np.zeros(0, np.int64)
         return at, h[at]
 

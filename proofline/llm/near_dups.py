@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks as runs_of
-from .common import remove, shared_dir, stage, tasks, texts_of
+from .common import FEW, HOT, by_key, finished, hot_keys, remove, shared_dir, stage, tasks, texts_of
 from .hashing import NOT_BLANK, Words, mix, random_table
 
 #: Candidates' ids are broadcast up to so many rows (16 bytes each), else joined by a shuffle.
@@ -59,9 +59,9 @@ def scheme(percent: int) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(miss_chance(s, 1, width))), width
 
 
-def shingles(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(raw: np.ndarray, off: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers and fingerprints of the distinct shingles, by text."""
-    words = Words(raw, off, NOT_BLANK, lower=True)
+    words = Words(raw, off, NOT_BLANK, lower=True, seed=seed)
     at, h = words.windows(size)
     doc = words.doc[at]
     n = np.diff(words.first)
@@ -192,14 +192,14 @@ def sketched(able: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough, by fingerprints that nothing before used."""
 
     def run(batches):
         for b in batches:
             sides = [texts_of(b.column(c)) for c in ("text_a", "text_b")]
             total = sides[0][1] + sides[1][1]
             for lo, hi in runs_of(total):
-                (da, ha), (db, hb) = (shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size) for raw, off in sides)
+                (da, ha), (db, hb) = (shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size, seed=1) for raw, off in sides)
                 ka, kb = (mix(h ^ mix(d.astype(np.uint64))) for d, h in ((da, ha), (db, hb)))
                 both = da[np.isin(ka, kb, assume_unique=True)]
                 n, na, nb = (np.bincount(d, minlength=hi - lo) for d in (both, da, db))
@@ -219,11 +219,11 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     spark = links.sparkSession
     edges = stage(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("other")), f"{folder}/edges")
     labels = stage(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), f"{folder}/labels0")
-    step = 0
+    step, hubs = 0, hot_keys(edges, "other")
     while True:
         step += 1
         of = labels.select(F.col("node").alias("other"), "comp")
-        near = edges.join(of, "other").groupBy("node").agg(F.min("comp").alias("near"))
+        near = by_key(edges, of, "other", hot=hubs).groupBy("node").agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("mid"))
         up = labels.select(F.col("node").alias("mid"), F.col("comp").alias("top"))
         new = stage(low.join(up, "mid", "left").select("node", "was", F.least("mid", "top").alias("comp")), f"{folder}/labels{step}")
@@ -275,17 +275,19 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, rounds: int = 2) ->
         now = active.select("key", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
         now = stage(now, f"{folder}/now{turn}")
         draw = F.struct(F.xxhash64(F.lit(turn), "key", "cid").alias("h"), F.col("cid"), F.col("comp"))
-        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(draw).alias("draw")).filter("lo != hi").select("key", F.col("draw.cid").alias("hub"), F.col("draw.comp").alias("hub_comp"))
-        active = stage(now.join(split, "key").select("key", "cid", "comp", F.when(F.col("comp") != F.col("hub_comp"), F.col("hub")).otherwise(F.col("cid")).alias("hub")), f"{folder}/active{turn}")
+        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(draw).alias("draw"), F.count("*").alias("n")).filter("lo != hi")
+        split = stage(split.select("key", F.col("draw.cid").alias("hub"), F.col("draw.comp").alias("hub_comp"), "n"), f"{folder}/split{turn}")
+        large = [r["key"] for r in split.filter((F.col("n") > FEW) & (F.col("n") * HOT > now.count())).collect()]  # HOT at most
+        active = stage(by_key(now, split.drop("n"), "key", hot=large).select("key", "cid", "comp", F.when(F.col("comp") != F.col("hub_comp"), F.col("hub")).otherwise(F.col("cid")).alias("hub")), f"{folder}/active{turn}")
         if not active.head(1):
             break
     of_class = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "least", F.coalesce("comp", "cid").alias("comp"))
     names = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = stage(of_class.join(names, "comp").select("digest", "component_id"), f"{folder}/named")
-    remove(spark, *(f"{folder}/{t}" for t in ("shared", "texts", "wanted")))
-    linked = signed.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest").select("doc_id", "n", "component_id")
+    linked = by_key(signed.filter("n > 0").select("doc_id", "n", "digest"), named, "digest").select("doc_id", "n", "component_id")
     alone = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return finished(out, folder)
 
 
 def _texts_of_classes(docs: DataFrame, signed: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, texts_of
-from .hashing import NOT_BLANK, Words, covered, mix, spans
+from .hashing import NOT_BLANK, Words, covered, mix, ranges
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -93,7 +93,7 @@ def measure(raw: np.ndarray, off: np.ndarray, min_repeat: int) -> dict[str, np.n
     used = np.searchsorted(words.start, start) < np.searchsorted(words.start, end)
     start, end = start[used], end[used]
     doc = np.searchsorted(off, start, "right") - 1
-    line = mix(spans(words.sums, start, end) ^ mix(doc.astype(np.uint64)))
+    line = mix(ranges(raw, start, end) ^ mix(doc.astype(np.uint64)))
     out["n_dup_lines"] = np.bincount(doc[pd.Series(line).duplicated().to_numpy()], minlength=docs)
     at, h = words.windows(3)
     code, kinds = pd.factorize(mix(h ^ mix(words.doc[at].astype(np.uint64))))

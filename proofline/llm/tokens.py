@@ -16,7 +16,7 @@ import os
 import numpy as np
 import pandas as pd
 
-from .hashing import powers, random_table
+from .hashing import ranges
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
@@ -48,7 +48,6 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocab = self.tok.get_vocab_size()
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
-        self.mult = random_table(11, 1)[0] | np.uint64(1)
         self._forget()
 
     def _forget(self) -> None:
@@ -125,15 +124,7 @@ class Encoder:
         first[(ends - n_chars)[n_chars > 0]] = True
         s = np.flatnonzero(self._starts(cps, kind, first))
         e = np.append(s[1:], len(cps))
-        up, down = powers(len(cps) + 1)
-        total = np.zeros(len(cps) + 1, np.uint64)
-        spread = cps.astype(np.uint64) + np.uint64(1)
-        spread *= self.mult
-        spread ^= spread >> np.uint64(29)
-        spread *= up[: len(cps)]
-        np.cumsum(spread, out=total[1:])
-        h = (total[e] - total[s]) * down[s]
-        h ^= h >> np.uint64(32)
+        h = ranges(cps.view(np.uint8), 4 * s, 4 * e)
         inverse, keys = pd.factorize(h)  # a hash table: no sort
         where = np.empty(len(keys), np.int64)
         where[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
