@@ -3,10 +3,17 @@
 Documents lie in blocks of a few megabytes, written once below the shared folder,
 near copies side by side. A block finds its own sorted distinct keys, deals them to
 buckets by their high bits, and each bucket, sorted by itself, answers with one bit
-a key in the same order. The answers are written by block; the next pass over the
-block finds the same keys again and lays the bits beside them. A key that a block
-holds many times is dealt once, so copies do not swell a bucket, and a bucket's
-size is its share of the distinct keys of the blocks, whatever their frequency.
+a key in the same order. The answers lie in one file a part (the blocks of one
+writing task); the next pass over a block finds the same keys again and lays the bits
+beside them. A key that a block holds many times is dealt once, so copies within a
+block do not swell a bucket; a key that every block holds gives its bucket one entry
+a block.
+
+Blocks and buckets grow with the square root of a corpus beyond ``EVEN`` bytes, up to
+``LARGEST``, and the number of tasks follows the measured size, so the rows that are
+dealt, one a block and bucket, grow as the corpus does. A task holds a block, its keys
+(at most eight bytes a position) and one bucket. A text over the block size is a block
+by itself: its task needs about ten times the text's bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +21,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -23,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stage, tasks, texts_of
-from .hashing import BYTES, prefix, windows
+from .hashing import byte_windows
 
-BLOCK = 3 << 20
+#: Bytes of a block, of a bucket's share of the texts, and of a part, while the corpus has under EVEN bytes.
+BLOCK, BUCKET, PART, EVEN = 3 << 20, 8 << 20, 128 << 20, 64 << 30
+LARGEST = 64 << 20
 TYPE = "block bigint, docs binary, bounds binary, data binary"
 #: Stands for a null doc_id inside blocks.
 NULL_ID = -(2**63)
@@ -59,7 +70,7 @@ def _nearness(batches):
         out = np.zeros(b.num_rows, np.uint64)
         for lo, hi in chunks(off):
             bounds = off[lo : hi + 1] - off[lo]
-            h = windows(prefix(BYTES[raw[off[lo] : off[hi]]]), 24)
+            h = byte_windows(raw[off[lo] : off[hi]], 24)
             full = np.flatnonzero(np.diff(bounds) >= 24)
             if len(full):
                 # Strings that cross into the next text are masked out.
@@ -69,12 +80,29 @@ def _nearness(batches):
         yield pa.record_batch([b.column(0), b.column(1), pa.array(out.view(np.int64))], ["doc_id", "text", "near"])
 
 
-def make_blocks(docs: DataFrame, where: str) -> DataFrame:
+@dataclass
+class Sizes:
+    """How a corpus is cut: bytes of a block, bits of the bucket number, number of parts."""
+
+    block: int
+    bits: int
+    parts: int
+
+
+def sizes_of(docs: DataFrame) -> Sizes:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    grown = max(total / EVEN, 1.0) ** 0.5
+    block, bucket = (min(int(b * grown), LARGEST) for b in (BLOCK, BUCKET))
+    return Sizes(block, max(total // bucket, tasks(docs) - 1, 1).bit_length(), max(tasks(docs), total // PART))
+
+
+def make_blocks(docs: DataFrame, where: str, sizes: Sizes) -> DataFrame:
     """Write the documents' blocks; a text over the block size is a block of its own.
 
     Ranges, not hashes, of the nearness decide the partition, with doc_id behind it:
     a group of copies that holds a third of all rows is split over many.
     """
+    most = sizes.block
 
     def pack(batches):
         n = TaskContext.get().partitionId() << 32
@@ -89,7 +117,7 @@ def make_blocks(docs: DataFrame, where: str) -> DataFrame:
             data = raw.tobytes()
             for i, d in enumerate(b.column(0).to_pylist()):
                 t = data[off[i] : off[i + 1]]
-                if texts and size + len(t) > BLOCK:
+                if texts and size + len(t) > most:
                     yield one()
                     n, ids, texts, size = n + 1, [], [], 0
                 ids.append(NULL_ID if d is None else d)
@@ -99,40 +127,66 @@ def make_blocks(docs: DataFrame, where: str) -> DataFrame:
             yield one()
 
     near = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_nearness, "doc_id bigint, text string, near bigint")
-    placed = near.repartitionByRange("near", "doc_id").sortWithinPartitions("near", "doc_id").select("doc_id", "text")
+    placed = near.repartitionByRange(sizes.parts, "near", "doc_id").sortWithinPartitions("near", "doc_id").select("doc_id", "text")
     return stage(placed.mapInArrow(pack, TYPE), where)
 
 
-def bucket_bits(blocks: DataFrame, size: int = 8 << 20) -> int:
-    """Bits of the bucket number: buckets of about ``size`` bytes of text, at least a task each."""
-    total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    return max(total // size, tasks(blocks) - 1, 1).bit_length()
+_part: list = [None, {}]  # the part whose answers a worker read last, and they
 
 
-def answers(where: str, block: int) -> list[np.ndarray]:
+def answers(where: str, block: int, keys: int) -> np.ndarray:
     """A block's answers of one exchange: bits in the order of its keys."""
-    fs, root = pafs.FileSystem.from_uri(f"{where}/block={block}")
-    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    rows = []
-    for f in found:
-        if f.base_name.endswith(".parquet"):
-            with fs.open_input_file(f.path) as src:
-                t = pq.ParquetFile(src).read(["bucket", "n", "bits"])
-            rows += zip(*(t.column(c).to_pylist() for c in ("bucket", "n", "bits")))
-    if not rows:
+    if not keys:
         return np.zeros(0, bool)
-    return np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for _, n, bits in sorted(rows)])
+    name = f"{where}/{block >> 32}.parquet"
+    if _part[0] != name:
+        fs, path = pafs.FileSystem.from_uri(name)
+        with fs.open_input_file(path) as src:
+            t = pq.ParquetFile(src).read()
+        _part[:] = name, {k: (n, bits) for k, n, bits in zip(*(t.column(c).to_pylist() for c in ("block", "n", "bits")))}
+    n, bits = _part[1][block]
+    assert n == keys, "a block's keys changed between passes"
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def keep_answers(where: str):
+    """Writes rows sorted by (part, block, bucket): a file a part, moved into place when whole."""
+
+    def run(batches):
+        part, of = None, {}
+
+        def flush():
+            fs, root = pafs.FileSystem.from_uri(where)
+            fs.create_dir(root, recursive=True)
+            joined = [np.concatenate(bits) for bits in of.values()]
+            t = pa.table([pa.array(list(of)), pa.array([len(j) for j in joined]), pa.array([np.packbits(j).tobytes() for j in joined], pa.binary())], ["block", "n", "bits"])
+            mine = f"{root}/.{uuid.uuid4().hex}"
+            pq.write_table(t, mine, filesystem=fs, compression="zstd")
+            fs.move(mine, f"{root}/{part}.parquet")
+            return pa.record_batch([pa.array([part]), pa.array([len(of)])], ["part", "blocks"])
+
+        for b in batches:
+            for now, block, n, bits in zip(*(b.column(c).to_pylist() for c in ("part", "block", "n", "bits"))):
+                if part is not None and now != part:
+                    yield flush()
+                    of = {}
+                part = now
+                of.setdefault(block, []).append(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
+        if of:
+            yield flush()
+
+    return run
 
 
-def exchange(blocks: DataFrame, where: str, keys_of: Callable, bits: int, narrow: bool = False) -> None:
-    """Write, by block, whether each of its keys meets its like in another block.
+def exchange(blocks: DataFrame, where: str, keys_of: Callable, sizes: Sizes, narrow: bool = False) -> None:
+    """Write, by part and block, whether each of its keys meets its like in another block.
 
     keys_of(Block): sorted distinct 64-bit keys, or (keys, owners) with a 64-bit owner
     each; then the bit says whether any block has the key with a smaller owner.
     narrow: only the 32 bits after the bucket's are compared; unlike keys may then
     be taken for like ones, which is enough to choose candidates.
     """
-    step = 4 if narrow else 8
+    step, bits = 4 if narrow else 8, sizes.bits
 
     def deal(batches):
         for b in batches:
@@ -187,5 +241,6 @@ def exchange(blocks: DataFrame, where: str, keys_of: Callable, bits: int, narrow
 
     n = max(tasks(blocks), (1 << bits) // 4)
     dealt = blocks.mapInArrow(deal, "bucket int, block bigint, keys binary, owners binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(sort_buckets, "block bigint, bucket int, n int, bits binary")
-    stage(found.repartition(tasks(blocks), "block"), where, "block")
+    found = dealt.mapInArrow(sort_buckets, "block bigint, bucket int, n int, bits binary").withColumn("part", F.shiftright("block", 32))
+    by_part = found.repartition(max(tasks(blocks), sizes.parts // 8), "part").sortWithinPartitions("part", "block", "bucket")
+    by_part.mapInArrow(keep_answers(where), "part bigint, blocks bigint").agg(F.sum("blocks")).collect()

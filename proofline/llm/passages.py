@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import NULL_ID, Block, answers, blocks_of, bucket_bits, exchange, make_blocks
-from .common import shared_dir
+from .blocks import NULL_ID, Block, answers, blocks_of, exchange, make_blocks, sizes_of
+from .common import finished, shared_dir
 from .decontamination import winnow
 from .hashing import NOT_BLANK, Words, covered
 
@@ -47,7 +47,7 @@ def extended(block: Block, where: str, size: int, bits: int):
     """Of each run: first words of windows around shared anchors, fingerprints, owners."""
     k, runs = (size + 1) // 2, list(anchors(block, size))
     keys, count = np.unique(np.concatenate([h >> np.uint64(32 - bits) for *_, h in runs] or [np.zeros(0, np.uint64)]), return_counts=True)
-    twin = (count > 1) | answers(where, block.block) if len(keys) else np.zeros(0, bool)
+    twin = (count > 1) | answers(where, block.block, len(keys))
     for first, bounds, data, words, at, h in runs:
         seed = at[twin[np.searchsorted(keys, h >> np.uint64(32 - bits))]] if len(at) else at
         near = covered(len(words), np.maximum(seed + k - size, 0), seed + 1)
@@ -71,18 +71,18 @@ def least(runs) -> tuple[np.ndarray, np.ndarray]:
 def dedup_passages(docs: DataFrame, size: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed word ranges of every document."""
     folder = shared_dir(docs.sparkSession)
-    blocks = make_blocks(docs, f"{folder}/blocks")
-    bits = bucket_bits(blocks)
+    sizes = sizes_of(docs)
+    bits, blocks = sizes.bits, make_blocks(docs, f"{folder}/blocks", sizes)
     one, two = f"{folder}/anchors", f"{folder}/windows"
-    exchange(blocks, one, lambda b: anchor_keys(b, size, bits), bits, narrow=True)
-    exchange(blocks, two, lambda b: least(list(extended(b, one, size, bits))), bits)
+    exchange(blocks, one, lambda b: anchor_keys(b, size, bits), sizes, narrow=True)
+    exchange(blocks, two, lambda b: least(list(extended(b, one, size, bits))), sizes)
 
     def remove(batches):
         for b in batches:
             for block in blocks_of(b):
                 runs = list(extended(block, one, size, bits))
                 keys, owner = least(runs)
-                smaller = answers(two, block.block)
+                smaller = answers(two, block.block, len(keys))
                 rows = []
                 for first, bounds, data, words, start, h, mine in runs:
                     at = np.searchsorted(keys, h)
@@ -111,4 +111,4 @@ def dedup_passages(docs: DataFrame, size: int = 50) -> DataFrame:
                 types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_words", "n_removed", "kept_sha256", "ranges"])
 
-    return blocks.mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, ranges array<struct<start:bigint,end:bigint>>")
+    return finished(blocks.mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, ranges array<struct<start:bigint,end:bigint>>"), folder)

@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import NULL_ID, Block, answers, blocks_of, bucket_bits, exchange, make_blocks
-from .common import shared_dir
-from .hashing import BYTES, covered, prefix, spans
+from .blocks import NULL_ID, Block, answers, blocks_of, exchange, make_blocks, sizes_of
+from .common import finished, shared_dir
+from .hashing import byte_windows, covered
 
 # Perfect difference sets, each difference of the modulus once.
 COVERS = {
@@ -50,8 +50,7 @@ def samples(block: Block, modulus: int, depth: int, bits: int):
     for first, bounds, data in block.runs():
         place, left = places(bounds)
         at = np.flatnonzero(on[place % modulus] & (left >= depth))
-        sums = prefix(BYTES[data])
-        yield first, bounds, data, sums, at, spans(sums, at, at + depth) >> np.uint64(32 - bits)
+        yield first, bounds, data, at, byte_windows(data, depth)[at] >> np.uint64(32 - bits)
 
 
 def sample_keys(block: Block, modulus: int, depth: int, bits: int) -> np.ndarray:
@@ -64,13 +63,13 @@ def candidates(block: Block, where: str, size: int, modulus: int, bits: int):
     depth = size - modulus + 1
     runs = list(samples(block, modulus, depth, bits))
     keys, count = np.unique(np.concatenate([k for *_, k in runs] or [np.zeros(0, np.uint64)]), return_counts=True)
-    twin = (count > 1) | answers(where, block.block) if len(keys) else np.zeros(0, bool)
-    for first, bounds, data, sums, at, k in runs:
+    twin = (count > 1) | answers(where, block.block, len(keys))
+    for first, bounds, data, at, k in runs:
         hit = at[twin[np.searchsorted(keys, k)]] if len(at) else at
         place, left = places(bounds)
         near = covered(len(data), np.maximum(hit - modulus + 1, hit - place[hit]), hit + 1)
         own = np.flatnonzero(near & (left >= size))
-        yield first, bounds, data, own, spans(sums, own, own + size)
+        yield first, bounds, data, own, byte_windows(data, size)[own] if len(own) else np.zeros(0, np.uint64)
 
 
 def removed_spans(bounds: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +85,22 @@ def removed_spans(bounds: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.
 def dedup_substrings(docs: DataFrame, size: int = 200, modulus: int = 91) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ranges of every document."""
     folder = shared_dir(docs.sparkSession)
-    blocks = make_blocks(docs, f"{folder}/blocks")
-    bits = bucket_bits(blocks)
+    sizes = sizes_of(docs)
+    bits, blocks = sizes.bits, make_blocks(docs, f"{folder}/blocks", sizes)
     one, two = f"{folder}/samples", f"{folder}/suffixes"
-    exchange(blocks, one, lambda b: sample_keys(b, modulus, size - modulus + 1, bits), bits, narrow=True)
+    exchange(blocks, one, lambda b: sample_keys(b, modulus, size - modulus + 1, bits), sizes, narrow=True)
 
     def suffix_keys(block):
         return np.unique(np.concatenate([k for *_, k in candidates(block, one, size, modulus, bits)] or [np.zeros(0, np.uint64)]))
 
-    exchange(blocks, two, suffix_keys, bits)
+    exchange(blocks, two, suffix_keys, sizes)
 
     def remove(batches):
         for b in batches:
             for block in blocks_of(b):
                 runs = list(candidates(block, one, size, modulus, bits))
                 keys, count = np.unique(np.concatenate([k for *_, k in runs] or [np.zeros(0, np.uint64)]), return_counts=True)
-                twin = (count > 1) | answers(two, block.block) if len(keys) else np.zeros(0, bool)
+                twin = (count > 1) | answers(two, block.block, len(keys))
                 rows = []
                 for first, bounds, data, own, k in runs:
                     start = own[twin[np.searchsorted(keys, k)]] if len(own) else own
@@ -119,4 +118,4 @@ def dedup_substrings(docs: DataFrame, size: int = 200, modulus: int = 91) -> Dat
                 types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "ranges"])
 
-    return blocks.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, ranges array<struct<start:bigint,end:bigint>>")
+    return finished(blocks.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, ranges array<struct<start:bigint,end:bigint>>"), folder)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from proofline.llm import chat, decontamination, near_dups, packing, passages, pii, quality, suffixes, token_counts, token_files, tokens
+from proofline.llm import chat, common, decontamination, near_dups, packing, passages, pii, quality, suffixes, token_counts, token_files, tokens
 from tests.llm.conftest import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -232,7 +232,7 @@ def test_suffix_dedup_of_a_block_with_empty_texts(spark, monkeypatch, order):
     texts = [{"A": line, "B": "short", "0": ""}[c] for c in order]
     bounds = np.cumsum([0, *map(len, texts)]).astype(np.int64)
     block = (0, np.arange(len(texts)).tobytes(), bounds.tobytes(), "".join(texts).encode())
-    monkeypatch.setattr(suffixes, "make_blocks", lambda docs, where: spark.createDataFrame([block], "block bigint, docs binary, bounds binary, data binary"))
+    monkeypatch.setattr(suffixes, "make_blocks", lambda docs, where, sizes: spark.createDataFrame([block], "block bigint, docs binary, bounds binary, data binary"))
     got = suffixes.dedup_substrings(table(spark, [])).drop("ranges").collect()
     assert sorted(map(tuple, got)) == bytes_brute(list(enumerate(texts)), 200)
 
@@ -324,19 +324,61 @@ def test_pii_reads_identifiers_and_urls_to_their_end():
     for n in (64, 65, 100, 300, 5000):
         assert spans(f"token: {'a1b2' * n}"[: 7 + n] + " end", "account") == [("a1b2" * n)[:n]]
     assert spans(f'access_token = "{jwt}", x', "account") == [jwt] and spans("client_secret: ab12cd34ef.", "account") == ["ab12cd34ef"]
-    spans("secret: abcd12/cd34+ef56gh==\n", "account") == ["abcd12/cd34+ef56gh=="]
+    assert spans("secret: abcd12/cd34+ef56gh==\n", "account") == ["abcd12/cd34+ef56gh=="]
     assert spans("token secret_key: 12345678", "account") == ["12345678"]
     for iban in ("DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"):
         assert spans(f"IBAN: {iban} then on", "account") == [iban]
     assert spans("IBAN: DE89 3704 0044 0532 0130 01 x", "account") == []
+    assert spans("PassWord=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY now", "account") == ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    assert spans("secret: hunter2!x, then", "account") == ["hunter2!x"] and spans("password: please keep it", "account") == []
+    assert spans("ACCOUNT" + " " * 100 + "id 1234567890123456789012345", "account") == ["1234567890123456789012345"]
+    assert spans(f"password: {'k3' * 40} on", "account") == ["k3" * 40]
+    names = "Al" + "o" * 300
+    assert spans(f"at 12 {names} Van Street, or Rue {names} 7 b", "address") == [f"12 {names} Van Street", f"Rue {names} 7"]
+    assert spans("HTTPS://user:pw@host.example/x", "url") == ["HTTPS://user:pw@host.example/x"]
+    long = "https://bob@example.org/" + "a/b?c=" * 170_000
+    assert pii.redacted(f"x {long} y", pii.find(f"x {long} y", anchors)) == "x [URL] y"
     url = "https://example.org/users/" + "long" * 2000 + "/end"
     assert spans(f"see {url}, or", "url") == [url]
-    for hard in ("token_" * 40_000 + "12345", "token:" + "token_" * 40_000, "token " + " " * 200_000, "token1a.tokenab" * 20_000, "http://" * 30_000):
+    for hard in ("Street " * 40_000, "Street" * 40_000, "9 " + "Aa" * 100_000 + " Street" * 9, "7" * 300_000, "1." * 100_000, "token_" * 40_000 + "12345", "token:" + "token_" * 40_000, "token " + " " * 200_000, "token1a.tokenab" * 20_000, "http://" * 30_000):
         t = time.process_time()
         pii.find(hard, anchors)
         assert time.process_time() - t < 5
 
 
+def thue_morse(n, zero, one):
+    """The word of n letters and its complement: sums of powers of any base, modulo a power of two, are one and the same."""
+    a, b = [zero], [one]
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_fingerprints_of_structured_texts(spark):
+    """Complementary words of letters as words, lines and texts: nothing is shared, nothing is found."""
+    a, b = ("".join(x) for x in thue_morse(2048, "a", "b"))
+    wa, wb = (" ".join(x) for x in thue_morse(1024, "ab", "ba"))
+    fill = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (2, b), (3, wa), (4, wb), (5, f"{fill}\n{a}\n{b}"), (6, f"{a} {fill}"), (7, f"{b} {fill} x"), (8, f"{a} {b} " * 3)]
+    docs = table(spark, rows)
+    assert sorted(map(tuple, near_dups.link(docs).collect())) == near_brute(rows)
+    assert sorted(map(tuple, suffixes.dedup_substrings(docs).drop("ranges").collect())) == bytes_brute(rows, 200)
+    assert sorted(map(tuple, passages.dedup_passages(docs, 50).drop("ranges").collect())) == passages_brute(rows, 50)
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert got[5].n_dup_lines == 0 and all((got[i].n_repeat_words, got[i].n_covered) == quality_brute(t)[4:6] for i, t in rows)
+    enc = tokens.Encoder(BPE)
+    ids, off = enc.ids([t for _, t in rows])
+    assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(rows))] == [e.ids for e in enc.tok.encode_batch([t for _, t in rows], add_special_tokens=False)]
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    named = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted(map(tuple, rows.join(named, "k").collect()))
+    assert sorted(map(tuple, common.by_key(rows, named, "k").collect())) == want and common.hot_keys(rows, "k") == [7]
+    assert common.by_key(rows.limit(0), named, "k").count() == 0
+
+
 def test_chat(spark):
     own = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", own), (1, 1, "assistant", own), (2, 1, "assistant", "~1 é ~~"), (2, 0, "us\ner<|", None), (2, 2, "assistant", "a\nb<"), (3, 0, None, "only"), (None, 0, "user", "q"), (4, 0, "user", "x"), (4, 0, "user", "x")]
