@@ -9,8 +9,8 @@ beside them. A key that a block holds many times is dealt once, so copies within
 block do not swell a bucket; a key that every block holds gives its bucket one entry
 a block.
 
-Blocks and buckets grow with the square root of a corpus beyond ``EVEN`` bytes, up to
-``LARGEST``, and the number of tasks follows the measured size, so the rows that are
+Blocks, buckets and parts grow with the square root of a corpus beyond ``EVEN`` bytes,
+up to a bound, and the number of tasks follows the measured size, so the rows that are
 dealt, one a block and bucket, grow as the corpus does. A task holds a block, its keys
 (at most eight bytes a position) and one bucket. A text over the block size is a block
 by itself: its task needs about ten times the text's bytes.
@@ -35,8 +35,8 @@ from .common import chunks, stage, tasks, texts_of
 from .hashing import byte_windows
 
 #: Bytes of a block, of a bucket's share of the texts, and of a part, while the corpus has under EVEN bytes.
-BLOCK, BUCKET, PART, EVEN = 3 << 20, 8 << 20, 128 << 20, 64 << 30
-LARGEST = 64 << 20
+BLOCK, BUCKET, PART, EVEN = 3 << 20, 8 << 20, 8 << 20, 64 << 30
+LARGEST, LARGEST_PART = 64 << 20, 512 << 20
 TYPE = "block bigint, docs binary, bounds binary, data binary"
 #: Stands for a null doc_id inside blocks.
 NULL_ID = -(2**63)
@@ -92,8 +92,8 @@ class Sizes:
 def sizes_of(docs: DataFrame) -> Sizes:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     grown = max(total / EVEN, 1.0) ** 0.5
-    block, bucket = (min(int(b * grown), LARGEST) for b in (BLOCK, BUCKET))
-    return Sizes(block, max(total // bucket, tasks(docs) - 1, 1).bit_length(), max(tasks(docs), total // PART))
+    block, bucket, part = (min(int(b * grown), most) for b, most in ((BLOCK, LARGEST), (BUCKET, LARGEST), (PART, LARGEST_PART)))
+    return Sizes(block, max(total // bucket, tasks(docs) - 1, 1).bit_length(), max(tasks(docs), total // part))
 
 
 def make_blocks(docs: DataFrame, where: str, sizes: Sizes) -> DataFrame:
