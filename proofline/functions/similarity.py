@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,56 +117,72 @@ def edits(a: str, b: str) -> int:
 
 
 def plain_words(text: str) -> list[str]:
+    # What clause numbers are misread as.
     text = re.sub(r"\(\s*[lI|!i]\s*\)", " 1 ", text)
     text = re.sub(r"\(\s*[zZ]\s*\)", " 2 ", text)
     return re.sub(r"[^a-z0-9]+", " ", text.casefold()).split()
 
 
-# A word whose loss turns the meaning, and how many lost words a misread explains.
-MEANING = "not"
-MOST_LOST = 4
-_OWN = frozenset(plain_words(STATEMENT))
+# The word whose loss turns the meaning, how many lost words a misread explains,
+# the longest speck, the least parts and likeness of words, and the most letters a misread gets wrong.
+MEANING, MOST_LOST = "not", 4
+LONGEST_SPECK, LEAST_PART, LEAST_LIKE, LIKENESS, LEAST_WORD, MOST_WRONG = 2, 2, 3, 66, 4, 2
+_STATEMENT_WORDS = frozenset(plain_words(STATEMENT))
 
 
-def _mark(word: str) -> bool:
-    """One or two characters that are no word of the statement: a speck read as text."""
-    return len(word) < 3 and (word.isdigit() or word not in _OWN)
+class Gap(NamedTuple):
+    """Where two word sequences part: words of the first alone, of the second alone."""
 
+    lost: list[str]
+    found: list[str]
+    at_end: bool
 
-def _remnant(word: str, lost: str) -> bool:
-    """A part of the words that went missing."""
-    return len(word) > 1 and (word in lost or (len(word) > 2 and window_ratio(word, lost) >= 66))
+    def text(self) -> str:
+        if self.at_end and not self.lost:
+            return f"after:|{' '.join(self.found)}"
+        kind = {(True, True): "substituted", (True, False): "missing", (False, True): "unexpected"}[bool(self.lost), bool(self.found)]
+        return f"{kind}:{' '.join(self.lost)}|{' '.join(self.found)}"
+
+
+def gaps(want: list[str], got: list[str]) -> list[Gap]:
+    """What lies between the blocks that both sequences share."""
+    out, i, k = [], 0, 0
+    for block in difflib.SequenceMatcher(None, want, got, autojunk=False).get_matching_blocks():
+        if block.a > i or block.b > k:
+            out.append(Gap(want[i : block.a], got[k : block.b], i == len(want)))
+        i, k = block.a + block.size, block.b + block.size
+    return out
+
+
+#: How a reading can have come by a word that is not printed: reason, and the test (word, words lost there, words of doubt).
+REASONS = {
+    "doubt": lambda w, lost, doubt: w in doubt,
+    "speck": lambda w, lost, doubt: len(w) <= LONGEST_SPECK and (w.isdigit() or w not in _STATEMENT_WORDS),
+    "part": lambda w, lost, doubt: len(w) >= LEAST_PART and w in "".join(lost),
+    "like": lambda w, lost, doubt: len(w) >= LEAST_LIKE and window_ratio(w, "".join(lost)) >= LIKENESS,
+    "near": lambda w, lost, doubt: any(len(x) >= LEAST_WORD and edits(x, w) <= MOST_WRONG for x in lost),
+}
+#: Reasons that say nothing of the printed words: what stood there is lost.
+MARKS = {"doubt", "speck"}
 
 
 @lru_cache(maxsize=4096)
 def differences(expected: str, observed: str, unsure: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(alterations, misreads) between two statements, each as kind:expected|found."""
-    want, got = plain_words(expected), plain_words(observed)
-    doubtful = {w for u in unsure for w in plain_words(u)}
-    sides: dict[bool, list[str]] = {True: [], False: []}  # altered?
-    order: list[str] = []
-    lost_words = 0
-    blocks = difflib.SequenceMatcher(None, want, got, autojunk=False).get_opcodes()
-    for kind, i, j, k, m in (b for b in blocks if b[0] != "equal"):
-        gone, new = want[i:j], got[k:m]
-        text = f"{ {'delete': 'missing', 'insert': 'unexpected', 'replace': 'substituted'}[kind] }:{' '.join(gone)}|{' '.join(new)}"
-        marks = all(_mark(w) or w in doubtful for w in new)
-        if not unsure and MEANING in gone and not any(MEANING in w for w in new):
-            altered = True
-        elif kind == "delete":
-            altered, lost_words = False, lost_words + len(gone)
-        elif kind == "insert" and i == len(want):
-            altered, text = False, f"after:|{' '.join(new)}"
-        else:
-            close = lambda w: any(len(g) > 3 and edits(g, w) < 3 for g in gone)
-            altered = not all(_mark(w) or w in doubtful or _remnant(w, "".join(gone)) or close(w) for w in new)
-            if marks and not altered:
-                lost_words += len(gone)
-        sides[altered].append(text)
-        order.append(text)
-    if lost_words > MOST_LOST and not unsure:
-        return tuple(sides[True] + sides[False]), ()
-    return tuple(sides[True]), tuple(sides[False])
+    """(alterations, misreads) between two statements, each as kind:expected|found.
+
+    A word with no reason, or the loss of the meaning word, is an alteration; text
+    behind the statement is none. Words lost beyond a bound are alterations too,
+    all of them, unless a part of the statement is in doubt.
+    """
+    doubt = {w for u in unsure for w in plain_words(u)}
+    rows = []
+    for gap in gaps(plain_words(expected), plain_words(observed)):
+        reasons = {next((name for name, test in REASONS.items() if test(w, gap.lost, doubt)), None) for w in gap.found}
+        turned = not unsure and MEANING in gap.lost and not any(MEANING in w for w in gap.found)
+        rows.append((turned or (None in reasons and not (gap.at_end and not gap.lost)), len(gap.lost) if reasons <= MARKS else 0, gap.text()))
+    too_many = not unsure and sum(lost for altered, lost, _ in rows if not altered) > MOST_LOST
+    sides = [tuple(text for altered, _, text in rows if altered is side) for side in (True, False)]
+    return (sides[0] + sides[1], ()) if too_many else (sides[0], sides[1])
 
 
 def statement_differences(expected: pd.Series, observed: pd.Series, unsure: pd.Series) -> pd.DataFrame:
@@ -181,12 +198,9 @@ def deviations(expected: Column, observed: Column, unsure: Column) -> Column:
     return pandas_udf(statement_differences, "altered array<string>, misread array<string>")(expected, observed, F.coalesce(unsure, F.array().cast("array<string>")))
 
 
-def word_listing(expected: str, observed: str, ignore_case: bool = False) -> list[str]:
+def word_listing(expected: str, observed: str) -> list[str]:
     """Missing, unexpected and substituted words between two texts."""
-    a, b = expected.split(), observed.split()
-    low = [[w.casefold() if ignore_case else w for w in x] for x in (a, b)]
-    names = {"delete": "missing", "insert": "unexpected", "replace": "substituted"}
-    return [f"{names[k]}:{' '.join(a[i:j])}|{' '.join(b[m:n])}" for k, i, j, m, n in difflib.SequenceMatcher(None, *low, autojunk=False).get_opcodes() if k != "equal"]
+    return [Gap(g.lost, g.found, False).text() for g in gaps(expected.split(), observed.split())]
 
 
 def word_difference(expected: Column, observed: Column) -> Column:

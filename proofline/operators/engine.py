@@ -6,6 +6,8 @@ structs until the output edge, so nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,21 @@ def verdict_of(checks: Column) -> Column:
     return F.when(F.exists(checks, lambda c: (c["verdict"] == "fail") & ~c["advisory"]), "fail").when(F.exists(checks, lambda c: c["verdict"] == "flag"), "flag").otherwise("pass")
 
 
+def verdict_of_codes(codes: dict[str, str], low: dict[str, Column], soft: Column) -> Column:
+    """The verdict that ``soften_unreliable`` and ``verdict_of`` give, from code columns by field; no row is built.
+
+    low: of fields with a confidence, whether it is below the floor.
+    """
+    hard, some = [], []
+    for field, code in codes.items():
+        verdict = outcome(F.col(code), 0)
+        sure = ~rules.yes(low[field]) if field in low else F.lit(True)
+        hard.append(rules.yes((verdict == "fail") & ~outcome(F.col(code), 2)) & ~rules.yes(soft) & sure)
+        some.append(rules.yes(verdict != "pass"))
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    return F.when(any_of(hard), "fail").when(any_of(some), "flag").otherwise("pass")
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """The same rows, their columns computed once.
 
@@ -110,15 +127,15 @@ def settled(rows: DataFrame) -> DataFrame:
 def review(rows: DataFrame) -> DataFrame:
     """Joined rows (``exp_*``, ``obs_*``) with brand, klass, how, commodity, checks and verdict."""
     keep = rows.columns
-    rows = rules.scored(rules.brand_and_class(rows))
+    rows = settled(rules.scored(settled(rules.brand_and_class(rows))))
     rows = rows.withColumns({"commodity": citations.commodity_of(F.col("exp_class"), F.col("klass")), "exp_ml": quantities.volume_ml(F.col("exp_net")), "obs_ml": quantities.volume_ml(F.col("obs_net"))})
-    rows = rules.warning_parts(rules.alcohol_parts(rows))
+    rows = settled(rules.warning_parts(rules.alcohol_parts(settled(rows))))
     codes = {
         "brand": rules.brand_code, "class": rules.class_code, "alcohol": rules.alcohol_code, "format": rules.format_code, "proof": rules.proof_code,
         "net": rules.net_code, "bottler": rules.bottler_code, "address": rules.address_code, "country": rules.country_code,
         "warning": rules.warning_code, "type": rules.type_code,
     }
-    rows = rows.withColumns({f"code_{n}": f() for n, f in codes.items()})
+    rows = settled(rows.withColumns({f"code_{n}": f() for n, f in codes.items()}))
     c, s = F.col, F.col("score")
     given = lambda name: F.when(c(name) != "", c(name))
     percent = F.when(c("exp_percent").isNotNull(), F.concat(c("exp_percent").cast("string"), F.lit("% Alc./Vol.")))

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _staged(df: DataFrame, where: str) -> DataFrame:
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
-def _shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from ..schemas import shared_dir, staged
 
 
 def by_declared_name(records: DataFrame, files: DataFrame) -> DataFrame:
@@ -63,15 +51,15 @@ def by_contained_id(records: DataFrame, files: DataFrame, rounds: int | None = N
 
     if rounds == 1:
         return holders(open_)
-    folder, done = _shared_dir(files.sparkSession), 0
-    open_ = _staged(open_, f"{folder}/open0")
+    folder, done = shared_dir(files.sparkSession), 0
+    open_ = staged(open_, f"{folder}/open0")
     left = open_.count()
     while True:
         held, done = holders(open_), done + 1
         if done == rounds:
             return held
         kept = open_.join(held.withColumnRenamed("file_no", "holder"), "cola_id", "left").filter("holder IS NULL OR file_no <= holder").drop("holder")
-        open_ = _staged(kept, f"{folder}/open{done}")
+        open_ = staged(kept, f"{folder}/open{done}")
         was, left = left, open_.count()
         if left == was:
             return held

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..schemas import shared_dir, staged
 from . import engine
 
 # The observation that each checklist row is computed from; the warning's wording is never read again.
@@ -94,15 +95,37 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
 
 
 def daily_cap(requests: DataFrame, limit: int) -> DataFrame:
-    """Which requests (digest, fields, ts, ok) are paid, cached or refused.
+    """Which requests (digest, fields, ts, ok) are paid, cached or refused, in time order.
 
-    The first ``limit`` distinct calls of a day are paid; a reading that succeeded
-    earlier is served again without a call; a failed call counts and is not kept.
+    A reading that a paid call brought is served again without a call, from then on.
+    Of the other requests the first ``limit`` of a day are paid: failed calls count and
+    bring nothing. The rest of the day is refused, and a refused request brings nothing
+    either. Equal times go by call, then by row.
+
+    What is known on a day depends on what was paid on the days before, so all days are
+    worked out at once from a first guess (every success is paid) until nothing changes:
+    a day is right once the days before it are. Per day only the first ``limit`` open
+    requests of each task are kept, so a busy day is no large group.
     """
     key = F.concat_ws("|", "digest", F.array_join(F.array_sort("fields"), ","))
-    rows = requests.withColumns({"key": key, "day": F.to_date("ts")})
-    before = Window.partitionBy("key").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("known", F.coalesce(F.max(F.col("ok").cast("int")).over(before), F.lit(0)) == 1)
-    calls = Window.partitionBy("day").orderBy("ts", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nth = F.sum(F.when(~F.col("known"), 1).otherwise(0)).over(calls)
-    return rows.withColumn("outcome", F.when(F.col("known"), "cached").when(nth <= limit, "paid").otherwise("refused"))
+    folder = shared_dir(requests.sparkSession)
+    rows = staged(requests.withColumns({"key": key, "day": F.to_date("ts"), "row_id": F.monotonically_increasing_id()}), f"{folder}/rows")
+    at = F.struct("ts", "key", "row_id")
+    before = Window.partitionBy("key", "day").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"at": at, "again": F.coalesce(F.max(F.col("ok").cast("int")).over(before), F.lit(0)) == 1})
+    first_of_day = Window.partitionBy("day").orderBy("ts", "key", "row_id")
+    known = staged(rows.filter("ok").groupBy("key").agg(F.min("day").alias("known_day")), f"{folder}/known0")
+    step = 0
+    while True:
+        step += 1
+        seen = rows.join(known, "key", "left").withColumn("held", F.coalesce(F.col("known_day") < F.col("day"), F.lit(False)))
+        open_ = seen.filter(~F.col("held") & ~F.col("again")).withColumn("nth", F.row_number().over(first_of_day)).filter(F.col("nth") <= limit)
+        paid = staged(open_.select("row_id", "key", "day", "ok", "at"), f"{folder}/paid{step}")
+        new = staged(paid.filter("ok").groupBy("key").agg(F.min("day").alias("known_day")), f"{folder}/known{step}")
+        if not new.join(known, ["key", "known_day"], "left_anti").head(1) and not known.join(new, ["key", "known_day"], "left_anti").head(1):
+            break
+        known = new
+    same_day = paid.filter("ok").groupBy("key", "day").agg(F.min("at").alias("brought"))
+    done = seen.join(same_day, ["key", "day"], "left").join(paid.select("row_id", F.lit(True).alias("is_paid")), "row_id", "left")
+    cached = F.col("held") | F.coalesce(F.col("brought") < F.col("at"), F.lit(False))
+    return done.withColumn("outcome", F.when(cached, "cached").when(F.col("is_paid"), "paid").otherwise("refused")).select(*requests.columns, "key", "day", "outcome")

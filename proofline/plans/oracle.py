@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from ..functions.citations import WORDS as COMMODITY_WORDS
-from ..functions.quantities import FILLS
-from ..operators.rules import GENERIC
 from . import derived
 
+# Fixed values, written out a second time so that a wrong list elsewhere shows.
+COMMODITY_WORDS = {
+    "malt": "beer|ale|lager|stout|porter|pilsner|pilsener|ipa|malt beverage|malt liquor|bock|hefeweizen|weissbier|saison|k[oö]lsch|hard seltzer|barley\\s*wine",
+    "wine": "wine|champagne|sparkling|cabernet|sauvignon|chardonnay|merlot|pinot|riesling|zinfandel|syrah|shiraz|malbec|ros[eé]|port|sherry|madeira|vermouth|sake|cider|mead|prosecco|cava|grenache|tempranillo|sangiovese|chianti|moscato|muscat|claret",
+    "spirits": "whiskey|whisky|bourbon|scotch|rye|vodka|gin|rum|tequila|mezcal|brandy|cognac|armagnac|liqueur|cordial|schnapps|absinthe|grappa|pisco|spirits?|aquavit|soju|shochu|baijiu",
+}
+FILLS = {
+    "spirits": (3750, 3000, 2000, 1800, 1750, 1000, 945, 900, 750, 720, 710, 700, 570, 500, 475, 375, 355, 350, 331, 250, 200, 187, 100, 50),
+    "wine": (3000, 2250, 1800, 1500, 1000, 750, 720, 700, 620, 600, 568, 550, 500, 473, 375, 360, 355, 330, 300, 250, 200, 187, 180, 100, 50),
+}
+GENERIC = (
+    "co", "company", "inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "distilling", "distillery", "distilleries",
+    "distillers", "brewing", "brewery", "brewers", "winery", "wines", "vineyards", "vineyard", "cellars", "spirits", "imports",
+    "importers", "importing", "trading", "group", "the", "and", "of",
+)
+
 A, O, R, E = derived.APPLICATIONS, derived.OBSERVATIONS, derived.RAW_RECORDS, derived.OUTCOMES
 W = derived.WORDS.format(words=derived.DUCK_WORDS)
 W_FROM = "AND word <> ''"
@@ -170,10 +183,14 @@ SQL: dict[str, str] = {
         SELECT cola_id, min(file_no) AS file_no FROM best GROUP BY cola_id""",
     "read_once": "SELECT doc_id, sha256(text) AS digest, length(text) AS chars FROM documents",
     "recorded_readings": """WITH d AS (SELECT doc_id, lang, sha256(text) AS digest FROM documents) SELECT lang, CASE WHEN digest IN (SELECT digest FROM d WHERE lang = 'en') THEN NULL ELSE 'no_recorded_reading' END AS error, count(*) AS n FROM d GROUP BY ALL""",
-    "daily_cap": """WITH r AS (SELECT CAST(user_id % 40 AS VARCHAR) || '|' || least('net_contents', event_type) || ',' || greatest('net_contents', event_type) AS key, ts, event_type <> 'error' AS ok FROM events),
-        k AS (SELECT *, CAST(ts AS DATE) AS day, coalesce(bool_or(ok) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM r),
-        n AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY ts, key ROWS UNBOUNDED PRECEDING) AS nth FROM k)
-        SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN known THEN 'cached' WHEN nth <= 20 THEN 'paid' ELSE 'refused' END AS outcome, count(*) AS n FROM n GROUP BY ALL""",
+    "daily_cap": """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY ts, key, event_id) AS i, * FROM (
+          SELECT event_id, ts, CAST(ts AS DATE) AS day, event_type <> 'error' AS ok, CAST(user_id % 40 AS VARCHAR) || '|' || least('net_contents', event_type) || ',' || greatest('net_contents', event_type) AS key FROM events)),
+        walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS calls, CAST([] AS VARCHAR[]) AS known, CAST(NULL AS VARCHAR) AS outcome
+          UNION ALL
+          SELECT i, day, calls + CASE WHEN outcome = 'paid' THEN 1 ELSE 0 END, CASE WHEN outcome = 'paid' AND ok THEN list_append(known, key) ELSE known END, outcome
+          FROM (SELECT *, CASE WHEN list_contains(known, key) THEN 'cached' WHEN calls < 20 THEN 'paid' ELSE 'refused' END AS outcome
+                FROM (SELECT r.i, r.day, r.key, r.ok, w.known, CASE WHEN r.day IS DISTINCT FROM w.day THEN 0 ELSE w.calls END AS calls FROM walk AS w JOIN r ON r.i = w.i + 1)))
+        SELECT strftime(day, '%Y-%m-%d') AS day, outcome, count(*) AS n FROM walk WHERE i > 0 GROUP BY ALL""",
     "export_guard": """SELECT CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS cell, count(*) AS n FROM (SELECT list_extract(['=', '+', '-', '@', 'a', chr(9)], CAST(doc_id % 6 + 1 AS INT)) || source AS c FROM documents) GROUP BY 1""",
     "eval_accuracy": f"SELECT fixture_set, count(*) AS n, CAST(sum({_OK}::INT) AS BIGINT) AS n_correct, sum({_OK}::INT) / count(*) AS accuracy FROM ({E}) GROUP BY ROLLUP (fixture_set)",
     "eval_outcomes": f"SELECT count(*) AS n, CAST(sum(({_KIND} = 'correct')::INT) AS BIGINT) AS correct, CAST(sum(({_KIND} = 'cautious')::INT) AS BIGINT) AS cautious, CAST(sum(({_KIND} = 'referred')::INT) AS BIGINT) AS referred, CAST(sum({_HARM}::INT) AS BIGINT) AS unsafe FROM ({E})",

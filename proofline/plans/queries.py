@@ -17,27 +17,32 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications joined with readings; the confidence holds for two fields."""
     o = derived.observations(spark, sf_dir)
     conf = F.create_map(F.lit("alcohol_content"), F.col("confidence"), F.lit("net_contents"), F.col("confidence"))
-    return joined(derived.applications(spark, sf_dir), o.withColumn("field_confidence", conf).drop("confidence"))
+    return joined(_parsed(derived.applications(spark, sf_dir)), o.withColumn("field_confidence", conf).drop("confidence"))
+
+
+def _parsed(applications: DataFrame) -> DataFrame:
+    """Applications with their volume and commodity, parsed once an application."""
+    return applications.withColumns({"exp_ml": quantities.volume_ml(F.col("net_contents")), "exp_kind": citations.commodity_of(F.col("class_type"))})
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows with the codes of the rules that built-in functions decide."""
     r = _rows(spark, sf_dir)
-    r = r.withColumns({"commodity": citations.commodity_of(F.col("exp_class"), F.col("obs_class")), "exp_ml": quantities.volume_ml(F.col("exp_net")), "obs_ml": quantities.volume_ml(F.col("obs_net"))})
+    r = r.withColumns({"commodity": F.coalesce("exp_kind", citations.commodity_of(F.col("obs_class"))), "obs_ml": quantities.volume_ml(F.col("obs_net"))})
     r = rules.alcohol_parts(r)
     return r.withColumns({"code_alcohol": rules.alcohol_code(), "code_format": rules.format_code(), "code_proof": rules.proof_code(), "code_net": rules.net_code(), "code_type": rules.type_code()})
 
 
 def review_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict counts over alcohol, net contents and typography rows, after softening."""
-    r = _coded(spark, sf_dir)
-    rows = F.array_compact(F.array(
-        engine.check("alcohol_content", "code_alcohol", None, F.col("obs_alcohol")), engine.check("alcohol_format", "code_format", None, F.col("obs_alcohol")),
-        engine.check("proof_consistency", "code_proof", None, F.col("obs_alcohol")), engine.check("net_contents", "code_net", None, F.col("obs_net")), engine.check("warning_typography", "code_type"),
-    ))
-    r = r.withColumn("checks", rows)
-    r = r.withColumn("checks", engine.soften_unreliable(F.col("checks"), F.col("obs_confidence"), F.col("obs_soft")))
-    return r.withColumn("verdict", engine.verdict_of(F.col("checks"))).groupBy("verdict").agg(F.count("*").alias("n"))
+    """Verdict counts over alcohol, net contents and typography rows, after softening.
+
+    Labels are counted by their codes first, so the verdict is worked out once a combination.
+    """
+    codes = {"alcohol_content": "code_alcohol", "alcohol_format": "code_format", "proof_consistency": "code_proof", "net_contents": "code_net", "warning_typography": "code_type"}
+    low = {f"low_{f}": F.try_element_at("obs_confidence", F.lit(f)) < engine.LEAST_CONFIDENCE for f in ("alcohol_content", "net_contents")}
+    counts = _coded(spark, sf_dir).withColumns(low).groupBy(*codes.values(), *low, "obs_soft").agg(F.count("*").alias("n"))
+    verdict = engine.verdict_of_codes(codes, {c.removeprefix("low_"): F.col(c) for c in low}, F.col("obs_soft"))
+    return counts.groupBy(verdict.alias("verdict")).agg(F.sum("n").alias("n"))
 
 
 def rule_alcohol(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +76,25 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("verdict", "triage_p", sinks.likely_cause(F.col("triage_p")).alias("cause"), sinks.findings(F.col("checks")).alias("findings")).agg(F.count("*").alias("n"))
 
 
+def review_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and layers of all checklist rows, by field and commodity."""
+    c = engine.review(_rows(spark, sf_dir)).select("commodity", F.explode("checks").alias("c"))
+    return c.groupBy(F.col("c.field").alias("field"), "commodity", F.col("c.citation").alias("citation"), F.col("c.layer").alias("layer")).agg(F.count("*").alias("n"))
+
+
+def review_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in which the rows of labels are shown."""
+    done = engine.review(_rows(spark, sf_dir))
+    fields = F.array_join(F.transform(triage.ordered_checks(F.col("checks")), lambda c: c["field"]), ",")
+    return done.groupBy(fields.alias("fields")).agg(F.count("*").alias("n"))
+
+
+def asked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields to read again, by label."""
+    done = engine.review(_rows(spark, sf_dir))
+    return done.groupBy(F.array_join(second_reading.requested_fields(F.col("checks"), F.col("verdict")), ",").alias("asked")).agg(F.count("*").alias("n"))
+
+
 def softening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows missing together, beside unread text, or read with low confidence."""
     r = _coded(spark, sf_dir).withColumn("obs_unread", F.when(F.col("l_orderkey") % 5 == 0, F.array(F.lit("TL"))).otherwise(F.array().cast("array<string>")))
@@ -328,7 +352,7 @@ def verdict_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        review_verdicts, rule_alcohol, rule_net_contents, rule_typography, rule_warning, review_full, review_queue, softening, applications_commodity, application_volumes,
+        review_verdicts, rule_alcohol, rule_net_contents, rule_typography, rule_warning, review_full, review_queue, review_citations, review_ordered, asked_fields, softening, applications_commodity, application_volumes,
         folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files,
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
         eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations,

@@ -1,6 +1,8 @@
 """Registered queries and their SQL."""
 
-from .plans.oracle import SQL
-from .plans.queries import QUERIES
+from .plans import oracle, queries, review_oracle
+
+QUERIES = queries.QUERIES
+SQL = oracle.SQL | review_oracle.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 APPLICATION = (
@@ -38,12 +42,34 @@ def joined(applications: DataFrame, observations: DataFrame, how: str = "inner")
     """One wide row for each reading of an application.
 
     Rows without an id carry the id UNSPECIFIED: no application is meant by it, so
-    such rows are left out before the join and cannot become a hot key.
+    such rows are left out before the join and cannot become a hot key. Columns of
+    applications named ``exp_*`` come along: what is parsed of an application is parsed
+    once, before the join.
     """
     a = conformed(applications, APPLICATION).filter(F.col("cola_id") != UNSPECIFIED)
     o = conformed(observations, OBSERVATION).filter(F.col("cola_id") != UNSPECIFIED)
-    exp = a.select("cola_id", *(F.col(k).alias(f"exp_{v}") for k, v in _EXPECTED.items()))
+    exp = a.select("cola_id", *(F.col(k).alias(f"exp_{v}") for k, v in _EXPECTED.items()), *(c for c in a.columns if c.startswith("exp_")))
     extra = [c for c in o.columns if c not in _OBSERVED and c not in ("cola_id", "notes", "field_boxes")]
     legible = F.coalesce("warning_legibility", F.when(F.coalesce(F.col("warning_text"), F.lit("")) != "", "read").otherwise("absent"))
     obs = o.withColumn("warning_legibility", legible).select("cola_id", *(F.col(k).alias(f"obs_{v}") for k, v in _OBSERVED.items()), *extra)
     return exp.join(obs, "cola_id", how)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which executors share.
+
+    Unset, it is an error on a cluster; a session on one machine takes a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, where: str) -> DataFrame:
+    """``df`` written and read back: a short lineage for loops."""
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
