@@ -56,10 +56,18 @@ def referred(c: Column, why: Column | str, where: Column) -> Column:
     return F.when(touched, updated(c, verdict=F.lit("flag"), read_uncertain=F.lit(True), softened=why)).otherwise(c)
 
 
-def soften_several_missing(checks: Column) -> Column:
-    """Several statements missing at once: the image was not read in full."""
+def missing_statements(checks: Column) -> Column:
+    """The fields of statements that reject because nothing was read."""
     gone = F.filter(checks, lambda c: (c["verdict"] == "fail") & c["observed"].isNull() & c["field"].isin(*ABSENCE, "government_warning"))
-    names = F.array_distinct(F.transform(gone, lambda c: c["field"]))
+    return F.array_distinct(F.transform(gone, lambda c: c["field"]))
+
+
+def soften_several_missing(checks: Column, names: Column | None = None) -> Column:
+    """Several statements missing at once: the image was not read in full.
+
+    names: ``missing_statements`` as a column, so that it is not worked out for each row again.
+    """
+    names = missing_statements(checks) if names is None else names
     many = F.size(names) >= SEVERAL
     return F.transform(checks, lambda c: referred(c, "several_missing", many & c["observed"].isNull() & (F.array_contains(names, c["field"]) | (c["field"] == "bottler_address"))))
 
@@ -158,7 +166,8 @@ def review(rows: DataFrame) -> DataFrame:
     )))
     rows = settled(rows)
     small = c("obs_legibility") == "illegible"
-    rows = rows.withColumn("checks", soften_several_missing(c("checks")))
+    rows = settled(rows.withColumn("missing_statements", missing_statements(c("checks"))))
+    rows = settled(rows.withColumn("checks", soften_several_missing(c("checks"), c("missing_statements"))))
     rows = rows.withColumn("checks", soften_unconfirmed(c("checks"), c("obs_unread"), small))
     rows = rows.withColumn("checks", soften_unreliable(c("checks"), c("obs_confidence"), c("obs_soft")))
     rows = rows.withColumn("checks", cited(c("checks"), c("commodity")))

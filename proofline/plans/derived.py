@@ -75,6 +75,16 @@ SELECT CAST(event_id AS STRING) AS id,
        'd' || CAST(event_id % 15 AS STRING) AS degradation, ts, user_id, event_id
 FROM events"""
 
+#: Observation documents: whole, blank, wrong types, broken.
+RAW_OBSERVATIONS = (
+    '{"brand_name": " Old Tom ", "net_contents": "750 mL", "warning_prefix_is_bold": true, "warning_text": "GOVERNMENT WARNING:", "field_confidence": {"brand_name": 91.5}, "field_boxes": {"brand_name": [[0, 0], [1, 0], [1, 1], [0, 1]]}}',
+    '{"brand_name": "   ", "net_contents": null, "warning_small_type": true, "unread_text": ["TL", " "], "image_soft": true}',
+    '{"brand_name": 17, "warning_prefix_is_bold": "yes", "field_confidence": {"brand_name": "high", "class_type": 60}, "warning_legibility": "illegible"}',
+    '{"field_boxes": {"brand_name": [[0, 0], [2, 0], [1, 1], [0, 1]], "net_contents": [[0, 0], [1, 1]]}, "warning_legibility": "odd", "warning_text": "x"}',
+    '{"brand_name": "cut',
+    '{}',
+)
+
 #: A word table, from the documents: the first words of each line, places from their positions.
 WORDS = """
 SELECT CAST(doc_id AS STRING) AS image_id, 1 AS block_num, 1 AS par_num, CAST(ln AS INT) AS line_num,

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, quantities, similarity, text
 from ..operators import engine, evaluation, layout, matching, rules, second_reading, triage
-from ..schemas import joined
+from ..schemas import EXPECTED, OBSERVED, joined, shared_dir
 from ..sources import records, sinks
 from ..streaming import jobs
-from . import derived
+from . import cases, derived, label_words
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +349,212 @@ def verdict_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("worst").agg(F.count("*").alias("n"))
 
 
+def review_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole review of label cases: the code of the field that each case is about, the label's verdict, differences."""
+    done = engine.review(cases.labels(spark, sf_dir))
+    about = F.create_map(*(F.lit(x) for name, c in cases.CASES.items() for x in (name, c[1])))
+    done = done.withColumn("field", F.try_element_at(about, F.col("case_name")))
+    code = F.get(F.filter("checks", lambda c: c["field"] == F.col("field")), F.lit(0))["code"]
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("bigint")
+    return done.groupBy("case_name", "field", code.alias("code"), "verdict", size("warning_alterations").alias("altered"), size("warning_misreads").alias("misread")).agg(F.count("*").alias("n"))
+
+
+def layout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole labels from word boxes: fields, statement, doubts and notes of every case."""
+    o = layout.observations(label_words.words(spark, sf_dir), label_words.images(spark, sf_dir))
+    names = F.array(*(F.lit(n) for n in label_words.LABELS))
+    o = o.withColumns({
+        "label": F.get(names, (F.col("image_id").cast("bigint") % len(label_words.LABELS)).cast("int")), "unsure": F.array_join("warning_unsure", ","),
+        "unread": F.array_join("unread_text", ","), "brand_conf": F.try_element_at("field_confidence", F.lit("brand_name")), "notes": F.array_join("notes", ","),
+    })
+    return o.groupBy("label", *label_words.COLUMNS).agg(F.count("*").alias("n"))
+
+
+def _record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files (name, body) from raw records: four forms, 250 rows a file, and broken files."""
+    raw = derived.raw_records(spark, sf_dir).withColumns({"form": F.pmod("row_no", F.lit(4)), "no": F.floor(F.col("row_no") / 1000)})
+    cell = lambda c: F.coalesce(F.col(c), F.lit(""))
+    line = F.when(F.col("form") == 3, F.to_json(F.struct(F.col("ttb_id").alias("TTB ID"), F.col("brand").alias("Brand Name"), F.col("abv").alias("ABV"))))
+    for form, sep in ((0, ","), (1, ";"), (2, "\t")):
+        quoted = F.concat(F.lit('"'), cell("abv"), F.lit('"'))
+        line = line.when(F.col("form") == form, F.concat_ws(sep, cell("ttb_id"), F.concat(F.lit("É "), F.trim(cell("brand"))), quoted))
+    packed = raw.withColumn("line", line).groupBy("form", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]).alias("lines"))
+    head = F.element_at(F.array(*(F.lit(h) for h in ("TTB ID,Brand,ABV", "ttb_id;brand_name;abv", "Cola\tBRAND\tAlcohol", ""))), (F.col("form") + 1).cast("int"))
+    text_ = F.when(F.col("form") == 3, F.concat(F.lit('{"records": [17,'), F.array_join("lines", ","), F.lit("]}"))).otherwise(F.concat(head, F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n")))
+    body = F.when(F.col("form") == 1, F.encode(text_, "ISO-8859-1")).when(F.col("form") == 2, F.encode(text_, "UTF-16")).otherwise(F.encode(text_, "UTF-8"))
+    name = F.concat(F.lit("form"), F.col("form"), F.lit("/"), F.col("no"), F.when(F.col("form") == 3, ".json").otherwise(".csv"))
+    p = derived.tables(spark, sf_dir, "part")["part"].filter("p_size % 10 < 4")
+    broken = F.element_at(F.array(F.lit(" \n "), F.lit('{"records": 5}'), F.lit("[1, 2"), F.lit("id,brand\n")), (F.col("p_size") % 10 + 1).cast("int"))
+    bad = p.select(F.concat(F.lit("broken/"), "p_partkey").alias("name"), F.encode(broken, "UTF-8").alias("body"))
+    return packed.select(name.alias("name"), body.alias("body")).unionByName(bad)
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as files of all forms and encodings, read back: rows and their numbers by form and error."""
+    folder = sinks.write_files(_record_files(spark, sf_dir), shared_dir(spark))
+    rows = records.checked(records.read_files(spark, folder))
+    form = F.element_at(F.split("source_file", "/"), -2)
+    accents = F.count_if(F.coalesce(F.col("brand_name").startswith("É"), F.lit(False)))
+    return rows.groupBy(form.alias("form"), "error").agg(F.count("*").alias("n"), F.sum("row_no").cast("bigint").alias("row_numbers"), F.count("cola_id").alias("ids"), F.round(F.sum("alcohol_content_pct"), 3).alias("percents"), accents.alias("accents"))
+
+
+def truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth files of two sets, read as one table with a tag."""
+    o = derived.tables(spark, sf_dir, "orders")["orders"].select("o_orderkey").filter("o_orderkey % 4 = 0")
+    verdict = F.when(F.col("o_orderkey") % 3 == 0, "pass").otherwise("fail")
+    one = F.to_json(F.struct(F.concat(F.when(F.col("o_orderkey") % 8 == 0, F.lit("photo_")).otherwise(F.lit("label_")), "o_orderkey").alias("id"), F.struct(F.col("o_orderkey").cast("string").alias("cola_id"), F.lit(40.5).alias("alcohol_content_pct")).alias("record"), verdict.alias("expected_verdict"), F.when(verdict == "fail", F.array(F.lit("net_contents"))).otherwise(F.array().cast("array<string>")).alias("expected_failing_fields")))
+    name = F.concat(F.when(F.col("o_orderkey") % 5 == 0, F.lit("rendered/")).otherwise(F.lit("ai/")), "o_orderkey", F.lit(".truth.json"))
+    folder = sinks.write_files(o.select(name.alias("name"), F.encode(one, "UTF-8").alias("body")), shared_dir(spark))
+    t = records.read_truth(spark, f"{folder}/rendered", f"{folder}/ai")
+    n = lambda c: F.sum(c).cast("bigint")
+    return t.groupBy("fixture_set", "expected_verdict").agg(F.count("*").alias("n"), n(F.col("record.cola_id").cast("bigint")).alias("ids"), n(F.size("expected_failing_fields")).alias("failing"))
+
+
+def compliant_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of a stress run."""
+    o = derived.tables(spark, sf_dir, "orders")["orders"]
+    t = o.select(F.concat(F.when(F.col("o_orderkey") % 8 == 0, F.lit("photo_")).otherwise(F.lit("label_")), "o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "pass").otherwise("fail").alias("expected_verdict"))
+    return evaluation.compliant(t).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observation documents with wrong types and blanks, made typed."""
+    o = derived.tables(spark, sf_dir, "orders")["orders"]
+    k = F.col("o_orderkey") % 6
+    doc = F.element_at(F.array(*(F.lit(d) for d in derived.RAW_OBSERVATIONS)), (k + 1).cast("int"))
+    t = records.observations(o.select("o_orderkey", doc.alias("raw")))
+    conf = F.array_join(F.transform(F.array_sort(F.map_entries("field_confidence")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    boxes = F.array_join(F.array_sort(F.map_keys("field_boxes")), ",")
+    return t.groupBy("brand_name", "net_contents", "warning_prefix_is_bold", "warning_small_type", "warning_legibility", "image_soft", conf.alias("confidence"), boxes.alias("boxes"), F.array_join("unread_text", "|").alias("unread")).agg(F.count("*").alias("n"))
+
+
+def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word tables as tab-separated files, one an image, read back and counted."""
+    w = derived.words(spark, sf_dir)
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    line = F.concat_ws("\t", F.lit(5), F.lit(1), "block_num", "par_num", "line_num", F.lit(1), "left", "top", "width", "height", "conf", "text")
+    files = w.groupBy("image_id").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    folder = sinks.write_files(files.select(F.concat("image_id", F.lit(".tsv")).alias("name"), F.encode(F.concat(F.lit(head), "lines"), "UTF-8").alias("body")), shared_dir(spark))
+    return layout.word_counts(records.read_words(spark, folder)).withColumn("mean_conf", F.round("mean_conf", 6))
+
+
+def queue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue written for spreadsheets, its lines read back as they stand."""
+    o = derived.outcomes(spark, sf_dir).filter("actual <> 'error'")
+    r = o.select(F.concat(F.when(F.col("event_id") % 3 == 0, F.lit("=")).otherwise(F.lit("")), "id").alias("cola_id"), F.col("actual").alias("verdict"), F.array().cast(f"array<{engine.CHECK}>").alias("checks"), F.col("total_ms").alias("elapsed_ms"), F.when(F.col("actual") == "flag", F.col("triage_p")).alias("triage_p"), F.when(F.col("event_id") % 7 == 0, F.lit('a "quoted" note')).alias("error"))
+    folder = shared_dir(spark)
+    sinks.write_queue(r, folder)
+    lines = spark.read.text(folder, lineSep="\r\n").filter("value NOT LIKE '%COLA ID%'")
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document a label."""
+    o = derived.outcomes(spark, sf_dir).select(F.col("id").alias("cola_id"), F.col("actual").alias("verdict"), "triage_p")
+    return sinks.payload(o)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation and stress reports written as tables, read back side by side."""
+    o = _outcomes(spark, sf_dir)
+    folder = sinks.write_reports({"accuracy": evaluation.accuracy(o), "confusion": evaluation.confusion(o)}, shared_dir(spark))
+    a = spark.read.parquet(f"{folder}/accuracy").select(F.lit("accuracy").alias("report"), F.coalesce("fixture_set", F.lit("all")).alias("row"), F.col("n_correct").alias("n"))
+    c = spark.read.parquet(f"{folder}/confusion").select(F.lit("confusion").alias("report"), F.col("expected").alias("row"), F.col("fail").alias("n"))
+    return a.unionByName(c)
+
+
+def form_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form fields: blanks become null, a blank id the one that no application has."""
+    raw = derived.raw_records(spark, sf_dir).select(F.col("ttb_id").alias("cola_id"), F.col("brand").alias("brand_name"), "row_no")
+    return records.from_form(raw).groupBy("cola_id").agg(F.count("*").alias("n"), F.count("brand_name").alias("brands"))
+
+
+def work_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that have a declared image, of all records."""
+    recs, files = _images(spark, sf_dir)
+    return matching.to_review(recs, matching.by_declared_name(recs, files)).select("cola_id", "image")
+
+
+def truth_and_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth joined with reviewed cases: wrong rejections, right reasons."""
+    done = engine.review(cases.labels(spark, sf_dir))
+    results = done.select(F.col("o_orderkey").cast("string").alias("id"), "verdict", "checks", F.lit(None).cast("string").alias("error"), "case_name")
+    truth = done.sparkSession.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "pass").otherwise("fail").alias("expected_verdict"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("government_warning"))).alias("expected_failing_fields"),
+    )
+    o = evaluation.outcomes(truth, results)
+    return o.groupBy("case_name", "expected", "actual", F.array_join("wrong_fails", ",").alias("wrong_fails"), "right_reason").agg(F.count("*").alias("n"))
+
+
+def word_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a reading of a name lacks, adds or swaps."""
+    o = derived.tables(spark, sf_dir, "part")["part"]
+    k = F.col("p_partkey") % 4
+    seen = F.when(k == 0, F.concat("p_name", F.lit(" reserve"))).when(k == 1, F.regexp_replace("p_name", "^[^ ]+ ", "")).when(k == 2, F.regexp_replace("p_name", " [^ ]+$", " gin")).otherwise(F.col("p_name"))
+    return o.groupBy("p_name", F.array_join(similarity.word_difference(F.col("p_name"), seen), ";").alias("listing")).agg(F.count("*").alias("n"))
+
+
+def triage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ranking model sees of the statement's row of label cases."""
+    done = engine.review(cases.labels(spark, sf_dir))
+    one = done.select("case_name", F.explode(triage.findings(F.col("checks"), F.col("warning_misreads"), F.col("warning_alterations"))).alias("f")).filter("f.field = 'government_warning'")
+    return one.groupBy("case_name", "f.verdict", "f.layer", "f.advisory", "f.read_uncertain", "f.words_missing", "f.words_unexpected", "f.words_substituted").agg(F.count("*").alias("n"))
+
+
+def first_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three unread texts of a label as a message quotes them."""
+    d = derived.tables(spark, sf_dir, "documents")["documents"]
+    return d.select("doc_id", layout.first_snippets(F.split("text", "\n")).alias("quoted"))
+
+
+def evidence_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes around the words of each image, as fractions of the image at twice its size."""
+    w = derived.words(spark, sf_dir).groupBy("image_id").agg(F.collect_list(F.struct("left", "top", "width", "height")).alias("words"))
+    b = layout.to_fractions(layout.box(F.col("words")), F.lit(2.0), F.lit(0.0), F.lit(2000), F.lit(9000))
+    return w.select("image_id", b[0][0].alias("x0"), b[0][1].alias("y0"), b[2][0].alias("x1"), b[2][1].alias("y1"))
+
+
+def bold_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of whole labels, bold or not by their ink."""
+    o = layout.observations(label_words.words(spark, sf_dir), label_words.images(spark, sf_dir))
+    return o.groupBy("warning_legibility", "warning_prefix_is_bold").agg(F.count("*").alias("n"))
+
+
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four similarities between the names of neighbouring parts."""
+    p = derived.tables(spark, sf_dir, "part")["part"].select("p_partkey", "p_name")
+    pairs = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").groupBy("p_name", "other").agg(F.count("*").alias("n"))
+    a, b = F.col("p_name"), F.col("other")
+    s = similarity.scores(plain=("ratio", a, b), window=("window", a, b), by_word=("sorted", a, b), by_set=("set", a, b))
+    return pairs.withColumn("s", s).select("p_name", "other", "n", *(F.round(f"s.{c}", 6).alias(c) for c in ("plain", "window", "by_word", "by_set")))
+
+
+def _streamed(df: DataFrame, job) -> DataFrame:
+    """A table arriving as a stream of files, through ``job``, to a table of results."""
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/in")
+    stream = df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/in")
+    run = job(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return df.sparkSession.read.parquet(f"{folder}/out")
+
+
+def streamed_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label cases reviewed as their readings arrive, against the table of applications."""
+    rows = cases.labels(spark, sf_dir).withColumn("cola_id", F.col("o_orderkey").cast("string"))
+    apps = rows.select("cola_id", *(F.col(f"exp_{v}").alias(k) for k, v in EXPECTED.items()))
+    readings = rows.select("cola_id", "case_name", *(F.col(f"obs_{v}").alias(k) for k, v in OBSERVED.items()))
+    done = _streamed(readings, lambda s: jobs.review_stream(apps, s).select("case_name", "verdict"))
+    return done.groupBy("case_name", "verdict").agg(F.count("*").alias("n"))
+
+
+def streamed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents as they arrive, each once."""
+    d = derived.tables(spark, sf_dir, "documents")["documents"].select(F.sha2("text", 256).alias("digest"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 86400).alias("ts"))
+    return _streamed(d, lambda s: jobs.first_by_digest(s)).groupBy("digest").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -357,5 +563,10 @@ QUERIES = {
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
         eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations,
         similar_names, ordered_batch, verdict_ranks,
+        streamed_review, streamed_digests,
+        form_records, work_set, truth_and_results, word_listings, triage_findings, first_snippets, evidence_boxes, bold_headings, similar_words,
+        record_files, truth_files, compliant_labels, raw_observations, word_files, queue_files, payloads, reports,
+        layout_labels,
+        review_cases,
     )
 }

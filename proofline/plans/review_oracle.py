@@ -101,7 +101,7 @@ SQL = {
         SELECT *, CASE WHEN field IN ('alcohol_content', 'alcohol_format', 'proof_consistency') THEN 'alcohol_statement' WHEN field = 'warning_typography' THEN 'warning_prefix_is_bold'
                WHEN field <> 'government_warning' THEN field END AS source FROM checks) GROUP BY rid) SELECT asked, count(*) AS n FROM asked GROUP BY asked""",
     "second_readings": f"""{ROWS}, x AS (SELECT *, field = 'net_contents' AND verdict = 'flag' AND v = 'flag' AND unsure AND exp_net IS NOT NULL
-          AND NOT (commodity IN ('spirits', 'wine') AND NOT regexp_matches(exp_net, '(?i)[0-9] *(ml|l)$')) AND NOT coalesce(commodity = 'malt' AND NOT regexp_matches(exp_net, '(?i)(fl oz|gallon)$'), false) AS cleared FROM checks),
+          AND NOT coalesce(commodity IN ('spirits', 'wine') AND NOT regexp_matches(exp_net, '(?i)[0-9] *(ml|l)$'), false) AND NOT coalesce(commodity = 'malt' AND NOT regexp_matches(exp_net, '(?i)(fl oz|gallon)$'), false) AS cleared FROM checks),
         y AS (SELECT rid, any_value(verdict) AS was, bool_or(cleared) AS cleared, bool_or(v = 'fail' AND NOT advisory) AS hard, bool_or(v = 'flag' AND NOT cleared) AS referred FROM x GROUP BY rid)
         SELECT was, CASE WHEN hard THEN 'fail' WHEN referred THEN 'flag' ELSE 'pass' END AS verdict, CASE WHEN cleared THEN 'net_contents' ELSE '' END AS adopted, CASE WHEN cleared THEN 'net_contents' ELSE '' END AS cleared, count(*) AS n FROM y GROUP BY ALL""",
 }

@@ -22,8 +22,8 @@ OBSERVATION = (
 VERDICTS = ("pass", "flag", "fail")
 UNSPECIFIED = "UNSPECIFIED"
 
-_EXPECTED = {"brand_name": "brand", "class_type": "class", "alcohol_content_pct": "percent", "net_contents": "net", "bottler_name": "bottler", "bottler_address": "address", "country_of_origin": "country"}
-_OBSERVED = {
+EXPECTED = {"brand_name": "brand", "class_type": "class", "alcohol_content_pct": "percent", "net_contents": "net", "bottler_name": "bottler", "bottler_address": "address", "country_of_origin": "country"}
+OBSERVED = {
     "brand_name": "brand", "class_type": "class", "class_type_next": "class_next", "alcohol_statement": "alcohol", "net_contents": "net",
     "bottler_name": "bottler", "bottler_address": "address", "country_of_origin": "country", "warning_text": "warning", "warning_unsure": "unsure",
     "warning_prefix_is_bold": "bold", "warning_small_type": "small_type", "warning_legibility": "legibility", "field_confidence": "confidence",
@@ -48,10 +48,10 @@ def joined(applications: DataFrame, observations: DataFrame, how: str = "inner")
     """
     a = conformed(applications, APPLICATION).filter(F.col("cola_id") != UNSPECIFIED)
     o = conformed(observations, OBSERVATION).filter(F.col("cola_id") != UNSPECIFIED)
-    exp = a.select("cola_id", *(F.col(k).alias(f"exp_{v}") for k, v in _EXPECTED.items()), *(c for c in a.columns if c.startswith("exp_")))
-    extra = [c for c in o.columns if c not in _OBSERVED and c not in ("cola_id", "notes", "field_boxes")]
+    exp = a.select("cola_id", *(F.col(k).alias(f"exp_{v}") for k, v in EXPECTED.items()), *(c for c in a.columns if c.startswith("exp_")))
+    extra = [c for c in o.columns if c not in OBSERVED and c not in ("cola_id", "notes", "field_boxes")]
     legible = F.coalesce("warning_legibility", F.when(F.coalesce(F.col("warning_text"), F.lit("")) != "", "read").otherwise("absent"))
-    obs = o.withColumn("warning_legibility", legible).select("cola_id", *(F.col(k).alias(f"obs_{v}") for k, v in _OBSERVED.items()), *extra)
+    obs = o.withColumn("warning_legibility", legible).select("cola_id", *(F.col(k).alias(f"obs_{v}") for k, v in OBSERVED.items()), *extra)
     return exp.join(obs, "cola_id", how)
 
 
