@@ -6,6 +6,12 @@
 3. decontaminate: documents that hold a benchmark window go.
 4. pii: personal data in the texts is replaced by its kind; ``n_chars`` follows.
 5. pack: what is left becomes training sequences of at most 2048 tokens.
+
+Rows are told apart by number, never by doc_id: rows of one id, or of none, stand for
+themselves. A null or empty text has no words, so the first stage rejects it; repeated
+rows are near copies of each other, and the first stays. An empty table gives no rows,
+an empty benchmark contaminates none. Other columns go through untouched up to the last
+stage, whatever their names. A long text is held whole by one task in each stage.
 """
 
 from __future__ import annotations
