@@ -121,7 +121,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """Numbered ``docs`` less the rows in ``gone`` (a column ``gone`` of row numbers), without the numbers."""
+    """Numbered ``docs`` less the rows in ``gone`` (a column ``gone`` of row numbers), without the numbers.
+
+    Numbers, unlike ids, are never null and never repeat; an empty ``gone`` leaves all rows.
+    """
     gone = stage(gone, f"{shared_dir(docs.sparkSession)}/gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -231,7 +231,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced; all other columns stay."""
+    """``docs`` with personal data in ``text`` replaced; a null text stays null, all rows and other columns stay."""
     place = docs.columns.index("text")
 
     def run(batches):

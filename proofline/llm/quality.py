@@ -132,7 +132,7 @@ def quality(docs: DataFrame, min_words: int = 50, min_repeat: int = 8, max_cover
 
 
 def keep_good(docs: DataFrame, min_words: int = 50, min_repeat: int = 8, max_covered: int = 40, max_longest: int = 30) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns; null and empty texts go, repeated rows are judged each."""
     place = docs.columns.index("text")
 
     def run(batches):

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from proofline.llm import entries
+from tests.llm import test_operators as ops
 from tests.llm.conftest import table
 
 
@@ -47,3 +48,53 @@ def test_rows_with_one_id_or_none_stand_for_themselves(spark, tmp_path):
 def test_all_operators_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in entries.QUERIES}) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dups", "decontaminate", "pii", "pack"]
+
+
+def brute(rows, items):
+    """What the stages leave of (doc_id, text) rows: row numbers, by plain loops over all pairs."""
+    kept = []
+    for k, (_, t) in enumerate(rows):
+        n, _, _, _, three, eight, longest = ops.quality_brute(t)
+        if n >= 50 and 100 * three <= 50 * n and 100 * eight <= 40 * n and not (longest >= 8 and 100 * longest > 30 * n):
+            kept.append(k)
+    comp = {k: c for k, _, c, _ in ops.near_brute([(k, rows[k][1]) for k in kept], size=5, percent=80)}
+    first = {}
+    for k in kept:
+        i = rows[k][0]
+        first[comp[k]] = min(first.get(comp[k], (2, 0, 0)), (i is None, i or 0, k))
+    kept = [k for k in kept if first[comp[k]][2] == k]
+    dirty = {k for k, *_, hit in ops.windows_brute([(k, rows[k][1]) for k in kept], items) if hit}
+    return [k for k in kept if k not in dirty]
+
+
+def test_pipeline_equals_brute_force(spark, rows, tmp_path):
+    """Nulls, empty and repeated texts, one id or none for several rows, copies, near copies, passages, personal data."""
+    rows = [r for r in rows if r[0] != 50]  # too long for the brute force of the longest repeat
+    base = rows[6][1].split()
+    rows += [(None, rows[20][1]), (7, None), (7, rows[8][1]), (None, ""), (11, rows[8][1]), (None, " ".join(base[:100] + ["zz"] + base[100:])), (13, " ".join(base[:160]))]
+    rows += [(200 + k, f"{rows[30 + k][1]} write to person{k}@mail.example.org or +44 20 7946 095{k}") for k in range(4)]
+    items = [(1, " ".join(rows[34][1].split()[5:30])), (2, None), (3, ""), (None, " ".join(rows[35][1].split()[3:14]))]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = brute(rows, items)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, str(tmp_path)).cache()
+    got = docs.collect()
+    texts = sorted((rows[k][0] or -1, rows[k][1]) for k in left)
+    clean = sorted((i, t) for i, t in texts if not ops.pii_brute(t))
+    assert sorted(r.doc_id or -1 for r in got) == [i for i, _ in texts] and set(clean) <= {(r.doc_id or -1, r.text) for r in got}
+    assert all(not ops.pii_brute(r.text) and r.n_chars == len(r.text) for r in got) and any(ops.pii_brute(t) for _, t in texts)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(ops.BPE)
+    want = sorted((r.doc_id or -1, ops.crc(tok.encode(r.text, add_special_tokens=False).ids + [1])) for r in got if len(r.text) < 4000)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in got)
+    assert {(r.doc_id or -1, r.ids_crc32) for r in packed if r.length == r.doc_tokens} <= set(want)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
