@@ -60,7 +60,9 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
     asked = reviewed.withColumn("asked", requested_fields(F.col("checks"), F.col("verdict")))
     joined = asked.join(clean, key, "left")
     got = F.map_filter(F.coalesce("again", F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains("asked", k))
+    # Read three times below: the review before it is worked out once.
     joined = joined.withColumn("again", got).withColumn("again_bold", F.when(F.array_contains("asked", "warning_prefix_is_bold"), F.col("again_bold")))
+    joined = staged(joined, f"{shared_dir(reviewed.sparkSession)}/asked")
     some = (F.size("again") > 0) | F.col("again_bold").isNotNull()
     own = [c for c in reviewed.columns if c.startswith(("exp_", "obs_"))]
     todo = joined.filter(some).withColumn("row_id", F.monotonically_increasing_id())
