@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stage, tasks, texts_of
-from .hashing import byte_windows
+from .hashing import byte_windows, mix
 
 #: Bytes of a block, of a bucket's share of the texts, and of a part, while the corpus has under EVEN bytes.
 BLOCK, BUCKET, PART, EVEN = 3 << 20, 8 << 20, 8 << 20, 64 << 30
@@ -64,7 +64,10 @@ def blocks_of(batch: pa.RecordBatch):
 
 
 def _nearness(batches):
-    """Adds the least fingerprint of a text's 24-byte strings: near copies often share it."""
+    """Adds a number that near copies often share: the least fingerprint of a text's 24-byte strings.
+
+    It is spread anew, since the least of many is small: long texts would all lie in the first ranges.
+    """
     for b in batches:
         raw, off = texts_of(b.column(1))
         out = np.zeros(b.num_rows, np.uint64)
@@ -77,7 +80,7 @@ def _nearness(batches):
                 last = np.repeat(bounds[1:], np.diff(bounds))[: len(h)]
                 h = np.where(np.arange(len(h)) + 24 <= last, h, np.uint64(2**64 - 1))
                 out[lo + full] = np.minimum.reduceat(h, bounds[:-1][full])
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(out.view(np.int64))], ["doc_id", "text", "near"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(mix(out).view(np.int64))], ["doc_id", "text", "near"])
 
 
 @dataclass
