@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import VERDICTS
+from .running import running
 
 SCORED = ("brand_name", "class_type", "alcohol_statement", "net_contents", "warning_text", "warning_prefix_is_bold")
 
@@ -65,8 +66,8 @@ def confusion(df: DataFrame) -> DataFrame:
 def latency(df: DataFrame, percents: tuple[int, ...] = (50, 95, 99, 100)) -> DataFrame:
     """Nearest-rank percentiles with half-even rounding, from counts by value."""
     counts = df.filter("error IS NULL").groupBy("total_ms").agg(F.count("*").alias("n"))
-    order = Window.orderBy("total_ms")  # over distinct values
-    ranked = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    total = F.lit(df.filter("error IS NULL").count())
+    ranked = running(counts, [F.col("total_ms")], [], upto=F.col("n")).withColumn("total", total)
     place = lambda p: F.least(F.bround(F.lit(p / 100) * (F.col("total") - 1)), F.col("total") - 1)
     return ranked.agg(*(F.min(F.when(F.col("upto") > place(p), F.col("total_ms"))).alias("p_max" if p == 100 else f"p{p}") for p in percents))
 
@@ -94,8 +95,7 @@ def separation(df: DataFrame) -> DataFrame:
     """
     scored = df.filter((F.col("actual") == "flag") & F.col("triage_p").isNotNull())
     by_p = scored.groupBy("triage_p").agg(F.sum((F.col("expected") != "pass").cast("bigint")).alias("g"), F.sum((F.col("expected") == "pass").cast("bigint")).alias("n"))
-    below = Window.orderBy("triage_p").rowsBetween(Window.unboundedPreceding, -1)
-    run = by_p.withColumn("n_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    run = running(by_p, [F.col("triage_p")], [], upto=F.col("n")).withColumn("n_below", F.col("upto") - F.col("n"))
     s = lambda c: F.sum(c)
     pairs = (s("g") * s("n")).cast("double")
     lowest, highest = F.min(F.when(F.col("g") > 0, F.col("triage_p"))), F.max(F.when(F.col("n") > 0, F.col("triage_p")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 # Weights of a doubtful reading, an advisory finding and any other referral.
 READING, ADVISORY, OTHER = 0.2, 0.55, 0.85
 FIELD_ORDER = (
@@ -56,6 +58,6 @@ def work_queue(results: DataFrame, position: str = "input_pos") -> DataFrame:
 
 
 def queue_positions(results: DataFrame, batch: str, position: str = "input_pos") -> DataFrame:
-    """Places in the queue of each batch."""
-    order = Window.partitionBy(batch).orderBy(queue_rank(F.col("verdict")), F.coalesce("triage_p", F.lit(-1.0)).desc(), position)
-    return results.withColumn("queue_pos", F.row_number().over(order))
+    """Places in the queue of each batch, however large a batch is."""
+    order = [queue_rank(F.col("verdict")), F.coalesce("triage_p", F.lit(-1.0)).desc(), F.col(position)]
+    return running(results, order, [batch], queue_pos=F.lit(1))

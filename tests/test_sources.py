@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofline.functions import similarity
 from proofline.operators import layout, matching
+from proofline.operators.running import running
 from proofline.sources import records, sinks
 from proofline.streaming import jobs
 
@@ -154,3 +156,18 @@ def test_queue_file(spark, tmp_path):
     sinks.write_queue(df.coalesce(1), str(tmp_path / "q"))
     body = next((tmp_path / "q").glob("part-*.csv")).read_bytes()
     assert body == "﻿".join(["", '"COLA ID","Result","Findings","Seconds","Chance of a genuine defect","Triage by"\r\n"\'=1+1","Review","net contents (review)","1.2","85%","heuristic"\r\n']).encode() or body.startswith(b'"\xef\xbb\xbfCOLA ID"')
+
+
+def test_running_sums_equal_the_plain_window(spark):
+    """A group of nearly all rows, a null group, repeated order keys, null values; an empty table."""
+    rows = spark.range(0, 3000, 1, 7).select(
+        F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 20 == 0, "few").otherwise("most").alias("batch"), (F.col("id") * 7919 % 3000).alias("place"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"), F.lit("x").alias("range_no"),
+    )
+    w = Window.partitionBy("batch").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = rows.withColumns({"total": F.sum("n").over(w), "at": F.count("*").over(w)}).fillna(0, ["total"])
+    order = [F.col("place").desc()]
+    got = running(rows, order, ["batch"], total=F.coalesce("n", F.lit(0)), at=F.lit(1))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert running(rows.limit(0), order, ["batch"], at=F.lit(1)).collect() == []
+    whole = running(rows, [F.col("place")], [], at=F.lit(1)).orderBy("place").collect()
+    assert [r["at"] for r in whole] == list(range(1, 3001))
