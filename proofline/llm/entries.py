@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, sql
 from .decontamination import find_contamination, report
+from .lines import dedup_lines
 from .near_dups import link
 from .packing import pack
 from .passages import dedup_passages
 from .pii import find_pii
 from .quality import quality
+from .spelling import group_spellings
 from .suffixes import dedup_substrings
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(table(spark, sf_dir, "documents"), size=50).drop("ranges")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), least=20, least_docs=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dups": op2_near_dups,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_passages": op10_passages,
+    "op11_whitening": op11_whitening,
+    "op12_spellings": op12_spellings,
+    "op13_line_dedup": op13_line_dedup,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.contamination(),
@@ -88,4 +106,6 @@ SQL: dict[str, str] = {
     "op5_chat": sql.chats(),
     "op6_quality": sql.quality(),
     "op10_passages": sql.passages(),
+    "op12_spellings": sql.spellings(),
+    "op13_line_dedup": sql.line_dedup(),
 }

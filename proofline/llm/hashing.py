@@ -58,7 +58,7 @@ def eights(raw: np.ndarray) -> np.ndarray:
 def ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Fingerprints of the byte ranges [start, end)."""
     n, x = end - start, eights(raw)
-    lengths = mix(np.arange(LONG + 2, dtype=np.uint64) * M1 + np.uint64(2 * seed + 1) * M2)
+    lengths = mix(np.arange(LONG + 2, dtype=np.uint64) * M1 + np.uint64((2 * seed + 1) * int(M2) & (1 << 64) - 1))
     h = join(lengths[np.minimum(n, LONG + 1)], x[start] & MASK[np.minimum(n, 8)])
     own, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
     while len(own):

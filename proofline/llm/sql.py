@@ -93,3 +93,44 @@ links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c F
 reach AS (SELECT doc_id, doc_id AS r FROM t UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, t.doc_id = c AS kept
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+#: Checksums (crc32) of UTF-8 texts whose characters are below code point 256: the table by rule, then a fold over bytes.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+
+
+def crc32(text: str, table: str) -> str:
+    bytes_ = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 192 THEN [194, unicode(c)] ELSE [195, unicode(c) - 64] END))"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, {table}[CAST(xor(c, b) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def spellings(docs: str = "documents", letters: int = 6, least: int = 5, times: int = 5, one_in: int = 199) -> str:
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {CRC_TABLE} AS t),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM {docs}) WHERE length(run) >= {letters} GROUP BY ALL),
+h AS (SELECT run, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run", "t")} AS h FROM runs, crc),
+altered AS (SELECT CASE WHEN h % {one_in} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= {letters} GROUP BY word HAVING sum(n) >= {least}),
+cut AS MATERIALIZED (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+         UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = cut.rest
+         UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = cut.rest),
+ranked AS (SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, w.n AS other_n,
+             row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, encode(other)) AS k FROM near JOIN words w ON w.word = near.other),
+found AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {times} * n THEN other END AS form, CASE WHEN other_n >= {times} * n THEN other_n END AS form_n
+          FROM words LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON r.word = words.word),
+walk AS (SELECT word, word AS last FROM found UNION ALL SELECT walk.word, found.form FROM walk JOIN found ON found.word = walk.last WHERE found.form IS NOT NULL)
+SELECT found.word, form, last AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM found JOIN (SELECT walk.word, walk.last FROM walk JOIN found ON found.word = walk.last WHERE found.form IS NULL) e ON e.word = found.word"""
+
+
+def line_dedup(docs: str = "documents", least: int = 20, least_docs: int = 3) -> str:
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH l AS MATERIALIZED (SELECT doc_id, p, line, translate(trim(line, {blanks}), '{UPPER}', '{LOWER}') AS key
+           FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {docs}))),
+shared AS (SELECT key, max(doc_id) AS owner FROM l WHERE length(key) >= {least} GROUP BY key HAVING count(DISTINCT doc_id) >= {least_docs}),
+marked AS (SELECT doc_id, p, line, shared.key IS NOT NULL AND doc_id <> owner AS gone FROM l LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
