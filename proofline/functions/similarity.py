@@ -106,6 +106,22 @@ def score(kind: str, a: Column, b: Column) -> Column:
     return scores(s=(kind, a, b))["s"]
 
 
+def ratio_to(text: Column, target: str) -> Column:
+    """The score of a column against a fixed text of at most 62 letters, by built-in expressions: a bit for each of its letters."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(target):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(target)) - 1
+    masks = F.create_map(*(F.lit(x).cast("bigint" if k % 2 else "string") for pair in where.items() for k, x in enumerate(pair)))
+
+    def step(rest: Column, ch: Column) -> Column:
+        hit = rest.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("bigint")))
+        return (rest + hit).bitwiseOR(rest - hit).bitwiseAND(F.lit(full).cast("bigint"))
+
+    shared = len(target) - F.bit_count(F.aggregate(F.split(text, ""), F.lit(full).cast("bigint"), step))
+    return 200.0 * shared / (F.length(text) + len(target))
+
+
 def edits(a: str, b: str) -> int:
     """Levenshtein distance."""
     row = list(range(len(b) + 1))

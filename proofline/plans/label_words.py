@@ -52,7 +52,7 @@ EXPECTED = {
     "words in doubt": (*_FULL, _COPY.replace("women", "wcmen"), "read", False, False, "wcmen", "", 95.0, "", None),
     "unit in doubt": (*_FULL, _COPY, "read", False, False, "", "", 95.0, "", None),
     "no dominant line": (None, *_FULL[1:], _COPY, "read", False, True, "", "", 0.0, "no_dominant_brand", None),
-    "few words": (None, None, None, None, "750 mL", None, None, None, None, "illegible", False, True, "", "", 0.0, "few_words", None),
+    "few words": (None, None, None, None, "750 mL", "OLD TOM", None, None, None, "illegible", False, True, "", "", 0.0, "few_words", None),
     "two line brand": ("GREAT NORTHERN", "Small Batch", "London Dry Gin", *_FULL[3:], _COPY, "read", False, False, "", "", 95.0, "", None),
     "maker by place": (*_FULL[:5], "Old Tom Distilling", "Bardstown Kentucky", "Imported from Ireland", _COPY, "read", False, False, "", "", 95.0, "", None),
     "unread line": (*_FULL, _COPY, "read", False, False, "", "qx vv smudged", 95.0, "", None),
@@ -79,10 +79,14 @@ def _boxes() -> list[tuple]:
     return out
 
 
+def boxes_sql() -> str:
+    """The labels' word boxes as a relation of constants, for both engines."""
+    return rows_sql(_boxes(), ("k", "line_num", "text", "left0", "top", "width", "height", "conf", "ink_dark", "ink_area"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word table: the label of each order."""
-    names = ("k", "line_num", "text", "left0", "top", "width", "height", "conf", "ink_dark", "ink_area")
-    boxes = spark.sql(f"SELECT * FROM {rows_sql(_boxes(), names)}").withColumnRenamed("left0", "left")
+    boxes = spark.sql(f"SELECT * FROM {boxes_sql()}").withColumnRenamed("left0", "left")
     boxes = boxes.withColumns({"conf": F.col("conf").cast("double"), "block_num": F.lit(1), "par_num": F.lit(1)})
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("image_id"), (F.col("o_orderkey") % len(LABELS)).cast("int").alias("k"))
     return orders.join(F.broadcast(boxes), "k")  # a few hundred rows
@@ -91,9 +95,3 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select(F.col("o_orderkey").cast("string").alias("image_id"), F.lit(1000).alias("image_height"), F.lit(80.0).alias("sharpness"))
-
-
-_E = rows_sql([(k, name, *EXPECTED[name]) for k, name in enumerate(LABELS)], ("k", "label", *COLUMNS))
-SQL = {
-    "layout_labels": f"SELECT label, {', '.join(c if c != 'brand_conf' else 'CAST(brand_conf AS DOUBLE) AS brand_conf' for c in COLUMNS)}, count(*) AS n FROM orders JOIN {_E} AS e ON o_orderkey % {len(LABELS)} = k GROUP BY ALL",
-}

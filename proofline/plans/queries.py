@@ -313,9 +313,8 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand, class, statements and country of each image, from lines without a warning block."""
     w = derived.words(spark, sf_dir)
-    pages = w.select("image_id").distinct().withColumn("image_height", F.lit(400))
-    df = layout.lines(w).join(pages, "image_id").withColumns({"in_warning": F.lit(False), "warning_start": F.lit(None).cast("int")})
-    p = layout.picks(layout.brand_lines(df))
+    pages = layout.pages_of(w.select("image_id").distinct().withColumn("image_height", F.lit(400)))
+    p = layout.fields(layout.labels(w, pages, statement=False), F.col("page.image_height")).filter("words_read > 0")
     return p.select("image_id", "brand_name", "class_type", "alcohol_statement", "net_contents", F.round("dominance", 6).alias("dominance"))
 
 
@@ -327,6 +326,18 @@ def layout_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("image_id", "brand_name", "class_type", "alcohol_statement", "net_contents", "bottler_name", "country_of_origin", "warning_legibility", "words_read", "degraded", F.size("unread_text").alias("n_unread"))
 
 
+def field_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each field was read, as corners in fractions of the turned and enlarged images; a row a field."""
+    d = derived.tables(spark, sf_dir, "documents")["documents"]
+    k = F.col("doc_id")
+    pages = d.select(
+        k.cast("string").alias("image_id"), F.lit(400).alias("image_height"), F.lit(80.0).alias("sharpness"), ((k % 7 - 3) * 0.9).alias("deskew_deg"), (1 + k % 3 * 0.5).alias("upscale_factor"),
+        (900 + k % 5 * 100).cast("int").alias("width"), (700 + k % 4 * 150).cast("int").alias("height"),
+    )
+    o = layout.observations(derived.words(spark, sf_dir), pages).select("image_id", F.explode("field_boxes").alias("field", "quad"))
+    return o.select("image_id", "field", *(F.col("quad")[i][j].alias(f"p{'xy'[j]}{i}") for i in range(4) for j in range(2)))
+
+
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four similarities between brand names of applications and readings."""
     r = _rows(spark, sf_dir).groupBy("exp_brand", "obs_brand").agg(F.count("*").alias("n"))
@@ -561,7 +572,7 @@ QUERIES = {
         review_verdicts, rule_alcohol, rule_net_contents, rule_typography, rule_warning, review_full, review_queue, review_citations, review_ordered, asked_fields, softening, applications_commodity, application_volumes,
         folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files,
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
-        eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations,
+        eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations, field_boxes,
         similar_names, ordered_batch, verdict_ranks,
         streamed_review, streamed_digests,
         form_records, work_set, truth_and_results, word_listings, triage_findings, first_snippets, evidence_boxes, bold_headings, similar_words,

@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from .plans import cases, label_words, more_oracle, oracle, queries, review_oracle
+from .plans import cases, layout_oracle, more_oracle, oracle, queries, review_oracle
 
 QUERIES = queries.QUERIES
-SQL = oracle.SQL | review_oracle.SQL | cases.SQL | label_words.SQL | more_oracle.SQL
+SQL = oracle.SQL | review_oracle.SQL | cases.SQL | layout_oracle.SQL | more_oracle.SQL
 
 __all__ = ["QUERIES", "SQL"]
