@@ -64,6 +64,18 @@ _BOLD = rows_sql([(k, EXPECTED[name][9], True if EXPECTED[name][8] and name not
 _ID = "(CASE WHEN o_orderkey % 8 = 0 THEN 'photo_' ELSE 'label_' END || o_orderkey)"
 _BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+
+def _walk(declared: bool) -> str:
+    """CTEs up to ``got``: files in order, each the first free id of its list."""
+    named = f"SELECT file_no, cola_id, 'declared' AS how, 0 AS kind FROM f JOIN (SELECT DISTINCT cola_id, lower(upper(cola_id) || '?PAGE=2&ref=x') AS declared FROM ({A}) WHERE k % 3 = 0) ON declared = name UNION ALL" if declared else ""
+    return f"""f AS (SELECT page_id AS file_no, lower(list_extract(string_split(url, '/'), -1)) AS name FROM pages), ids AS (SELECT DISTINCT cola_id FROM ({A})),
+        wishes AS ({named} SELECT file_no, cola_id, 'contained' AS how, 1 AS kind FROM f JOIN ids ON contains(name, lower(cola_id))),
+        can AS (SELECT row_number() OVER (ORDER BY file_no) AS i, file_no, list({{'id': cola_id, 'how': how}} ORDER BY kind, CASE WHEN kind = 1 THEN -length(cola_id) ELSE 0 END, cola_id) AS ws FROM wishes GROUP BY file_no),
+        steps AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS file_no, CAST(NULL AS STRUCT(id VARCHAR, how VARCHAR)) AS w UNION ALL
+          SELECT i, CASE WHEN w IS NULL THEN taken ELSE list_append(taken, w.id) END, file_no, w FROM (SELECT can.i, taken, can.file_no, list_filter(ws, lambda z: NOT list_contains(taken, z.id))[1] AS w FROM steps JOIN can ON can.i = steps.i + 1)),
+        got AS (SELECT w.id AS cola_id, file_no, w.how AS how FROM steps WHERE w IS NOT NULL)"""
+
+
 SQL = {
     "record_files": _RECORD_FILES,
     "truth_files": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'rendered' ELSE 'ai' END AS fixture_set, CASE WHEN o_orderkey % 3 = 0 THEN 'pass' ELSE 'fail' END AS expected_verdict, count(*) AS n,
@@ -103,12 +115,8 @@ SQL = {
           THEN {'t': x.t, 'left': least(3.0, a.left + greatest(0.0, x.t - a.t) * (0.05 / 60)) - 1.0, 'n': a.n + 1, 'late': a.late}
           ELSE {'t': x.t, 'left': least(3.0, a.left + greatest(0.0, x.t - a.t) * (0.05 / 60)), 'n': a.n, 'late': a.late + 1} END) AS z FROM r)
         SELECT client, CAST(z.n AS BIGINT) AS admitted, CAST(z.late AS BIGINT) AS delayed FROM s""",
-    "match_files": f"""WITH RECURSIVE f AS (SELECT page_id AS file_no, lower(list_extract(string_split(url, '/'), -1)) AS name FROM pages), d AS ({FIRST['match_declared']}),
-        ids AS (SELECT DISTINCT cola_id FROM ({A}) WHERE cola_id NOT IN (SELECT cola_id FROM d)),
-        can AS (SELECT row_number() OVER (ORDER BY file_no) AS i, file_no, wants FROM (SELECT file_no, list(cola_id ORDER BY length(cola_id) DESC, cola_id) AS wants FROM f JOIN ids ON contains(name, lower(cola_id)) WHERE file_no NOT IN (SELECT file_no FROM d) GROUP BY file_no)),
-        walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken UNION ALL
-          SELECT can.i, CASE WHEN list_filter(wants, lambda w: NOT list_contains(taken, w))[1] IS NULL THEN taken ELSE list_append(taken, list_filter(wants, lambda w: NOT list_contains(taken, w))[1]) END FROM walk JOIN can ON can.i = walk.i + 1),
-        c AS (SELECT len(taken) AS n FROM walk ORDER BY i DESC LIMIT 1), k AS (SELECT count(*) AS n FROM d)
-        SELECT 'declared' AS how, n FROM k WHERE n > 0 UNION ALL SELECT 'contained', n FROM c WHERE n > 0 UNION ALL SELECT 'no_image', (SELECT count(DISTINCT cola_id) FROM ({A})) - k.n - c.n FROM k, c
-        UNION ALL SELECT 'no_record', (SELECT count(*) FROM f) - k.n - c.n FROM k, c""",
+    "match_files": f"""WITH RECURSIVE {_walk(True)}, k AS (SELECT how, count(*) AS n FROM got GROUP BY how)
+        SELECT how, n FROM k UNION ALL SELECT 'no_image', (SELECT count(DISTINCT cola_id) FROM ({A})) - (SELECT count(*) FROM got) UNION ALL SELECT 'no_record', (SELECT count(*) FROM f) - (SELECT count(*) FROM got)""",
+    "match_walk": f"WITH RECURSIVE {_walk(True)} SELECT cola_id, file_no, how FROM got",
+    "match_contained_all": f"WITH RECURSIVE {_walk(False)} SELECT cola_id, file_no FROM got",
 }

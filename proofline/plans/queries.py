@@ -183,6 +183,11 @@ def match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("how").agg(F.count("*").alias("n")).unionByName(left).unionByName(right)
 
 
+def match_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which file goes to which record, and by what."""
+    return matching.match(*_images(spark, sf_dir))
+
+
 def match_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First round of the id search: of each file the longest id in its name, of each id the first such file."""
     recs, files = _images(spark, sf_dir)
@@ -570,7 +575,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_verdicts, rule_alcohol, rule_net_contents, rule_typography, rule_warning, review_full, review_queue, review_citations, review_ordered, asked_fields, softening, applications_commodity, application_volumes,
-        folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files,
+        folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files, match_walk,
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
         eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations, field_boxes,
         similar_names, ordered_batch, verdict_ranks,

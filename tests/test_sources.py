@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from proofline.functions import similarity
 from proofline.operators import layout, matching
+from proofline.operators.components import components
+from proofline.schemas import staged
 from proofline.operators.running import running
 from proofline.sources import records, sinks
 from proofline.streaming import jobs
@@ -86,6 +88,63 @@ def test_contained_ids_equal_the_walk_in_file_order(spark):
     assert {x.cola_id: x.file_no for x in got} == _one_by_one(ids, files) and len(got) == len({x.file_no for x in got})
 
 
+def _walk_brute(records, files):
+    """The reference's walk: files in order, each the first free record that declares it, else the longest free id inside."""
+    taken = {}
+    for no, name in sorted(files):
+        wishes = [(i, "declared") for i, image in sorted(records) if image and image.lower() == name.lower()]
+        wishes += [(i, "contained") for i in sorted({i for i, _ in records}, key=lambda i: (-len(i), i)) if i.lower() in name.lower()]
+        for i, how in wishes:
+            if i not in taken:
+                taken[i] = (no, how)
+                break
+    return taken
+
+
+def test_a_declared_name_waits_for_its_file(spark):
+    got = matching.match(*_tables(spark, [("12", "b-12.png"), ("1", None)], [(1, "a-12.png"), (2, "b-12.png")])).collect()
+    assert {r.cola_id: (r.file_no, r.how) for r in got} == {"12": (1, "contained"), "1": (2, "contained")}
+
+
+def test_matching_equals_the_walk(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        ids = sorted({"".join(r.choice("ab1") for _ in range(r.randrange(1, 5))) for _ in range(40)})
+        files = [(i, "".join(r.choice("AB1-") for _ in range(r.randrange(1, 9)))) for i in range(90)]
+        records = [(i, r.choice(files)[1].swapcase() if r.random() < 0.5 else None) for i in ids]
+        want = _walk_brute(records, files)
+        wishes = _tables(spark, records, files)
+        got = matching.match(*wishes).collect()
+        assert {x.cola_id: (x.file_no, x.how) for x in got} == want and len(got) == len(want)
+
+
+def test_a_long_chain_takes_as_many_steps_as_a_short_one(spark, monkeypatch):
+    """Each file loses its wish to the one before it: n files, but no n jobs."""
+    steps = []
+    monkeypatch.setattr(matching, "staged", lambda df, where: steps.append(where) or staged(df, where))
+    n = 400
+    chain = [(k, f"i{j:04}", "contained", p) for k in range(n) for p, j in enumerate((k, k + 1) if k else (1, 0))]
+    got = matching.walk(spark.createDataFrame(chain, "file_no bigint, cola_id string, how string, place int")).collect()
+    taken, want = set(), {}
+    for k in range(n):
+        own = next((i for f, i, _, _ in chain if f == k and i not in taken), None)
+        taken.add(own)
+        want[own] = k
+    assert {r.cola_id: r.file_no for r in got} == want and len(steps) == 2 * matching.CERTAIN + 1
+
+
+def test_components_of_paths_stars_and_pairs(spark):
+    r = __import__("random").Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(40)] + [(7, 7), (None, 3), (9000, 9000)]
+    r.shuffle(edges)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(500)} | {5000 + i: 5000 + i // 2 * 2 for i in range(80)} | {9000: 9000}
+    assert got == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_equal_declared_names_pair_in_order(spark):
     recs, files = _tables(spark, [("r1", "a.png"), ("r2", "A.png"), ("r3", "b.png")], [(1, "A.PNG"), (2, "a.png"), (3, "a.png"), (4, "B.png"), (5, "b.png")])
     assert sorted(map(tuple, matching.by_declared_name(recs, files).collect())) == [("r1", 1), ("r2", 2), ("r3", 4)]
