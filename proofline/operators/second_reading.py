@@ -96,7 +96,7 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
     return changed.unionByName(same)
 
 
-def daily_cap(requests: DataFrame, limit: int) -> DataFrame:
+def daily_cap(requests: DataFrame, limit: int, paid_before: DataFrame | None = None, spent: DataFrame | None = None) -> DataFrame:
     """Which requests (digest, fields, ts, ok) are paid, cached or refused, in time order.
 
     A reading that a paid call brought is served again without a call, from then on.
@@ -108,20 +108,26 @@ def daily_cap(requests: DataFrame, limit: int) -> DataFrame:
     worked out at once from a first guess (every success is paid) until nothing changes:
     a day is right once the days before it are. Per day only the first ``limit`` open
     requests of each task are kept, so a busy day is no large group.
+
+    paid_before (key): what is known already; spent (day, n): calls that days have paid.
     """
     key = F.concat_ws("|", "digest", F.array_join(F.array_sort("fields"), ","))
     folder = shared_dir(requests.sparkSession)
     rows = staged(requests.withColumns({"key": key, "day": F.to_date("ts"), "row_id": F.monotonically_increasing_id()}), f"{folder}/rows")
     at = F.struct("ts", "key", "row_id")
     before = Window.partitionBy("key", "day").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    given = requests.sparkSession.createDataFrame([], "key string") if paid_before is None else paid_before.select("key").distinct()
+    used = requests.sparkSession.createDataFrame([], "day date, n bigint") if spent is None else spent
+    rows = rows.join(given.withColumn("given", F.lit(True)), "key", "left").join(used.select("day", F.col("n").alias("used")), "day", "left")
+    rows = rows.withColumns({"given": F.coalesce("given", F.lit(False)), "used": F.coalesce("used", F.lit(0))})
     rows = rows.withColumns({"at": at, "again": F.coalesce(F.max(F.col("ok").cast("int")).over(before), F.lit(0)) == 1})
     first_of_day = Window.partitionBy("day").orderBy("ts", "key", "row_id")
-    known = staged(rows.filter("ok").groupBy("key").agg(F.min("day").alias("known_day")), f"{folder}/known0")
+    known = staged(rows.filter("ok AND NOT given").groupBy("key").agg(F.min("day").alias("known_day")), f"{folder}/known0")
     step = 0
     while True:
         step += 1
-        seen = rows.join(known, "key", "left").withColumn("held", F.coalesce(F.col("known_day") < F.col("day"), F.lit(False)))
-        open_ = seen.filter(~F.col("held") & ~F.col("again")).withColumn("nth", F.row_number().over(first_of_day)).filter(F.col("nth") <= limit)
+        seen = rows.join(known, "key", "left").withColumn("held", F.col("given") | F.coalesce(F.col("known_day") < F.col("day"), F.lit(False)))
+        open_ = seen.filter(~F.col("held") & ~F.col("again")).withColumn("nth", F.row_number().over(first_of_day)).filter(F.col("nth") <= limit - F.col("used"))
         paid = staged(open_.select("row_id", "key", "day", "ok", "at"), f"{folder}/paid{step}")
         new = staged(paid.filter("ok").groupBy("key").agg(F.min("day").alias("known_day")), f"{folder}/known{step}")
         if not new.join(known, ["key", "known_day"], "left_anti").head(1) and not known.join(new, ["key", "known_day"], "left_anti").head(1):

@@ -120,3 +120,4 @@ SQL = {
     "match_walk": f"WITH RECURSIVE {_walk(True)} SELECT cola_id, file_no, how FROM got",
     "match_contained_all": f"WITH RECURSIVE {_walk(False)} SELECT cola_id, file_no FROM got",
 }
+SQL |= {"streamed_admissions": SQL["admitted_requests"], "streamed_cap": FIRST["daily_cap"]}

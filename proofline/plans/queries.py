@@ -571,6 +571,53 @@ def streamed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(d, lambda s: jobs.first_by_digest(s)).groupBy("digest").agg(F.count("*").alias("n"))
 
 
+def _arriving(events: DataFrame, parts: int = 3):
+    """The events in parts, as they may arrive: by time, but a tenth of each part comes with the next one, and in any order.
+
+    Yields the parts; behind is the bound on their delay.
+    """
+    first, last = (int(v) for v in events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first())
+    width = (last - first) // parts + 1
+    part = F.floor((F.unix_micros("ts") - first + F.when(F.xxhash64("event_id") % 10 == 0, width).otherwise(0)) / width)
+    behind = f"{2 * width // 1_000_000 + 1} seconds"
+    return [events.filter(F.least(part, F.lit(parts - 1)) == k) for k in range(parts)], behind
+
+
+def streamed_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token buckets by client over the event log as it arrives, out of order and in parts."""
+    from datetime import timedelta
+
+    e = derived.tables(spark, sf_dir, "events")["events"]
+    r = e.select("event_id", F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1.0).alias("cost"))
+    parts, behind = _arriving(r)
+    folder, columns = shared_dir(spark), ["client", "request_id", "ts", "cost"]
+    end = r.agg(F.max("ts")).first()[0] + timedelta(seconds=2 * int(behind.split()[0]))
+    closing = spark.createDataFrame([("end", -1, end, 1.0)], parts[0].select(columns).schema)  # the watermark passes all others
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for p in [*parts, closing]:
+            p.select(columns).write.mode("append").parquet(f"{folder}/in")
+            stream = jobs.admission_stream(spark.readStream.schema(closing.schema).parquet(f"{folder}/in"), per_minute=0.05, burst=3, late=behind)
+            stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.read.parquet(f"{folder}/out").groupBy("client").agg(F.count_if(F.col("wait_s") == 0).alias("admitted"), F.count_if(F.col("wait_s") > 0).alias("delayed"))
+
+
+def streamed_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paid, cached and refused calls by day, decided as the requests arrive, out of order and in parts."""
+    e = derived.tables(spark, sf_dir, "events")["events"]
+    r = e.select("event_id", (F.col("user_id") % 40).cast("string").alias("digest"), F.array(F.lit("net_contents"), F.col("event_type")).alias("fields"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    parts, behind = _arriving(r)
+    folder = shared_dir(spark)
+    calls = jobs.CappedCalls(spark, 20, late=behind, folder=f"{folder}/calls")
+    for p in parts:
+        p.drop("event_id").write.mode("append").parquet(f"{folder}/in")
+        calls.start(spark.readStream.schema(calls.SCHEMA).parquet(f"{folder}/in"), f"{folder}/state").awaitTermination()
+    calls.close()
+    return calls.decided().groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "outcome").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -579,7 +626,7 @@ QUERIES = {
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
         eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations, field_boxes,
         similar_names, ordered_batch, verdict_ranks,
-        streamed_review, streamed_digests,
+        streamed_review, streamed_digests, streamed_admissions, streamed_cap,
         form_records, work_set, truth_and_results, word_listings, triage_findings, first_snippets, evidence_boxes, bold_headings, similar_words,
         record_files, truth_files, compliant_labels, raw_observations, word_files, queue_files, payloads, reports,
         layout_labels,

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators import engine
-from ..schemas import joined
+from ..operators import engine, second_reading
+from ..schemas import joined, shared_dir, staged
 
 
 def review_stream(applications: DataFrame, observations: DataFrame) -> DataFrame:
@@ -31,14 +32,6 @@ def verdict_counts(results: DataFrame, ts: str = "ts", width: str = "10 minutes"
     return g.select(F.col("w.start").alias("window_start"), "verdict", "n")
 
 
-def paid_calls(requests: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
-    """Distinct calls by day, and whether the day's limit is reached. For streams."""
-    key = F.concat_ws("|", "digest", F.array_join(F.array_sort("fields"), ","))
-    once = requests.withColumn("key", key).withWatermark("ts", late).dropDuplicatesWithinWatermark(["key"])
-    days = once.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("calls"))
-    return days.select(F.to_date("w.start").alias("day"), "calls", (F.col("calls") >= limit).alias("limit_reached"))
-
-
 def spend(tokens: float, last: float, now: float, cost: float, rate: float, capacity: float) -> tuple[float, float]:
     """(tokens left, seconds to wait): refilled by the time passed, then spent if enough."""
     tokens = min(capacity, tokens + max(0.0, now - last) * rate)
@@ -72,25 +65,144 @@ def admissions(requests: DataFrame, per_minute: float, burst: float | None = Non
     return df.mapInArrow(run, "client string, request_id bigint, wait_s double")
 
 
+class Buckets(StatefulProcessor):
+    """A client's bucket, and its requests that an earlier one may still overtake.
+
+    Requests wait in a list until the watermark has passed them, then spend in order of
+    time and id, whatever chunk or batch brought them. A timer stands at the first one
+    that waits; with none waiting, at the time when the bucket is full again: then its
+    state goes, for a new bucket would be as full.
+    """
+
+    def __init__(self, rate: float, capacity: float):
+        self.rate, self.capacity = rate, capacity
+        self.full_after_ms = int(1000 * capacity / rate) + 1 if rate else 24 * 3_600_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, last double")
+        self.waiting = handle.getListState("waiting", "at double, request_id bigint, cost double")
+
+    def wake(self, at_ms: float) -> None:
+        self.handle.registerTimer(int(at_ms))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            at = pdf["at"].astype(float)
+            if len(pdf):
+                self.waiting.appendList(list(zip(at.tolist(), pdf["request_id"].astype(int).tolist(), pdf["cost"].astype(float).tolist())))
+                first = at.min() if first is None else min(first, at.min())
+        if first is not None:
+            self.wake(math.ceil(first * 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
+        out = []
+        for at, request, cost in ready:
+            tokens, wait = spend(tokens, at if last is None else last, at, cost, self.rate, self.capacity)
+            last = at
+            out.append((str(key[0]), request, wait))
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self.wake(math.ceil(later[0][0] * 1000))
+        if last is not None:
+            full = last * 1000 + self.full_after_ms
+            if not later and full <= passed * 1000:
+                self.bucket.clear()
+            else:
+                self.bucket.update((tokens, last))
+                if not later:
+                    self.wake(math.ceil(full))
+        if out:
+            yield pd.DataFrame(out, columns=["client", "request_id", "wait_s"])
+
+
+#: The state store that lists and timers by key need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def admission_stream(requests: DataFrame, per_minute: float, burst: float | None = None, late: str = "1 minute") -> DataFrame:
-    """The same for a stream; a client's bucket is dropped once it must be full again."""
+    """``admissions`` for a stream whose requests arrive in any order, up to ``late`` behind.
+
+    A request is answered once the watermark has passed it. Sets the session's state
+    store to ``ROCKS``, which the query needs when it starts.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rate, capacity = per_minute / 60.0, float(burst if burst is not None else per_minute)
-    full_after_ms = int(1000 * capacity / rate) + 1 if rate else 24 * 3_600_000
-
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (capacity, None)
-        for pdf in frames:
-            rows = []
-            for r in pdf.sort_values(["ts", "request_id"]).itertuples():
-                now = r.ts.timestamp()
-                tokens, wait = spend(tokens, now if last is None else last, now, r.cost, rate, capacity)
-                last = now
-                rows.append((key[0], r.request_id, wait))
-            yield pd.DataFrame(rows, columns=["client", "request_id", "wait_s"])
-        state.update((tokens, last if last is not None else 0.0))
-        state.setTimeoutTimestamp(max(int((last or 0.0) * 1000), state.getCurrentWatermarkMs()) + full_after_ms)
+    rows = requests.select(F.col("client").cast("string").alias("client"), F.col("request_id").cast("bigint").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("cost").cast("double").alias("cost"))
+    rows = rows.withColumn("at", F.unix_micros("ts").cast("double") / 1e6).withWatermark("ts", late)
+    return rows.groupBy("client").transformWithStateInPandas(Buckets(rate, capacity), "client string, request_id bigint, wait_s double", "Append", "EventTime")
+
+
+class CappedCalls:
+    """``daily_cap`` over a stream of requests, in event time.
+
+    A batch decides the requests that the watermark has passed (``late`` behind the
+    latest one seen); the others wait. What was paid for, how much each day has spent and
+    what waits lie in tables below ``folder``, by batch: a batch that runs again finds
+    the tables of the one before and writes the same, so each request is decided once.
+    No task holds a day or the contents: a batch is the distributed ``daily_cap``, begun
+    with what is known. A request that comes after the watermark is decided with the batch
+    that brings it. keep: contents paid longer ago than this before the watermark are
+    forgotten and must be paid anew; None keeps all, as the table's form does.
+    """
 
-    return requests.withWatermark("ts", late).groupBy("client").applyInPandasWithState(step, "client string, request_id bigint, wait_s double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    SCHEMA = "digest string, fields array<string>, ts timestamp, ok boolean"
+
+    def __init__(self, spark, limit: int, late: str = "1 hour", keep: str | None = None, folder: str | None = None):
+        self.spark, self.limit, self.late, self.keep = spark, limit, late, keep
+        self.folder, self.last = folder or shared_dir(spark), -1
+
+    def table(self, name: str, batch: int, schema: str) -> DataFrame:
+        if batch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{batch}")
+
+    def write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{batch}")
+
+    def step(self, arrived: DataFrame, batch: int, close: bool = False) -> None:
+        """Decide what ``batch`` completes; close: all that waits, at the end of a stream."""
+        before = batch - 1
+        known = self.table("known", before, "key string, paid_at timestamp")
+        spent = self.table("spent", before, "day date, n bigint")
+        seen = self.table("seen", before, "top timestamp").first()
+        rows = arrived.select("digest", "fields", "ts", "ok").unionByName(self.table("waiting", before, self.SCHEMA))
+        rows = staged(rows, f"{shared_dir(self.spark)}/rows")  # decided from one reading of the source
+        top = max((t for t in (rows.agg(F.max("ts")).first()[0], seen and seen["top"]) if t is not None), default=None)
+        edge = F.lit(top).cast("timestamp") - F.expr(f"INTERVAL {self.late}")
+        ready = F.lit(True) if close else F.coalesce(F.col("ts") <= edge, F.lit(True))
+        done = staged(second_reading.daily_cap(rows.filter(ready), self.limit, known, spent), f"{shared_dir(self.spark)}/done")
+        self.write(done.select("digest", "fields", "ts", "ok", "key", "day", "outcome"), "decided", batch)
+        paid = done.filter("outcome = 'paid'")
+        self.write(spent.unionByName(paid.groupBy("day").agg(F.count("*").alias("n"))).groupBy("day").agg(F.sum("n").alias("n")), "spent", batch)
+        kept = known.unionByName(paid.filter("ok").select("key", F.col("ts").alias("paid_at"))).groupBy("key").agg(F.max("paid_at").alias("paid_at"))
+        if self.keep:
+            kept = kept.filter(F.col("paid_at") > edge - F.expr(f"INTERVAL {self.keep}"))
+        self.write(kept, "known", batch)
+        self.write(rows.filter(~ready), "waiting", batch)
+        self.write(self.spark.createDataFrame([(top,)], "top timestamp"), "seen", batch)
+
+    def start(self, requests: DataFrame, checkpoint: str):
+        """The running query, for all requests that are there and not yet decided; its last batch is ``last``."""
+
+        def each(df: DataFrame, batch: int) -> None:
+            self.step(df, batch)
+            self.last = batch
+
+        return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def close(self) -> None:
+        """Decide all requests that still wait: nothing more comes."""
+        self.step(self.spark.createDataFrame([], self.SCHEMA), self.last + 1, close=True)
+        self.last += 1
+
+    def decided(self) -> DataFrame:
+        """All requests decided so far, with ``key``, ``day`` and ``outcome``."""
+        return self.spark.read.schema(self.SCHEMA + ", key string, day date, outcome string").parquet(*(f"{self.folder}/decided/{k}" for k in range(self.last + 1)))

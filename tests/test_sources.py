@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofline.functions import similarity
-from proofline.operators import layout, matching
+from proofline.operators import layout, matching, second_reading
 from proofline.operators.components import components
 from proofline.schemas import staged
 from proofline.operators.running import running
@@ -191,11 +191,69 @@ def test_token_bucket_and_stream_agree(spark, tmp_path):
     df = spark.createDataFrame(log, "client string, request_id bigint, ts timestamp, cost double")
     got = {r.request_id: r.wait_s for r in jobs.admissions(df, per_minute=2, burst=2).collect()}
     assert [got[i] for i in range(6)] == [0.0, 0.0, 30.0, 0.0, 0.0, got[5]] and got[5] > 0 and got[10] == 90.0
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = jobs.admission_stream(stream, per_minute=2, burst=2).writeStream.format("memory").queryName("adm").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(45)
-    assert {r.request_id: r.wait_s for r in spark.table("adm").collect()} == got
+    end = spark.createDataFrame([("end", 99, t0 + dt.timedelta(days=1), 1.0)], df.schema)  # the watermark passes what came before
+    assert _admitted(spark, tmp_path / "one", [df, end], per_minute=2, burst=2) == got
+
+
+def _admitted(spark, folder, files, late="1 minute", **bucket):
+    """Waits by request of a stream that gets one file a batch; without the last file's, which nothing passes."""
+    for k, f in enumerate(files):
+        f.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        newest = max((folder / "in").glob("part-*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+        __import__("os").utime(newest, (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(files[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        done = jobs.admission_stream(stream, late=late, **bucket)
+        q = done.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return {r.request_id: r.wait_s for r in spark.read.parquet(str(folder / "out")).collect()}
+
+
+def test_requests_in_any_order_are_admitted_as_in_order(spark, tmp_path):
+    """Shuffled within the bound, over several batches, with equal times and an idle hour."""
+    import random
+
+    r, t0 = random.Random(2), dt.datetime(2024, 1, 1)
+    log = [(r.choice("ab"), i, t0 + dt.timedelta(seconds=i // 2 * 3 + (3600 if i > 80 else 0)), 1.0) for i in range(120)]
+    schema = "client string, request_id bigint, ts timestamp, cost double"
+    want = {x.request_id: x.wait_s for x in jobs.admissions(spark.createDataFrame(log, schema), per_minute=6, burst=3).collect()}
+    batches = [log[i : i + 40] for i in range(0, 120, 40)]
+    for k in range(2):  # neighbours of a batch's end arrive in the wrong batch, all in any order
+        batches[k][-6:], batches[k + 1][:6] = batches[k + 1][:6], batches[k][-6:]
+    for b in batches:
+        r.shuffle(b)
+    files = [spark.createDataFrame(b, schema) for b in [*batches, [("end", 999, t0 + dt.timedelta(days=1), 1.0)]]]
+    assert _admitted(spark, tmp_path, files, late="2 hours", per_minute=6, burst=3) == want
+
+
+def test_capped_calls_of_a_stream_equal_the_table(spark, tmp_path):
+    """Any order within the bound; failures count, refused calls do not; a batch that runs again changes nothing."""
+    import random
+
+    r, t0 = random.Random(6), dt.datetime(2024, 3, 1, 20)
+    log = [(f"d{r.randrange(14)}", ["net_contents"], t0 + dt.timedelta(minutes=11 * i), r.random() < 0.7) for i in range(150)]
+    df = spark.createDataFrame(log, jobs.CappedCalls.SCHEMA)
+    key = lambda rows: sorted((x.digest, x.ts, x.outcome) for x in rows)
+    want = key(second_reading.daily_cap(df, 5).collect())
+    assert {o for *_, o in want} == {"paid", "cached", "refused"}
+    calls = jobs.CappedCalls(spark, 5, late="3 hours", folder=str(tmp_path / "calls"))
+    batches = [log[i : i + 50] for i in range(0, 150, 50)]
+    batches[0][-7:], batches[1][:7] = batches[1][:7], batches[0][-7:]
+    for k, b in enumerate(batches):
+        r.shuffle(b)
+        calls.step(spark.createDataFrame(b, df.schema), k)
+        if k == 1:
+            calls.step(spark.createDataFrame(b, df.schema), k)
+    calls.last = 2
+    calls.close()
+    assert key(calls.decided().collect()) == want
+    short = jobs.CappedCalls(spark, 5, late="3 hours", keep="1 hour", folder=str(tmp_path / "short"))
+    for k, b in enumerate(batches):
+        short.step(spark.createDataFrame(b, df.schema), k)
+    assert short.table("known", 2, "key string, paid_at timestamp").count() < calls.table("known", 2, "key string, paid_at timestamp").count()
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):
