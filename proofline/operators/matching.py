@@ -124,6 +124,15 @@ def without_record(files: DataFrame, matches: DataFrame) -> DataFrame:
     return files.join(matches, "file_no", "left_anti")
 
 
+def unmatched_note(records: DataFrame, files: DataFrame, matches: DataFrame, named: int = 5) -> DataFrame:
+    """One row: records without an image, images without a record, and the names of the first ``named`` of those."""
+    left = without_record(files, matches)
+    first = left.orderBy("file_no").limit(named).agg(F.sort_array(F.collect_list(F.struct("file_no", "file_name"))).alias("f"))
+    both = left.agg(F.count("*").alias("images")).join(without_image(records.select("cola_id").distinct(), matches).agg(F.count("*").alias("records"))).join(first)  # one row each
+    more = F.when(F.col("images") > named, "…").otherwise("")
+    return both.select("records", "images", F.concat(F.array_join(F.transform("f", lambda x: x["file_name"]), ", "), more).alias("first_images"))
+
+
 def to_review(records: DataFrame, matches: DataFrame) -> DataFrame:
     return records.join(matches, "cola_id", "left_semi")
 

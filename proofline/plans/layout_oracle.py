@@ -138,4 +138,11 @@ SELECT image_id, brand AS brand_name, cls AS class_type, alcohol AS alcohol_stat
 SELECT {_NAMES}[CAST(CAST(image_id AS BIGINT) % {len(LABELS)} AS INT) + 1] AS label, {", ".join(f"{_SHOWN[c]} AS {c}" for c in COLUMNS)}, count(*) AS n FROM obs GROUP BY ALL""",
     "field_boxes": f"""WITH {reading(_WORDS, DOC_PAGES)}, {boxes()}
 SELECT * FROM shown""",
+    "review_payloads": f"""WITH {reading(_WORDS, DOC_PAGES)}, {boxes()}, own AS (SELECT *, CAST(image_id AS BIGINT) AS k FROM obs)
+SELECT image_id AS cola_id, CASE WHEN degraded THEN 'flag' ELSE 'pass' END AS verdict, CAST(n AS BIGINT) AS elapsed_ms, 'brand_name' AS field,
+       array_to_string(list_filter([CASE WHEN abs(deskew_deg) >= 0.5 THEN 'straightened' END, CASE WHEN upscale_factor > 1.05 THEN 'enlarged' END, CASE WHEN legibility = 'illegible' AND (said IS NOT NULL OR weak > 0) THEN 'small_print_unread' END,
+         CASE WHEN n > 0 AND n < 10 THEN 'few_words' WHEN degraded THEN 'no_dominant_brand' END], lambda z: z IS NOT NULL), ',') AS notes,
+       (SELECT count(*) FROM shown WHERE shown.image_id = own.image_id) AS n_boxes, (SELECT py2 FROM shown WHERE shown.image_id = own.image_id AND field = 'net_contents') AS net_bottom,
+       CASE WHEN k % 4 = 0 THEN true END AS pending, CASE WHEN k % 4 = 1 THEN 'net_contents' END AS cleared, CASE WHEN k % 4 = 1 THEN k % 8 = 1 END AS unavailable, height, deskew_deg, k % 2 = 0 AS cache_hit,
+       CASE WHEN k % 4 < 2 THEN 'reader' END AS model FROM own""",
 }

@@ -79,7 +79,7 @@ def _walk(declared: bool) -> str:
 SQL = {
     "record_files": _RECORD_FILES,
     "truth_files": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'rendered' ELSE 'ai' END AS fixture_set, CASE WHEN o_orderkey % 3 = 0 THEN 'pass' ELSE 'fail' END AS expected_verdict, count(*) AS n,
-        CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS failing FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL""",
+        CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS failing FROM orders GROUP BY ALL""",
     "compliant_labels": f"SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT {_ID} AS id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 8 <> 0)",
     "raw_observations": f"SELECT e.* EXCLUDE (k), count(*) AS n FROM orders JOIN {_RAW} AS e ON o_orderkey % 6 = k GROUP BY ALL",
     "word_files": FIRST["layout_counts"],
@@ -117,6 +117,9 @@ SQL = {
         SELECT client, CAST(z.n AS BIGINT) AS admitted, CAST(z.late AS BIGINT) AS delayed FROM s""",
     "match_files": f"""WITH RECURSIVE {_walk(True)}, k AS (SELECT how, count(*) AS n FROM got GROUP BY how)
         SELECT how, n FROM k UNION ALL SELECT 'no_image', (SELECT count(DISTINCT cola_id) FROM ({A})) - (SELECT count(*) FROM got) UNION ALL SELECT 'no_record', (SELECT count(*) FROM f) - (SELECT count(*) FROM got)""",
+    "match_notes": f"""WITH RECURSIVE {_walk(True)}, lost AS (SELECT page_id AS file_no, list_extract(string_split(url, '/'), -1) AS name FROM pages WHERE page_id NOT IN (SELECT file_no FROM got))
+        SELECT (SELECT count(DISTINCT cola_id) FROM ({A})) - (SELECT count(*) FROM got) AS records, count(*) AS images,
+               array_to_string(list(name ORDER BY file_no)[1:5], ', ') || CASE WHEN count(*) > 5 THEN '…' ELSE '' END AS first_images FROM lost""",
     "match_walk": f"WITH RECURSIVE {_walk(True)} SELECT cola_id, file_no, how FROM got",
     "match_contained_all": f"WITH RECURSIVE {_walk(False)} SELECT cola_id, file_no FROM got",
 }

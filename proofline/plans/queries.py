@@ -188,6 +188,12 @@ def match_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(*_images(spark, sf_dir))
 
 
+def match_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch says of records and images that found no partner."""
+    recs, files = _images(spark, sf_dir)
+    return matching.unmatched_note(recs, files, matching.match(recs, files))
+
+
 def match_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First round of the id search: of each file the longest id in its name, of each id the first such file."""
     recs, files = _images(spark, sf_dir)
@@ -331,18 +337,41 @@ def layout_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("image_id", "brand_name", "class_type", "alcohol_statement", "net_contents", "bottler_name", "country_of_origin", "warning_legibility", "words_read", "degraded", F.size("unread_text").alias("n_unread"))
 
 
-def field_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each field was read, as corners in fractions of the turned and enlarged images; a row a field."""
-    d = derived.tables(spark, sf_dir, "documents")["documents"]
+def _turned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of the documents, some turned and enlarged before they were read."""
     k = F.col("doc_id")
-    pages = d.select(
-        k.cast("string").alias("image_id"), F.lit(400).alias("image_height"), F.lit(80.0).alias("sharpness"), ((k % 7 - 3) * 0.9).alias("deskew_deg"), (1 + k % 3 * 0.5).alias("upscale_factor"),
+    return derived.tables(spark, sf_dir, "documents")["documents"].select(
+        k.cast("string").alias("image_id"), F.lit(400).alias("image_height"), F.lit(80.0).alias("sharpness"), ((k % 7 - 3) * 0.9).cast("double").alias("deskew_deg"), (1 + k % 3 * 0.5).cast("double").alias("upscale_factor"),
         (900 + k % 5 * 100).cast("int").alias("width"), (700 + k % 4 * 150).cast("int").alias("height"),
     )
-    o = layout.observations(derived.words(spark, sf_dir), pages).select("image_id", F.explode("field_boxes").alias("field", "quad"))
+
+
+def field_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each field was read, as corners in fractions of the turned and enlarged images; a row a field."""
+    o = layout.observations(derived.words(spark, sf_dir), _turned_pages(spark, sf_dir)).select("image_id", F.explode("field_boxes").alias("field", "quad"))
     return o.select("image_id", "field", *(F.col("quad")[i][j].alias(f"p{'xy'[j]}{i}") for i in range(4) for j in range(2)))
 
 
+def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each image as JSON, read back: notes, boxes, second reading, geometry."""
+    pages = _turned_pages(spark, sf_dir)
+    o = layout.observations(derived.words(spark, sf_dir), pages).select("image_id", "degraded", "notes", "field_boxes", "words_read")
+    k = F.col("image_id").cast("bigint")
+    r = o.join(pages, "image_id").select(
+        F.col("image_id").alias("cola_id"), F.when(F.col("degraded"), "flag").otherwise("pass").alias("verdict"), F.array(F.struct(F.lit("brand_name").alias("field"), F.lit("flag").alias("verdict"))).alias("checks"),
+        F.col("words_read").alias("elapsed_ms"), "notes", "field_boxes", (k % 4 == 0).alias("pending"), "width", "height", "deskew_deg", "upscale_factor", (k % 2 == 0).alias("cache_hit"),
+        F.struct((k % 4 == 1).alias("called"), F.array(F.lit("net_contents")).alias("cleared"), F.when(k % 8 == 1, "timeout").alias("error")).alias("read_again"),
+    )
+    at = lambda path, kind: F.get_json_object("payload", path).cast(kind)
+    p = sinks.review_payload(r, model="reader", deferred=True)
+    return p.select(
+        "cola_id", at("$.verdict", "string").alias("verdict"), at("$.elapsed_ms", "bigint").alias("elapsed_ms"), at("$.checks[0].field", "string").alias("field"), F.array_join(F.from_json(at("$.notes", "string"), "array<string>"), ",").alias("notes"),
+        F.size(F.from_json(at("$.boxes", "string"), "map<string,string>")).cast("bigint").alias("n_boxes"), at("$.boxes.net_contents[2][1]", "double").alias("net_bottom"), at("$.second_opinion.pending", "boolean").alias("pending"),
+        at("$.second_opinion.cleared[0]", "string").alias("cleared"), at("$.second_opinion.unavailable", "boolean").alias("unavailable"), at("$.image.original[1]", "int").alias("height"), at("$.image.deskew_deg", "double").alias("deskew_deg"), at("$.cache_hit", "boolean").alias("cache_hit"),
+        F.get_json_object("payload", "$.second_opinion.model").alias("model"),
+    )
+
+
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four similarities between brand names of applications and readings."""
     r = _rows(spark, sf_dir).groupBy("exp_brand", "obs_brand").agg(F.count("*").alias("n"))
@@ -416,7 +445,7 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth files of two sets, read as one table with a tag."""
-    o = derived.tables(spark, sf_dir, "orders")["orders"].select("o_orderkey").filter("o_orderkey % 4 = 0")
+    o = derived.tables(spark, sf_dir, "orders")["orders"].select("o_orderkey")
     verdict = F.when(F.col("o_orderkey") % 3 == 0, "pass").otherwise("fail")
     one = F.to_json(F.struct(F.concat(F.when(F.col("o_orderkey") % 8 == 0, F.lit("photo_")).otherwise(F.lit("label_")), "o_orderkey").alias("id"), F.struct(F.col("o_orderkey").cast("string").alias("cola_id"), F.lit(40.5).alias("alcohol_content_pct")).alias("record"), verdict.alias("expected_verdict"), F.when(verdict == "fail", F.array(F.lit("net_contents"))).otherwise(F.array().cast("array<string>")).alias("expected_failing_fields")))
     name = F.concat(F.when(F.col("o_orderkey") % 5 == 0, F.lit("rendered/")).otherwise(F.lit("ai/")), "o_orderkey", F.lit(".truth.json"))
@@ -622,9 +651,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_verdicts, rule_alcohol, rule_net_contents, rule_typography, rule_warning, review_full, review_queue, review_citations, review_ordered, asked_fields, softening, applications_commodity, application_volumes,
-        folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files, match_walk,
+        folded_names, producer_names, country_names, statement_words, records_checked, records_first, records_errors, records_limit, match_declared, match_contained, match_contained_all, match_files, match_walk, match_notes,
         read_once, recorded_readings, sanitized_readings, second_readings, daily_cap, export_guard, eval_accuracy, eval_outcomes, eval_confusion, eval_latency, eval_throughput,
-        eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations, field_boxes,
+        eval_cost, eval_separation, eval_stress, eval_gate, eval_fields, windowed_verdicts, admitted_requests, layout_counts, layout_lines, layout_fields, layout_observations, field_boxes, review_payloads,
         similar_names, ordered_batch, verdict_ranks,
         streamed_review, streamed_digests, streamed_admissions, streamed_cap,
         form_records, work_set, truth_and_results, word_listings, triage_findings, first_snippets, evidence_boxes, bold_headings, similar_words,
