@@ -46,7 +46,7 @@ def test_rows_with_one_id_or_none_stand_for_themselves(spark, tmp_path):
 
 
 def test_all_operators_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in entries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in entries.QUERIES}) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dups", "decontaminate", "pii", "pack"]
 
 
@@ -98,3 +98,18 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_without_an_id(spark):
+    """A null id stays null, and such rows are worked on like any other."""
+    from proofline.llm import decontamination, pii, quality
+
+    t = "one two three four five six seven eight nine ten eleven twelve mail a.b@c.example.com"
+    docs = table(spark, [(None, t), (None, t), (3, None)])
+    items = spark.createDataFrame([(1, t)], "item_id bigint, text string")
+    hit = decontamination.report(decontamination.find_contamination(docs, items)).collect()
+    assert sorted((r.doc_id is None, r.n_hit, r.contaminated) for r in hit) == [(False, 0, False), (True, 18, True), (True, 18, True)]
+    good = quality.quality(docs).collect()
+    assert sorted((r.doc_id is None, r.n_words) for r in good) == [(False, 0), (True, 14), (True, 14)]
+    found = pii.find_pii(docs).collect()
+    assert sorted((r.doc_id is None, r.n_email) for r in found) == [(False, 0), (True, 1), (True, 1)]
