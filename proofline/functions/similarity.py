@@ -19,17 +19,24 @@ from pyspark.sql.pandas.functions import pandas_udf
 from .text import STATEMENT
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bits of one number at a time."""
+def found_by_prefix(a: str, b: str):
+    """The common length of ``a`` with each prefix of ``b``, one step a letter: bits of one number at a time."""
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
         where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    rest = full
+    rest = full = (1 << len(a)) - 1
     for ch in b:
         hit = rest & where.get(ch, 0)
         rest = ((rest + hit) | (rest - hit)) & full
-    return len(a) - rest.bit_count()
+        yield len(a) - rest.bit_count()
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    found = 0
+    for found in found_by_prefix(a, b):
+        pass
+    return found
 
 
 def ratio(a: str, b: str) -> float:
@@ -38,19 +45,23 @@ def ratio(a: str, b: str) -> float:
 
 
 def window_ratio(a: str, b: str) -> float:
-    """The shorter text against every window of the longer, shorter ones at its ends."""
+    """The shorter text against every window of the longer, shorter ones at its ends.
+
+    One pass each scores all windows at an end; of the windows inside, none is scored
+    once one equals the text.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
+    if a in b:
+        return 100.0
     m, n = len(a), len(b)
-    best = max(ratio(a, b[max(0, i) : min(n, i + m)]) for i in range(1 - m, n))
-    return max(best, window_once(b, a)) if m == n else best
-
-
-def window_once(a: str, b: str) -> float:
-    m, n = len(a), len(b)
-    return max(ratio(a, b[max(0, i) : min(n, i + m)]) for i in range(1 - m, n))
+    best = max(ratio(a, b[i : i + m]) for i in range(n - m + 1))
+    ends = [(a, b), (a[::-1], b[::-1])]
+    if m == n:
+        ends += [(b, a), (b[::-1], a[::-1])]
+    return max([best, *(100.0 * 2 * found / (m + k) for x, y in ends for k, found in enumerate(found_by_prefix(x, y[: m - 1]), 1))])
 
 
 def sorted_ratio(a: str, b: str) -> float:
