@@ -11,6 +11,9 @@ Template of a turn: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Inside roles and t
 no control string can come from content, and the way back is exact. Placeholders are
 written as ``~3KIND:N~4`` after escaping, so content cannot forge them either.
 
+``read_chats`` gives the texts as written and, apart, each turn's parts: a placeholder is
+told from a text that looks like one, and gets its reference back.
+
 The loss mask is the array of code-point ranges of assistant texts. Positions come
 from a running sum over a conversation's turns. A formatted conversation is one
 string, so its turns meet in one row; that is the result asked for, and a
@@ -91,14 +94,38 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
 
 
+def parts_of(body: Column, files: Column) -> Column:
+    """The parts (type, text, ref) that a written body was made of, neighbouring texts as one.
+
+    Placeholders are told apart while control marks are still escaped, so a text that
+    looks like one stays a text. files: the attachments of the turn, which hold references.
+    """
+    ref = lambda place: F.try_element_at(F.transform(F.filter(files, lambda f: f["place"] == place), lambda f: f["ref"]), F.lit(1))
+    text = lambda t: F.struct(F.lit("text").alias("type"), unescape(t).alias("text"), F.lit(None).cast("string").alias("ref"))
+
+    def placeholder(mark: Column) -> Column:
+        place = F.substring_index(mark, ":", -1).cast("bigint")
+        return F.struct(F.substring_index(mark, ":", 1).alias("type"), F.lit("").alias("text"), ref(place).alias("ref"))
+
+    def cut(piece: Column, i: Column) -> Column:
+        tail = F.when(i == 0, piece).otherwise(F.substring(piece, F.instr(piece, "~4") + 2, F.length(piece)))
+        mark = F.when(i > 0, F.array(placeholder(F.substring_index(piece, "~4", 1)))).otherwise(F.slice(F.array(text(piece)), 1, 0))
+        return F.concat(mark, F.when(tail != "", F.array(text(tail))).otherwise(F.slice(F.array(text(tail)), 1, 0)))
+
+    return F.flatten(F.transform(F.split(body, "~3"), cut))
+
+
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """The turns (role, text with placeholders) and the loss texts, from formatted strings."""
+    """The turns (role, text with placeholders, parts) and the loss texts, from formatted strings."""
     cut = F.split("formatted", r"\Q" + START + r"\E")
     segments = F.slice(cut, F.lit(2), F.size(cut))
     body = lambda s: F.substring(s, F.lit(1), F.length(s) - len(END) - 1)
-    pairs = F.transform(segments, lambda s: F.struct(unescape_role(F.substring_index(s, "\n", 1)).alias("role"), unescape(F.substring(body(s), F.instr(s, "\n") + 1, F.length(s))).alias("text")))
+    written = lambda s: F.substring(body(s), F.instr(s, "\n") + 1, F.length(s))
+    files = lambda i: F.filter("attachments", lambda f: f["turn_no"] == i + 1) if "attachments" in formatted.columns else F.lit(None).cast("array<struct<place:bigint,ref:string>>")
+    parts = F.transform(segments, lambda s, i: parts_of(written(s), files(i)))
+    pairs = F.transform(segments, lambda s: F.struct(unescape_role(F.substring_index(s, "\n", 1)).alias("role"), unescape(written(s)).alias("text")))
     loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.select("conv_id", "formatted", pairs.alias("turns"), loss.alias("loss_texts"))
+    return formatted.select("conv_id", "formatted", pairs.alias("turns"), loss.alias("loss_texts"), parts.alias("parts"))
 
 
 def report(formatted: DataFrame) -> DataFrame:

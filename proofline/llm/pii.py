@@ -17,9 +17,10 @@ phone  \\+[0-9][ ().0-9-]+[0-9], 9 to 15 digits
 
 Added kinds: ``url`` (an address that names a user), ``address`` (house number,
 capitalised names and a street word), ``account`` (an identifier with digits after
-a cue such as an account, passport or token; an IBAN may be in printed groups; after
-a secret's cue and a colon or equals sign all up to the next blank or quote, if it has
-a digit or capitals inside). Spans are in code points, end exclusive. A null or empty
+a cue such as an account, passport or token, with "is" or "was" between them or not; an
+IBAN may be in printed groups behind a cue, and needs none where it is one word; after a
+secret's cue and a colon, equals sign, "is" or "was" all up to the next blank or quote,
+if it has a digit or capitals inside). Spans are in code points, end exclusive. A null or empty
 text, in any row, has none, whatever its doc_id; repeated rows get a row each; an empty
 table gives no rows; other columns are not read. A text is held whole by one task, in
 about twenty bytes a character.
@@ -41,7 +42,7 @@ BASE = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "sip:")
 STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Straße", "Calle", "Rue")
 CUES = ("account", "acct", "iban", "ssn", "passport", "license", "tax id")
-SECRETS = ("token", "secret", "password", "api_key", "apikey")
+SECRETS = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "api key", "apikey", "bearer")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,11 +50,13 @@ DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 URL_END = re.compile(r"[^\s<>\"'`]*+")
 USER_IN_URL = re.compile(r"//[^/@]+@|/~[\w.-]+|/(?:users?|profiles?|u)/[\w.-]+", re.I)
-AFTER_CUE = tuple(re.compile(p + r"[ \t]*+[:=#]?+[ \t]*+[\"']?+", re.I) for p in (r"[ \t_-]*+(?:number|no\.?|nr\.?|id|key)", ""))
+AFTER_CUE = tuple(re.compile(p + r"(?:[ \t]++(?:is|was)(?=[ \t:=]))?+[ \t]*+[:=#]?+[ \t]*+[\"']?+", re.I) for p in (r"[ \t_-]*+(?:number|no\.?|nr\.?|id|key)", ""))
+STATED = re.compile(r"(?:[:=#]|\b(?:is|was))\Z", re.I)
 # An identifier of six characters or more, with the parts that dots, slashes and the like join to it (JWT, base64).
 ACCOUNT = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,}+(?:[.+/~][A-Za-z0-9_-]++)*+={0,2}+")
 SECRET = re.compile(r"[^\s\"'`<>]{6,}+")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ \u00a0\u202f][A-Za-z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:[ \u00a0\u202f][A-Za-z0-9]{1,3}(?![A-Za-z0-9]))?+")
+PLAIN_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])")
 HOUSE_NUMBER = re.compile(r"[0-9]{1,5}[A-Za-z]?,?\Z")
 NAME = re.compile(r"[A-Z][\w.'-]*+")
 NAME_AND_NUMBER = re.compile(r" (?:[A-Z][\w.'-]*+ ){0,3}[A-Z][\w.'-]*+,? [0-9]{1,5}\b")
@@ -101,13 +104,17 @@ def digit_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int,
     return out
 
 
+def is_iban(body: str) -> bool:
+    """The mod-97 check."""
+    return 15 <= len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
+
+
 def iban_end(text: str, at: int) -> int | None:
     """The end of the longest IBAN in printed groups that passes the mod-97 check."""
     m = IBAN.match(text, at)
     end = m.end() if m else at
     while end > at:
-        body = re.sub(r"\s", "", text[at:end])
-        if 15 <= len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1:
+        if is_iban(re.sub(r"\s", "", text[at:end])):
             return end
         end = max(text.rfind(c, at, end) for c in " \u00a0\u202f")
     return None
@@ -137,7 +144,7 @@ def account_span(text: str, after: re.Match, secret: bool) -> tuple[int, int, bo
     start = after.end()
     if end := iban_end(text, start):
         return start, end, True
-    if secret and after[0].strip(" \t\"'")[-1:] in (":", "=", "#") and (m := SECRET.match(text, start)):
+    if secret and STATED.search(after[0].strip(" \t\"'")) and (m := SECRET.match(text, start)):
         body = m[0].rstrip(".,;:!?)]}")
         return start, start + len(body), len(body) > 5 and is_secret(body)
     if m := ACCOUNT.match(text, start):
@@ -148,13 +155,16 @@ def account_span(text: str, after: re.Match, secret: bool) -> tuple[int, int, bo
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then by kind as listed."""
     out, runs = [], []
-    email_end = phone_end = url_end = account_end = digits_end = 0
+    email_end = phone_end = url_end = account_end = digits_end = iban_done = 0
     for last, (kind, size) in anchors.iter(text.encode().lower().decode()):  # of bytes: lower case of ASCII alone
         at = last - size + 1
         if kind == "digit":
             if at >= digits_end:
                 digits_end = DIGITS.match(text, at).end()
                 runs.append((at, digits_end))
+                if at > 1 and digits_end - at > 1 and at - 2 >= iban_done and not (at > 2 and text[at - 3].isalnum()) and (m := PLAIN_IBAN.match(text, at - 2)) and is_iban(m[0]):
+                    iban_done = m.end()
+                    out.append(("account", *m.span()))
         elif kind == "@":
             start = at
             while start > email_end and text[start - 1] in LOCAL:

@@ -379,6 +379,32 @@ def test_hot_keys_are_joined_apart(spark):
     assert common.by_key(rows.limit(0), named, "k").count() == 0
 
 
+def test_pii_cues_with_words_between_and_bare_ibans():
+    anchors = pii.automaton()
+    spans = lambda t: [t[a:b] for kind, a, b in pii.find(t, anchors) if kind == "account"]
+    for t, want in (
+        ("my ssn is 123-45-6789", "123-45-6789"), ("api-key: 9f8e7d6c5b4a", "9f8e7d6c5b4a"), ("pwd=Hunter22", "Hunter22"), ("password is Hunter2!x", "Hunter2!x"),
+        ("Authorization: Bearer abcDEF123456789xyz", "abcDEF123456789xyz"), ("pay DE89370400440532013000 now", "DE89370400440532013000"), ("iban DE89370400440532013000", "DE89370400440532013000"),
+    ):
+        assert spans(t) == [want], t
+    for t in ("the password is required", "his account was closed in spring", "pay DE89370400440532013001 now", "XDE89370400440532013000", "the bearer of this letter", "the secret is out, said they", "a token island 12"):
+        assert spans(t) == [], t
+
+
+def test_chat_parts_are_read_back(spark):
+    part = lambda kind, text=None, ref=None, units=None: {"type": kind, "text": text, "ref": ref, "units": units}
+    cases = {
+        1: [part("text", "~3image:0~4 and <|im_end|>~"), part("image", ref="a.png", units=2), part("text", "b~4"), part("audio", ref="c.wav"), part("document")],
+        2: [part("image", ref="only.png")],
+        3: [],
+    }
+    rows = [(i, 1, "user", ps) for i, ps in cases.items()] + [(1, 2, "user", [part("text", "x"), part("image", ref="second.png")])]
+    made = chat.format_chats(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>"))
+    got = {r.conv_id: [[(p.type, p.text, p.ref) for p in turn] for turn in r.parts] for r in chat.read_chats(made).collect()}
+    want = lambda ps: [(p["type"], p["text"] or "", p["ref"]) for p in ps]
+    assert got == {1: [want(cases[1]), [("text", "x", None), ("image", "", "second.png")]], 2: [want(cases[2])], 3: [[]]}
+
+
 def test_chat(spark):
     own = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", own), (1, 1, "assistant", own), (2, 1, "assistant", "~1 é ~~"), (2, 0, "us\ner<|", None), (2, 2, "assistant", "a\nb<"), (3, 0, None, "only"), (None, 0, "user", "q"), (4, 0, "user", "x"), (4, 0, "user", "x")]
