@@ -11,8 +11,10 @@ a block.
 
 Blocks, buckets and parts grow with the square root of a corpus beyond ``EVEN`` bytes,
 up to a bound, and the number of tasks follows the measured size, so the rows that are
-dealt, one a block and bucket, grow as the corpus does. A task holds a block, its keys
-(at most eight bytes a position) and one bucket. A text over the block size is a block
+dealt, one a block and bucket, grow as the corpus does. What decides a result is compared by
+96 bits of two independent families: of 5e12 distinct fingerprints (some 100 TB) two unlike
+ones meet with a chance of 2e-4. A task holds a block, its keys (at most twelve bytes a
+position) and one bucket. A text over the block size is a block
 by itself: its task needs about ten times the text's bytes.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stage, tasks, texts_of
-from .hashing import byte_windows, mix
+from .hashing import byte_windows, grouped, mix, numbers
 
 #: Bytes of a block, of a bucket's share of the texts, and of a part, while the corpus has under EVEN bytes.
 BLOCK, BUCKET, PART, EVEN = 3 << 20, 8 << 20, 8 << 20, 64 << 30
@@ -184,46 +186,38 @@ def keep_answers(where: str):
 def exchange(blocks: DataFrame, where: str, keys_of: Callable, sizes: Sizes, narrow: bool = False) -> None:
     """Write, by part and block, whether each of its keys meets its like in another block.
 
-    keys_of(Block): sorted distinct 64-bit keys, or (keys, owners) with a 64-bit owner
-    each; then the bit says whether any block has the key with a smaller owner.
-    narrow: only the 32 bits after the bucket's are compared; unlike keys may then
-    be taken for like ones, which is enough to choose candidates.
+    keys_of(Block): distinct fingerprints in the order of ``grouped``, as 64-bit keys, 32-bit
+    checks of a second family, and owners. Owners are 64-bit numbers or None; with them the
+    bit says whether any block has the fingerprint with a smaller owner.
+    narrow: keys alone, of which only the 32 bits after the bucket's are compared; unlike
+    keys may then be taken for like ones, which is enough to choose candidates.
     """
-    step, bits = 4 if narrow else 8, sizes.bits
+    bits = sizes.bits
 
     def deal(batches):
         for b in batches:
             for block in blocks_of(b):
-                keys = keys_of(block)
-                keys, owners = keys if isinstance(keys, tuple) else (keys, None)
+                keys, checks, owners = (keys_of(block), None, None) if narrow else keys_of(block)
                 bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
                 at = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 body = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4") if narrow else keys
                 full = np.flatnonzero(np.diff(at))
-                yield pa.record_batch([
-                    pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block.block)),
-                    pa.array([body[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
-                    pa.array([None if owners is None else owners[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
-                ], ["bucket", "block", "keys", "owners"])
+                columns = (pa.array([None if x is None else x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in (body, checks, owners))
+                yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block.block)), *columns], ["bucket", "block", "keys", "checks", "owners"])
 
     def settle(rows):
         """One bucket: sort its keys, find equal neighbours."""
-        size = [len(k) // step for _, k, _ in rows]
-        keys = np.concatenate([np.frombuffer(k, f"<u{step}") for _, k, _ in rows])
-        hit = np.zeros(len(keys), bool)
-        if rows[0][2] is None:
-            order = np.argsort(keys, kind="stable")
-            same = keys[order][1:] == keys[order][:-1]
-            hit[order[1:]] |= same
-            hit[order[:-1]] |= same
+        joined = lambda c, t: None if rows[0][c] is None else np.concatenate([np.frombuffer(r[c], t) for r in rows])
+        keys, checks, owner = joined(1, "<u4" if narrow else "<u8"), joined(2, "<u4"), joined(3, "<i8")
+        order, new = grouped(keys, checks)
+        group, first = numbers(order, new), np.flatnonzero(new)
+        if owner is None:
+            hit = (np.diff(np.append(first, len(keys))) > 1)[group]
         else:
-            owner = np.concatenate([np.frombuffer(o, np.int64) for *_, o in rows])
-            order = np.lexsort((owner, keys))
-            k, o = keys[order], owner[order]
-            first = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), np.arange(len(k)), 0))
-            hit[order] = o > o[first]
+            hit = owner > np.minimum.reduceat(owner[order], first)[group]
+        size = [len(r[1]) // keys.itemsize for r in rows]
         cut = np.concatenate([[0], np.cumsum(size)])
-        return [(block, int(n), np.packbits(hit[a : a + n]).tobytes()) for (block, _, _), n, a in zip(rows, size, cut)]
+        return [(r[0], int(n), np.packbits(hit[a : a + n]).tobytes()) for r, n, a in zip(rows, size, cut)]
 
     def sort_buckets(batches):
         now, rows = None, []
@@ -233,7 +227,7 @@ def exchange(blocks: DataFrame, where: str, keys_of: Callable, sizes: Sizes, nar
             return pa.record_batch([pa.array([g[0] for g in got]), pa.array(np.full(len(got), now, np.int32)), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], ["block", "bucket", "n", "bits"])
 
         for b in batches:
-            for bucket, *row in zip(*(b.column(c).to_pylist() for c in range(4))):
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in range(5))):
                 if rows and bucket != now:
                     yield out()
                     rows = []
@@ -243,7 +237,7 @@ def exchange(blocks: DataFrame, where: str, keys_of: Callable, sizes: Sizes, nar
             yield out()
 
     n = max(tasks(blocks), (1 << bits) // 4)
-    dealt = blocks.mapInArrow(deal, "bucket int, block bigint, keys binary, owners binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = blocks.mapInArrow(deal, "bucket int, block bigint, keys binary, checks binary, owners binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(sort_buckets, "block bigint, bucket int, n int, bits binary").withColumn("part", F.shiftright("block", 32))
     by_part = found.repartition(max(tasks(blocks), sizes.parts // 8), "part").sortWithinPartitions("part", "block", "bucket")
     by_part.mapInArrow(keep_answers(where), "part bigint, blocks bigint").agg(F.sum("blocks")).collect()

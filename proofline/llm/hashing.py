@@ -89,13 +89,17 @@ def windows(values: np.ndarray, size: int) -> np.ndarray:
     return _doubled(max(len(values) - size + 1, 0), size, 1, lambda lo, hi: values[lo:hi])
 
 
-def byte_windows(raw: np.ndarray, size: int) -> np.ndarray:
+def byte_windows(raw: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Fingerprints of all strings of ``size`` bytes."""
     x, few = eights(raw), min(size, 8)
+    apart = np.uint64(seed * int(M1) & (1 << 64) - 1)
 
     def part(lo: int, hi: int) -> np.ndarray:
         h = x[lo:hi].astype(np.uint64)
         h &= MASK[few]
+        if seed:
+            h ^= apart
+            h = mix(h)
         h ^= h >> HALF
         h *= K2
         return h
@@ -141,6 +145,37 @@ class Words:
         return at, h[at]
 
 
+def check_bits(h: np.ndarray) -> np.ndarray:
+    """The upper half of fingerprints of a second family."""
+    return (h >> HALF).astype(np.uint32)
+
+
+def grouped(keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order of fingerprints by key and check, and where in it an unlike one begins.
+
+    Keys are sorted alone; checks are sorted too only where they differ under one key.
+    """
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    k = keys[order]
+    new[1:] = k[1:] != k[:-1]
+    if checks is not None and len(keys):
+        c = checks[order]
+        other = c[1:] != c[:-1]
+        if (other & ~new[1:]).any():
+            order = np.lexsort((checks, keys))
+            k, c = keys[order], checks[order]
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, new
+
+
+def numbers(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of each fingerprint the number of its group, in the order of :func:`grouped`."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges [start, end)."""
     step = np.zeros(n + 1, np.int64)

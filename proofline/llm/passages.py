@@ -4,8 +4,8 @@ Winnowing keeps, of every run of consecutive k-word fingerprints in a window of
 ``size`` words, the smallest: two equal windows keep an equal anchor. Documents meet
 on anchors (the seeds). From each anchor that another document may share, the match
 is extended both ways within the document over all windows that hold the anchor;
-each such window is confirmed by its own fingerprint against the smallest doc_id
-that has it. Runs of confirmed windows are the maximal repeats, and their words go.
+each such window is confirmed by its own fingerprint of 96 bits against the smallest
+doc_id that has it. Runs of confirmed windows are the maximal repeats, and their words go.
 Confirming windows against one owner, not documents against each other, keeps a
 passage that a third of all documents share from making pairs.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .blocks import NULL_ID, Block, answers, blocks_of, exchange, make_blocks, sizes_of
 from .common import finished, shared_dir
 from .decontamination import winnow
-from .hashing import NOT_BLANK, Words, covered
+from .hashing import NOT_BLANK, Words, check_bits, covered, grouped, numbers
 
 OWNER = np.int64(2**63 - 1)  # of windows in documents without an id
 
@@ -53,19 +53,20 @@ def extended(block: Block, where: str, size: int, bits: int):
         near = covered(len(words), np.maximum(seed + k - size, 0), seed + 1)
         start, print_ = words.windows(size)
         good = near[start] if len(start) else np.zeros(0, bool)
-        start, print_ = start[good], print_[good]
+        start, print_, check = start[good], print_[good], np.zeros(0, np.uint32)
+        if len(start):
+            check = check_bits(Words(data, bounds, NOT_BLANK, lower=False, seed=1).windows(size)[1][good])
         doc = block.docs[first + words.doc[start]] if len(start) else np.zeros(0, np.int64)
-        yield first, bounds, data, words, start, print_, np.where(doc == NULL_ID, OWNER, doc)
+        yield first, bounds, data, words, start, print_, check, np.where(doc == NULL_ID, OWNER, doc)
 
 
-def least(runs) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct window fingerprints of a block, and the smallest doc_id of each in it."""
-    h = np.concatenate([r[5] for r in runs] or [np.zeros(0, np.uint64)])
-    owner = np.concatenate([r[6] for r in runs] or [np.zeros(0, np.int64)])
-    order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    return h[first], owner[first]
+def least(runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys and checks of a block's windows, the smallest doc_id of each, and the number of each window's."""
+    keys, checks, owner = (np.concatenate([r[c] for r in runs] or [np.zeros(0, t)]) for c, t in ((5, np.uint64), (6, np.uint32), (7, np.int64)))
+    order, new = grouped(keys, checks)
+    first = np.flatnonzero(new)
+    lowest = np.minimum.reduceat(owner[order], first) if len(first) else owner
+    return keys[order][first], checks[order][first], lowest, numbers(order, new)
 
 
 def dedup_passages(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -75,18 +76,18 @@ def dedup_passages(docs: DataFrame, size: int = 50) -> DataFrame:
     bits, blocks = sizes.bits, make_blocks(docs, f"{folder}/blocks", sizes)
     one, two = f"{folder}/anchors", f"{folder}/windows"
     exchange(blocks, one, lambda b: anchor_keys(b, size, bits), sizes, narrow=True)
-    exchange(blocks, two, lambda b: least(list(extended(b, one, size, bits))), sizes)
+    exchange(blocks, two, lambda b: least(list(extended(b, one, size, bits)))[:3], sizes)
 
     def remove(batches):
         for b in batches:
             for block in blocks_of(b):
                 runs = list(extended(block, one, size, bits))
-                keys, owner = least(runs)
+                keys, _, owner, number = least(runs)
                 smaller = answers(two, block.block, len(keys))
-                rows = []
-                for first, bounds, data, words, start, h, mine in runs:
-                    at = np.searchsorted(keys, h)
-                    start = start[(smaller[at] | (mine > owner[at])) & (mine != OWNER)] if len(start) else start
+                rows, done = [], 0
+                for first, bounds, data, words, start, *_, mine in runs:
+                    at, done = number[done : done + len(start)], done + len(start)
+                    start = start[(smaller[at] | (mine > owner[at])) & (mine != OWNER)]
                     gone = covered(len(words), start, start + size)
                     stay = np.flatnonzero(~gone)
                     doc = words.doc[stay]

@@ -7,10 +7,10 @@ dealt at all. That is told by a difference cover: of any two positions some comm
 shift below ``modulus`` brings both onto the cover, so a repeated string of ``size``
 bytes holds a cover sample whose ``size - modulus + 1`` bytes are repeated too. The
 samples (a tenth of all positions) are sorted first; a suffix none of whose samples
-has a twin is never sorted. Suffixes are compared by 64-bit fingerprints of their
-first ``size`` bytes and the bucket's bits, not letter by letter: a bucket's order
-differs from the alphabet's, its groups of equals are the same, and a tie of any
-length costs one comparison and eight bytes.
+has a twin is never sorted. Suffixes are compared by 96-bit fingerprints of their
+first ``size`` bytes, not letter by letter: a bucket's order differs from the
+alphabet's, its groups of equals are the same, and a tie of any length costs one
+comparison and twelve bytes.
 
 Null and empty texts have no suffixes; repeated rows remove each other; a null
 doc_id stays null; an empty table gives no rows; other columns are not read.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import NULL_ID, Block, answers, blocks_of, exchange, make_blocks, sizes_of
 from .common import finished, shared_dir
-from .hashing import byte_windows, covered
+from .hashing import byte_windows, check_bits, covered, grouped, numbers
 
 # Perfect difference sets, each difference of the modulus once.
 COVERS = {
@@ -59,7 +59,7 @@ def sample_keys(block: Block, modulus: int, depth: int, bits: int) -> np.ndarray
 
 
 def candidates(block: Block, where: str, size: int, modulus: int, bits: int):
-    """Of each run: positions of suffixes with a sample that has a twin, and their keys."""
+    """Of each run: positions of suffixes with a sample that has a twin, their keys and checks."""
     depth = size - modulus + 1
     runs = list(samples(block, modulus, depth, bits))
     keys, count = np.unique(np.concatenate([k for *_, k in runs] or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -69,7 +69,19 @@ def candidates(block: Block, where: str, size: int, modulus: int, bits: int):
         place, left = places(bounds)
         near = covered(len(data), np.maximum(hit - modulus + 1, hit - place[hit]), hit + 1)
         own = np.flatnonzero(near & (left >= size))
-        yield first, bounds, data, own, byte_windows(data, size)[own] if len(own) else np.zeros(0, np.uint64)
+        if not len(own):
+            yield first, bounds, data, own, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            continue
+        yield first, bounds, data, own, byte_windows(data, size)[own], check_bits(byte_windows(data, size, seed=1)[own])
+
+
+def distinct(runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys and checks of a block's suffixes, how many have each, and the number of each suffix's."""
+    keys = np.concatenate([r[4] for r in runs] or [np.zeros(0, np.uint64)])
+    checks = np.concatenate([r[5] for r in runs] or [np.zeros(0, np.uint32)])
+    order, new = grouped(keys, checks)
+    first = np.flatnonzero(new)
+    return keys[order][first], checks[order][first], np.diff(np.append(first, len(keys))), numbers(order, new)
 
 
 def removed_spans(bounds: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +103,8 @@ def dedup_substrings(docs: DataFrame, size: int = 200, modulus: int = 91) -> Dat
     exchange(blocks, one, lambda b: sample_keys(b, modulus, size - modulus + 1, bits), sizes, narrow=True)
 
     def suffix_keys(block):
-        return np.unique(np.concatenate([k for *_, k in candidates(block, one, size, modulus, bits)] or [np.zeros(0, np.uint64)]))
+        keys, checks, *_ = distinct(list(candidates(block, one, size, modulus, bits)))
+        return keys, checks, None
 
     exchange(blocks, two, suffix_keys, sizes)
 
@@ -99,11 +112,11 @@ def dedup_substrings(docs: DataFrame, size: int = 200, modulus: int = 91) -> Dat
         for b in batches:
             for block in blocks_of(b):
                 runs = list(candidates(block, one, size, modulus, bits))
-                keys, count = np.unique(np.concatenate([k for *_, k in runs] or [np.zeros(0, np.uint64)]), return_counts=True)
-                twin = (count > 1) | answers(two, block.block, len(keys))
-                rows = []
-                for first, bounds, data, own, k in runs:
-                    start = own[twin[np.searchsorted(keys, k)]] if len(own) else own
+                keys, _, count, number = distinct(runs)
+                twin = ((count > 1) | answers(two, block.block, len(keys)))[number]
+                rows, done = [], 0
+                for first, bounds, data, own, *_ in runs:
+                    start, done = own[twin[done : done + len(own)]], done + len(own)
                     gone = covered(len(data), start, start + size)
                     begin, end = removed_spans(bounds, gone)
                     keep = data[~gone].tobytes()

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from proofline.llm import chat, common, decontamination, near_dups, packing, passages, pii, quality, suffixes, token_counts, token_files, tokens
+from proofline.llm import blocks, chat, common, decontamination, hashing, near_dups, packing, passages, pii, quality, suffixes, token_counts, token_files, tokens
 from tests.llm.conftest import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -216,6 +216,37 @@ def bytes_brute(rows, size):
     return sorted(out, key=lambda r: (r[0] is None, r))
 
 
+def test_keys_that_clash(spark, tmp_path):
+    """Unlike content under one 64-bit key: checks tell it apart, within a block and between blocks."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        keys, checks = rng.integers(0, 4, 12).astype(np.uint64), rng.integers(0, 4, 12).astype(np.uint32)
+        order, new = hashing.grouped(keys, checks)
+        pairs = list(zip(keys.tolist(), checks.tolist()))
+        assert [pairs[i] for i in order] == sorted(pairs) and new.sum() == len(set(pairs))
+        assert hashing.numbers(order, new).tolist() == [sorted(set(pairs)).index(p) for p in pairs]
+    high = 2**63 + 5
+    held = {0: ([3, 3, high], [1, 2, 9], [10, 11, 12]), 1: ([3, high, high], [2, 8, 9], [4, 5, 6]), 2: ([7], [1], [1])}
+    empty = np.zeros(0, np.int64).tobytes()
+    table = spark.createDataFrame([(b << 32, empty, empty, b"") for b in held], blocks.TYPE)
+
+    def keys_of(owned):
+        def of(block):
+            k, c, o = held[block.block >> 32]
+            return np.array(k, np.uint64), np.array(c, np.uint32), np.array(o, np.int64) if owned else None
+
+        return of
+
+    sizes = blocks.Sizes(1 << 20, 3, 4)
+    for owned, want in ((False, [[0, 1, 1], [1, 0, 1], [0]]), (True, [[0, 1, 1], [0, 0, 0], [0]])):
+        where = f"file://{tmp_path}/{owned}"
+        blocks.exchange(table, where, keys_of(owned), sizes)
+        assert [blocks.answers(where, b << 32, len(held[b][0])).astype(int).tolist() for b in held] == want
+    text = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz" * 9, np.uint8)
+    one, two = (hashing.byte_windows(text, 30, seed=s) for s in (0, 1))
+    assert len(set(one)) == len(set(two)) == 26 and not set(one) & set(two)
+
+
 def test_suffix_dedup(spark, docs, nothing, rows):
     assert sorted(map(tuple, suffixes.dedup_substrings(docs).drop("ranges").collect())) == bytes_brute(rows, 200)
     assert suffixes.dedup_substrings(nothing).count() == 0
