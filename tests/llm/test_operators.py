@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,26 @@ def test_token_files(spark, docs, nothing, rows, encoded):
     assert sorted((r.doc_id or -1, r.start) for r in token_files.read_token_files(spark, token_files.write_token_files(twice, BPE, 0)).collect()) == [(-1, 0), (1, 2), (1, 5)]
 
 
+def test_token_files_by_measured_bytes(spark, tmp_path, monkeypatch):
+    """Many files, rows of one id over several of them, and the same numbers by ranged reads."""
+    assert token_files.n_parts(0, 8) == 8 and token_files.n_parts(30 << 30, 8) == 480
+    assert token_files.n_parts(100 << 40, 8) == 102_400 and token_files.n_parts(1 << 40, 8) == 4096
+    monkeypatch.setattr(token_files, "PART", 400)
+    rows = [(7, f"text {i:02d} " * (i % 5)) for i in range(60)] + [(None, "no id"), (3, None), (9, "\u00e9 last")]
+    folder = token_files.write_token_files(table(spark, rows), BPE, 0)
+    parts = token_files.bases(spark, folder).collect()
+    assert len(parts) > 3 and sum(p.n_docs for p in parts) == len(rows)
+    enc, ids = tokens.Encoder(BPE), []
+    for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+        ids.append([*enc.ids([t or ""])[0].tolist(), 0])
+    got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == [(int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for s, x in zip(starts, ids)]
+    (tmp_path / "n").write_bytes(np.arange(100, dtype="<u2").tobytes())
+    for read in (token_files._mapped(str(tmp_path / "n"), "<u2"), token_files._ranged(pa.OSFile(str(tmp_path / "n")), "<u2")):
+        assert read(3, 9).tolist() == [3, 4, 5, 6, 7, 8] and read(97, 100).tolist() == [97, 98, 99] and read(5, 5).tolist() == []
+
+
 @pytest.mark.parametrize("window", [2048, 256])
 def test_packing(docs, nothing, encoded, window):
     got = packing.pack(docs, BPE, end_id=1, window=window).collect()
