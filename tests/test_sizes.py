@@ -2,7 +2,15 @@
 
 import pytest
 
-from proofline.sources import records
+from proofline.sources import records, sinks
+
+
+def test_truth_file_may_hold_a_list(spark, tmp_path):
+    body = '[{"id": "a", "expected_verdict": "pass"}, {"id": "b", "expected_verdict": "fail"}]'
+    files = spark.createDataFrame([("ai/1.truth.json", body.encode()), ("ai/2.truth.json", b'{"id": "c"}')], "name string, body binary")
+    folder = sinks.write_files(files, f"file://{tmp_path}")
+    got = records.read_truth(spark, f"{folder}/ai").select("id", "fixture_set", "expected_verdict").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "ai", "pass"), ("b", "ai", "fail"), ("c", "ai", None)]
 
 
 @pytest.mark.parametrize("name,image", [("a.tsv", "a"), ("a.b.tsv", "a.b"), ("plain", "plain")])
