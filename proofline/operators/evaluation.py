@@ -33,9 +33,10 @@ def outcomes(truth: DataFrame, results: DataFrame, key: str = "id") -> DataFrame
 
 def field_hits(observed: DataFrame, truth: DataFrame, key: str = "id", fields: tuple[str, ...] = SCORED) -> DataFrame:
     """(field, hits, n, accuracy): exact after trimming; two nulls agree."""
-    long = lambda df, name: df.select(key, *(F.trim(F.col(f).cast("string")).alias(f) for f in fields)).unpivot([key], list(fields), "field", name)
-    both = long(truth, "want").join(long(observed, "got"), [key, "field"])
-    return both.groupBy("field").agg(F.sum(F.col("want").eqNullSafe(F.col("got")).cast("int")).alias("hits"), F.count("*").alias("n")).withColumn("accuracy", F.col("hits") / F.col("n"))
+    wide = lambda df, side: df.select(key, *(F.trim(F.col(f).cast("string")).alias(f"{side}_{f}") for f in fields))
+    both = wide(truth, "want").join(wide(observed, "got"), key)
+    one = both.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"want_{f}").eqNullSafe(F.col(f"got_{f}"))).alias(f) for f in fields))
+    return one.unpivot(["n"], list(fields), "field", "hits").filter("n > 0").select("field", "hits", "n", (F.col("hits") / F.col("n")).alias("accuracy"))
 
 
 def _correct() -> Column:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from proofline.operators import evaluation
 from proofline.sources import records, sinks
 
 
@@ -20,3 +21,13 @@ def test_image_is_named_by_its_file(spark, tmp_path, name, image):
     words = records.read_words(spark, str(tmp_path))
     assert [r["image_id"] for r in words.collect()] == [image]
     assert "regexp_extract" not in words._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_field_hits_shuffle_a_label_once(spark):
+    t = spark.createDataFrame([(1, "a ", None), (2, "b", "x"), (2, "b", "y")], "id int, brand string, net string")
+    o = spark.createDataFrame([(1, "a", None), (2, "c", "x"), (3, "d", "z")], "id int, brand string, net string")
+    got = evaluation.field_hits(o, t, fields=("brand", "net"))
+    assert sorted((r["field"], r["hits"], r["n"]) for r in got.collect()) == [("brand", 1, 3), ("net", 2, 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("Join"), "fields are listed from the counts, not from every label"
+    assert evaluation.field_hits(o.limit(0), t, fields=("brand", "net")).collect() == []
