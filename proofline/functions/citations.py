@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,12 @@ _ANY = "(?iu)" + "|".join(rf"\b(?:{w})\b" for w in WORDS.values())
 
 
 def _commodity(text: Column) -> Column:
+    # One text in an array: the last word is found once, whatever is asked of it.
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.lit(-1))
+    return F.get(F.transform(F.array(last), _kind), F.lit(0))
+
+
+def _kind(last: Column) -> Column:
     return F.when(last.rlike(f"(?iu)^(?:{WORDS['malt']})$"), "malt").when(last.rlike(f"(?iu)^(?:{WORDS['wine']})$"), "wine").when(last.isNotNull(), "spirits")
 
 
@@ -46,6 +53,13 @@ def _texts() -> dict[tuple[str, str], str]:
     return out
 
 
+def citation_of(field: str, commodity: Column) -> Column:
+    """``citation`` of one field."""
+    table = {c: text for (f, c), text in _texts().items() if f == field}
+    none = F.lit(None).cast("string")
+    return reduce(lambda rest, c: F.when(commodity == c, table[c]).otherwise(rest), [c for c in table if c], F.when(F.coalesce(commodity, F.lit("")) == "", table[""])) if table else none
+
+
 def citation(field: Column, commodity: Column) -> Column:
     """The section for a field; null for fields outside the table."""
     table = F.create_map(*(F.lit(x) for (f, c), text in _texts().items() for x in (f"{f}/{c}", text)))

@@ -103,6 +103,52 @@ def cited(checks: Column, commodity: Column) -> Column:
     return F.transform(checks, one)
 
 
+def softened(rows: DataFrame, of: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """Adds ``why_<field>``: what makes a referral of a field's row, as ``soften_several_missing``, ``soften_unconfirmed`` and ``soften_unreliable`` do in turn.
+
+    of: code column and observed value by field. A row that one step touched is closed to
+    the later ones, so the first that applies decides and no array is built.
+    """
+    verdict = {f: outcome(F.col(code), 0) for f, (code, _) in of.items()}
+    unseen = {f: F.lit(True) if seen is None else seen.isNull() for f, (_, seen) in of.items()}
+    rows = rows.withColumns({f"gone_{f}": rules.yes((verdict[f] == "fail") & unseen[f]) for f in (*ABSENCE, "government_warning")})
+    several = reduce(lambda a, b: a + b, (F.col(f"gone_{f}").cast("int") for f in (*ABSENCE, "government_warning"))) >= SEVERAL
+    part = rules.yes(F.size("obs_unread") > 0) | rules.yes(F.col("obs_legibility") == "illegible")
+    rows = rows.withColumns({"several": several, "part": part})
+
+    def why(f: str) -> Column:
+        code = F.col(of[f][0])
+        open_ = (verdict[f] == "fail") | ((verdict[f] == "flag") & ~outcome(code, 1))
+        low = rules.yes(F.try_element_at("obs_confidence", F.lit(f)) < LEAST_CONFIDENCE)
+        step = F.when(rules.yes(F.col("obs_soft")) & (verdict[f] == "fail"), "soft_image").when(low, "low_confidence")
+        if f in (*ABSENCE, "bottler_address"):
+            step = F.when(F.col("part") & unseen[f], "part_unread").otherwise(step)
+        if f == "bottler_address":
+            step = F.when(F.col("several") & unseen[f], "several_missing").otherwise(step)
+        elif f in (*ABSENCE, "government_warning"):
+            step = F.when(F.col("several") & F.col(f"gone_{f}"), "several_missing").otherwise(step)
+        return F.when(rules.yes(open_), step)
+
+    return rows.withColumns({f"why_{f}": why(f) for f in of})
+
+
+def decided_check(field: str, code: str, expected: Column | None, observed: Column | None, similar: Column | None, commodity: Column) -> Column:
+    """One checklist row in its last form, from the code column and ``why_<field>``; null where the code is null."""
+    c, why, none = F.col(code), F.col(f"why_{field}"), F.lit(None).cast("string")
+    section = citations.citation_of(field, commodity)
+    if field == "government_warning":
+        section = F.when(c.isin("warning_heading_misread", "warning_heading_case"), "27 CFR 16.22(a)(2)").otherwise("27 CFR 16.21")
+    elif field == "warning_typography":
+        section = F.when(c == "type_small", "27 CFR 16.22(b)").otherwise("27 CFR 16.22(a)(2) and (b)")
+    row = F.struct(
+        F.lit(field).alias("field"), F.when(why.isNotNull(), "flag").otherwise(outcome(c, 0)).alias("verdict"), (none if expected is None else expected.cast("string")).alias("expected"),
+        (none if observed is None else observed.cast("string")).alias("observed"), c.alias("code"), (F.lit(None).cast("double") if similar is None else similar).alias("similarity"),
+        F.try_element_at("obs_confidence", F.lit(field)).alias("confidence"), why.alias("softened"), section.alias("citation"), outcome(c, 2).alias("advisory"),
+        F.lit("regulation" if field in REGULATION else "application").alias("layer"), (why.isNotNull() | outcome(c, 1)).alias("read_uncertain"), F.lit("ocr").alias("source"),
+    )
+    return F.when(c.isNotNull(), row)
+
+
 def verdict_of(checks: Column) -> Column:
     """The worst binding row; advisory rows raise to a referral at most."""
     return F.when(F.exists(checks, lambda c: (c["verdict"] == "fail") & ~c["advisory"]), "fail").when(F.exists(checks, lambda c: c["verdict"] == "flag"), "flag").otherwise("pass")
@@ -135,8 +181,8 @@ def settled(rows: DataFrame) -> DataFrame:
 def review(rows: DataFrame) -> DataFrame:
     """Joined rows (``exp_*``, ``obs_*``) with brand, klass, how, commodity, checks and verdict."""
     keep = rows.columns
-    rows = settled(rules.scored(settled(rules.brand_and_class(rows))))
-    rows = rows.withColumns({"commodity": citations.commodity_of(F.col("exp_class"), F.col("klass")), "exp_ml": quantities.volume_ml(F.col("exp_net")), "obs_ml": quantities.volume_ml(F.col("obs_net"))})
+    rows = settled(rules.scored(settled(rules.brand_and_class(rules.application_parts(rows)))))
+    rows = rows.withColumns({"commodity": F.coalesce("exp_kind", citations.commodity_of(F.col("klass"))), "obs_ml": quantities.volume_ml(F.col("obs_net"))})
     rows = settled(rules.warning_parts(rules.alcohol_parts(settled(rows))))
     codes = {
         "brand": rules.brand_code, "class": rules.class_code, "alcohol": rules.alcohol_code, "format": rules.format_code, "proof": rules.proof_code,
@@ -148,29 +194,27 @@ def review(rows: DataFrame) -> DataFrame:
     given = lambda name: F.when(c(name) != "", c(name))
     percent = F.when(c("exp_percent").isNotNull(), F.concat(c("exp_percent").cast("string"), F.lit("% Alc./Vol.")))
     # Rows for fields the application leaves out come before compared ones.
-    name = check("bottler_name", "code_bottler", c("exp_bottler"), given("obs_bottler"), s["maker"])
-    place = check("bottler_address", "code_address", c("exp_address"), given("obs_address"), s["address"])
     rows = rows.withColumns({"code_bottler": F.coalesce("code_bottler", F.lit("not_provided")), "code_address": F.coalesce("code_address", F.lit("not_provided"))})
     swap = (c("code_address") == "not_provided") & (c("code_bottler") != "not_provided")
-    rows = rows.withColumn("checks", F.array_compact(F.array(
-        check("brand_name", "code_brand", c("exp_brand"), F.when(c("how") != "unread", given("brand")), s["brand"]),
-        check("class_type", "code_class", c("exp_class"), given("klass"), s["klass"]),
-        check("alcohol_content", "code_alcohol", percent, c("obs_alcohol")),
-        check("alcohol_format", "code_format", None, c("obs_alcohol")),
-        check("proof_consistency", "code_proof", None, c("obs_alcohol")),
-        check("net_contents", "code_net", c("exp_net"), given("obs_net")),
-        F.when(swap, place).otherwise(name), F.when(swap, name).otherwise(place),
-        check("country_of_origin", "code_country", c("exp_country"), given("obs_country"), s["country"]),
-        check("government_warning", "code_warning", F.lit(text.STATEMENT), c("said")),
-        check("warning_typography", "code_type"),
-    )))
-    rows = settled(rows)
-    small = c("obs_legibility") == "illegible"
-    rows = settled(rows.withColumn("missing_statements", missing_statements(c("checks"))))
-    rows = settled(rows.withColumn("checks", soften_several_missing(c("checks"), c("missing_statements"))))
-    rows = rows.withColumn("checks", soften_unconfirmed(c("checks"), c("obs_unread"), small))
-    rows = rows.withColumn("checks", soften_unreliable(c("checks"), c("obs_confidence"), c("obs_soft")))
-    rows = rows.withColumn("checks", cited(c("checks"), c("commodity")))
+    #: field: (code, expected, observed, similarity)
+    of = {
+        "brand_name": ("brand", c("exp_brand"), F.when(c("how") != "unread", given("brand")), s["brand"]),
+        "class_type": ("class", c("exp_class"), given("klass"), s["klass"]),
+        "alcohol_content": ("alcohol", percent, c("obs_alcohol"), None),
+        "alcohol_format": ("format", None, c("obs_alcohol"), None),
+        "proof_consistency": ("proof", None, c("obs_alcohol"), None),
+        "net_contents": ("net", c("exp_net"), given("obs_net"), None),
+        "bottler_name": ("bottler", c("exp_bottler"), given("obs_bottler"), s["maker"]),
+        "bottler_address": ("address", c("exp_address"), given("obs_address"), s["address"]),
+        "country_of_origin": ("country", c("exp_country"), given("obs_country"), s["country"]),
+        "government_warning": ("warning", F.lit(text.STATEMENT), c("said"), None),
+        "warning_typography": ("type", None, None, None),
+    }
+    rows = softened(rows, {f: (f"code_{code}", seen) for f, (code, _, seen, _) in of.items()})
+    row = {f: decided_check(f, f"code_{code}", want, seen, similar, c("commodity")) for f, (code, want, seen, similar) in of.items()}
+    name, place = row["bottler_name"], row["bottler_address"]
+    row |= {"bottler_name": F.when(swap, place).otherwise(name), "bottler_address": F.when(swap, name).otherwise(place)}
+    rows = rows.withColumn("checks", F.array_compact(F.array(*row.values())))
     rows = settled(rows)
     container = quantities.minimum_type_mm(F.coalesce("exp_ml", "obs_ml"))
     rows = rows.withColumns({"verdict": verdict_of(c("checks")), "minimum_type_mm": container, "warning_misreads": F.col("differences.misread"), "warning_alterations": F.col("differences.altered")})

@@ -58,14 +58,12 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
         F.max("value_bool").alias("again_bold"),
     )
     asked = reviewed.withColumn("asked", requested_fields(F.col("checks"), F.col("verdict")))
-    joined = asked.join(clean, key, "left")
     got = F.map_filter(F.coalesce("again", F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains("asked", k))
-    # Read three times below: the review before it is worked out once.
-    joined = joined.withColumn("again", got).withColumn("again_bold", F.when(F.array_contains("asked", "warning_prefix_is_bold"), F.col("again_bold")))
-    joined = staged(joined, f"{shared_dir(reviewed.sparkSession)}/asked")
+    # Only rows that ask for something go whole to their readings; of the others the join carries what the caller reads.
+    answered = lambda rows, how: rows.join(clean, key, how).withColumn("again", got).withColumn("again_bold", F.when(F.array_contains("asked", "warning_prefix_is_bold"), F.col("again_bold")))
     some = (F.size("again") > 0) | F.col("again_bold").isNotNull()
     own = [c for c in reviewed.columns if c.startswith(("exp_", "obs_"))]
-    todo = joined.filter(some).withColumn("row_id", F.monotonically_increasing_id())
+    todo = staged(answered(asked.filter(F.size("asked") > 0), "inner").filter(some), f"{shared_dir(reviewed.sparkSession)}/asked")
     doubtful = F.transform(eligible(F.col("checks"), F.col("verdict")), lambda c: c["field"])
     todo = todo.withColumns({"before": F.col("checks"), "doubtful": doubtful})
     new = {col: F.coalesce(F.try_element_at("again", F.lit(f)), F.col(col)) for f, col in _COLUMN.items()}
@@ -92,7 +90,7 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
     back = [F.col(c) if c in own else F.col(f"was_{c}").alias(c) for c in first + own if c not in ("checks", "verdict")]
     changed = out.select(*back, F.col("merged").alias("checks"), engine.verdict_of(F.col("merged")).alias("verdict"), cleared.alias("cleared"), "adopted")
     none = F.array().cast("array<string>")
-    same = joined.filter(~some).select(*reviewed.columns, none.alias("cleared"), none.alias("adopted"))
+    same = answered(asked, "left").filter(~some).select(*reviewed.columns, none.alias("cleared"), none.alias("adopted"))
     return changed.unionByName(same)
 
 

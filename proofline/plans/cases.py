@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STATEMENT
+from ..operators import rules
 
 GOOD = {
     "exp_brand": "Old Tom Distillery", "exp_class": "Kentucky Straight Bourbon Whiskey", "exp_percent": 45.0, "exp_net": "750 mL",
@@ -85,7 +86,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "obs_bold": F.lit(True), "obs_small_type": F.lit(False), "obs_legibility": F.lit("read"), "obs_confidence": F.lit(None).cast("map<string,double>"),
         "obs_soft": F.lit(False), "obs_unread": F.lit(None).cast("array<string>"),
     })
+    cases = rules.application_parts(cases)
+    # Two numbers a row, dealt to all cores: a small file of orders would be one task, and the review is the work.
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % len(CASES)).cast("int").alias("k"))
+    orders = orders.repartition(8 * spark.sparkContext.defaultParallelism)
     return orders.join(F.broadcast(cases), "k").drop("k")  # a row a case
 
 
