@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, size: int, symbols: int) -> DataFrame:
 
 
 def keyed(classes: DataFrame, chunks: int, width: int) -> DataFrame:
-    """key, cid: each chunk of a signature with one of its symbols left out."""
+    """key, cid, n_cid (size of the class's set): each chunk of a signature with one of its symbols left out."""
 
     def run(batches):
         code = random_table(23, chunks * width)
@@ -116,39 +116,42 @@ def keyed(classes: DataFrame, chunks: int, width: int) -> DataFrame:
             part = mix((sig.astype(np.uint64) + np.uint64(1)) * code[None, :] ^ (code[None, :] >> np.uint64(7)))
             total = part.reshape(-1, chunks, width).sum(axis=2, dtype=np.uint64)
             keys = mix((np.repeat(total, width, axis=1) - part) ^ code[None, :])
-            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), chunks * width))], ["key", "cid"])
+            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), chunks * width)) for c in (0, 2))], ["key", "cid", "n_cid"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "key bigint, cid bigint")
+    return classes.select("cid", "sig", "n").mapInArrow(run, "key bigint, cid bigint, n_cid bigint")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of keys that two classes or more have: key, cid, hub (the key's least cid).
+    """Rows of keys that two classes or more have: key, cid, hub (the key's least cid), and n_cid, n_hub if the keys have n_cid.
 
     One shuffle; sorted rows stream by and nothing but the row before is held.
     """
 
     def run(batches):
         key = hub = held = None  # held: the first row of a key, until a second one comes
+        n_hub = [0] if sized else []
         for b in batches:
-            k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            k, c, *n = (x.to_numpy() for x in b.columns)
             if not len(k):
                 continue
             if held is not None:
-                k, c = np.concatenate([[key], k]), np.concatenate([[hub], c])
+                k, c, n = np.concatenate([[key], k]), np.concatenate([[hub], c]), [np.concatenate([[m], x]) for m, x in zip(n_hub, n)]
             first = np.concatenate([[True], k[1:] != k[:-1]])
             if held is None and key is not None:
                 first[0] = k[0] != key
             start = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
             head = np.where(start >= 0, c[np.maximum(start, 0)], hub if hub is not None else 0)
+            n_head = [np.where(start >= 0, x[np.maximum(start, 0)], m) for m, x in zip(n_hub, n)]
             alone = first.copy()
             alone[:-1] &= first[1:]
             held = True if alone[-1] else None  # may still get company
             keep = ~alone
-            key, hub = int(k[-1]), int(head[-1])
-            yield pa.record_batch([pa.array(k[keep]), pa.array(c[keep]), pa.array(head[keep])], ["key", "cid", "hub"])
+            key, hub, n_hub = int(k[-1]), int(head[-1]), [int(x[-1]) for x in n_head]
+            yield pa.record_batch([pa.array(x[keep]) for x in (k, c, head, *n, *n_head)], names)
 
-    dealt = keys.repartition(tasks(keys), "key").sortWithinPartitions("key", "cid")
-    return dealt.mapInArrow(run, "key bigint, cid bigint, hub bigint")
+    names = ["key", "cid", "hub", *(("n_cid", "n_hub") if (sized := "n_cid" in keys.columns) else ())]
+    dealt = keys.select("key", "cid", *(["n_cid"] if sized else [])).repartition(tasks(keys), "key").sortWithinPartitions("key", "cid")
+    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def able_to_link(active: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -248,7 +251,7 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, rounds: int = 2) ->
     sizes = classes.select("cid", "n")
 
     tested = links = None
-    active = shared.select("key", "cid", F.col("cid").alias("comp"), "hub")
+    active = shared.select("key", "cid", "n_cid", F.col("cid").alias("comp"), "hub", "n_hub")
     for turn in range(rounds + 1):
         if turn == rounds:  # all that is left
             able = stage(able_to_link(active, texts, sizes, size, percent), f"{folder}/able")
@@ -259,9 +262,8 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, rounds: int = 2) ->
             near = (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
             pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & near).select("a", "b").distinct()
         else:
-            pairs = active.filter("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-            ns = lambda c: sizes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"))
-            pairs = pairs.join(ns("a"), "a").join(ns("b"), "b").filter((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).select("a", "b")
+            alike = (F.col("n_cid") * 100 >= F.col("n_hub") * percent) & (F.col("n_hub") * 100 >= F.col("n_cid") * percent)  # sizes come with the rows: no pair is made that they rule out
+            pairs = active.filter("cid != hub").filter(alike).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, f"{folder}/pairs{turn}")
@@ -272,13 +274,13 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, rounds: int = 2) ->
         if turn == rounds:
             break
         # Keys whose classes are in several components go on, with another hub.
-        now = active.select("key", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        now = active.select("key", "cid", "n_cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n_cid", F.coalesce("comp", "cid").alias("comp"))
         now = stage(now, f"{folder}/now{turn}")
-        draw = F.struct(F.xxhash64(F.lit(turn), "key", "cid").alias("h"), F.col("cid"), F.col("comp"))
+        draw = F.struct(F.xxhash64(F.lit(turn), "key", "cid").alias("h"), F.col("cid"), F.col("comp"), F.col("n_cid"))
         split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(draw).alias("draw"), F.count("*").alias("n")).filter("lo != hi")
-        split = stage(split.select("key", F.col("draw.cid").alias("hub"), F.col("draw.comp").alias("hub_comp"), "n"), f"{folder}/split{turn}")
+        split = stage(split.select("key", F.col("draw.cid").alias("hub"), F.col("draw.comp").alias("hub_comp"), F.col("draw.n_cid").alias("hub_size"), "n"), f"{folder}/split{turn}")
         large = [r["key"] for r in split.filter((F.col("n") > FEW) & (F.col("n") * HOT > now.count())).collect()]  # HOT at most
-        active = stage(by_key(now, split.drop("n"), "key", hot=large).select("key", "cid", "comp", F.when(F.col("comp") != F.col("hub_comp"), F.col("hub")).otherwise(F.col("cid")).alias("hub")), f"{folder}/active{turn}")
+        active = stage(by_key(now, split.drop("n"), "key", hot=large).select("key", "cid", "n_cid", "comp", *(F.when(F.col("comp") != F.col("hub_comp"), F.col(there)).otherwise(F.col(own)).alias(c) for c, there, own in (("hub", "hub", "cid"), ("n_hub", "hub_size", "n_cid")))), f"{folder}/active{turn}")
         if not active.head(1):
             break
     of_class = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("digest", "least", F.coalesce("comp", "cid").alias("comp"))

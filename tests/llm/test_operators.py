@@ -477,3 +477,18 @@ def test_chat_parts(spark):
     assert "~3image:1~4~3audio:2~4~3document:3~4" in got[1].formatted and "look ~03image:1~04 " in got[1].formatted
     assert [(a.kind, a.ref, a.tokens) for a in got[1].attachments] == [("image", "s3://i.png", 768), ("audio", "a.wav", 250), ("document", "d.pdf", 512)]
     assert got[1].attachment_tokens == 768 + 250 + 512 and got[2].attachments == []
+
+
+def test_shared_keys_bring_the_sizes(spark):
+    """Each row has its class's size and the hub's, over batches of two rows; so no pair is joined with sizes. Keys without sizes go as before."""
+    rows = [(k, c, 100 * c + k) for k in range(12) for c in range(k, k + k % 5 + 1)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        keys = spark.createDataFrame(rows, "key bigint, cid bigint, n_cid bigint")
+        got = sorted(map(tuple, near_dups.shared_keys(keys).collect()))
+        bare = sorted(map(tuple, near_dups.shared_keys(keys.drop("n_cid")).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = [(k, c, k, n, 101 * k) for k, c, n in rows if k % 5]
+    assert got == want and bare == [w[:3] for w in want]
