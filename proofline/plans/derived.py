@@ -122,7 +122,10 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, OBSERVATIONS, "lineitem", "part", "supplier", "nation")
+    """The derivation, with the applications as a frame, so that the join can be told to hold them and let the line items stream by unsorted."""
+    apps = applications(spark, sf_dir).hint("shuffle_hash")
+    lines = tables(spark, sf_dir, "lineitem")["lineitem"]
+    return spark.sql(_swap(OBSERVATIONS.replace(f"({APPLICATIONS})", "{apps}"), "lineitem"), lineitem=lines, apps=apps)
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

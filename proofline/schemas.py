@@ -38,13 +38,14 @@ def conformed(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*own, *(c for c in df.columns if c not in want.names))
 
 
-def joined(applications: DataFrame, observations: DataFrame, how: str = "inner") -> DataFrame:
+def joined(applications: DataFrame, observations: DataFrame, how: str = "inner", hint: str | None = None) -> DataFrame:
     """One wide row for each reading of an application.
 
     Rows without an id carry the id UNSPECIFIED: no application is meant by it, so
     such rows are left out before the join and cannot become a hot key. Columns of
     applications named ``exp_*`` come along: what is parsed of an application is parsed
-    once, before the join.
+    once, before the join. hint: how Spark is to join them, the applications being the
+    smaller side; it decides unless given.
     """
     a = conformed(applications, APPLICATION).filter(F.col("cola_id") != UNSPECIFIED)
     o = conformed(observations, OBSERVATION).filter(F.col("cola_id") != UNSPECIFIED)
@@ -52,7 +53,7 @@ def joined(applications: DataFrame, observations: DataFrame, how: str = "inner")
     extra = [c for c in o.columns if c not in OBSERVED and c not in ("cola_id", "notes", "field_boxes")]
     legible = F.coalesce("warning_legibility", F.when(F.coalesce(F.col("warning_text"), F.lit("")) != "", "read").otherwise("absent"))
     obs = o.withColumn("warning_legibility", legible).select("cola_id", *(F.col(k).alias(f"obs_{v}") for k, v in OBSERVED.items()), *extra)
-    return exp.join(obs, "cola_id", how)
+    return (exp.hint(hint) if hint else exp).join(obs, "cola_id", how)
 
 
 def shared_dir(spark: SparkSession) -> str:
