@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import citations, quantities, text
+from ..schemas import staged
 from . import rules
 
 REGULATION = ("alcohol_format", "proof_consistency", "government_warning", "warning_typography")
@@ -178,9 +179,8 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("row")).select("row.*")
 
 
-def review(rows: DataFrame) -> DataFrame:
-    """Joined rows (``exp_*``, ``obs_*``) with brand, klass, how, commodity, checks and verdict."""
-    keep = rows.columns
+def coded(rows: DataFrame) -> DataFrame:
+    """Joined rows (``exp_*``, ``obs_*``) with brand, klass, how, commodity, scores and the code of each rule."""
     rows = settled(rules.scored(settled(rules.brand_and_class(rules.application_parts(rows)))))
     rows = rows.withColumns({"commodity": F.coalesce("exp_kind", citations.commodity_of(F.col("klass"))), "obs_ml": quantities.volume_ml(F.col("obs_net"))})
     rows = settled(rules.warning_parts(rules.alcohol_parts(settled(rows))))
@@ -189,33 +189,121 @@ def review(rows: DataFrame) -> DataFrame:
         "net": rules.net_code, "bottler": rules.bottler_code, "address": rules.address_code, "country": rules.country_code,
         "warning": rules.warning_code, "type": rules.type_code,
     }
-    rows = settled(rows.withColumns({f"code_{n}": f() for n, f in codes.items()}))
-    c, s = F.col, F.col("score")
+    return settled(rows.withColumns({f"code_{n}": f() for n, f in codes.items()}))
+
+
+def observed_values() -> dict[str, Column]:
+    """What the checklist row of a code shows as observed."""
+    c = F.col
     given = lambda name: F.when(c(name) != "", c(name))
+    own = {"brand": F.when(c("how") != "unread", given("brand")), "class": given("klass"), "warning": c("said"), **{n: c("obs_alcohol") for n in ("alcohol", "format", "proof")}}
+    return own | {n: given(f"obs_{n}") for n in ("net", "bottler", "address", "country")}
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Coded rows with checks and verdict."""
+    c, s, seen = F.col, F.col("score"), observed_values()
     percent = F.when(c("exp_percent").isNotNull(), F.concat(c("exp_percent").cast("string"), F.lit("% Alc./Vol.")))
     # Rows for fields the application leaves out come before compared ones.
     rows = rows.withColumns({"code_bottler": F.coalesce("code_bottler", F.lit("not_provided")), "code_address": F.coalesce("code_address", F.lit("not_provided"))})
     swap = (c("code_address") == "not_provided") & (c("code_bottler") != "not_provided")
-    #: field: (code, expected, observed, similarity)
+    #: field: (code, expected, similarity)
     of = {
-        "brand_name": ("brand", c("exp_brand"), F.when(c("how") != "unread", given("brand")), s["brand"]),
-        "class_type": ("class", c("exp_class"), given("klass"), s["klass"]),
-        "alcohol_content": ("alcohol", percent, c("obs_alcohol"), None),
-        "alcohol_format": ("format", None, c("obs_alcohol"), None),
-        "proof_consistency": ("proof", None, c("obs_alcohol"), None),
-        "net_contents": ("net", c("exp_net"), given("obs_net"), None),
-        "bottler_name": ("bottler", c("exp_bottler"), given("obs_bottler"), s["maker"]),
-        "bottler_address": ("address", c("exp_address"), given("obs_address"), s["address"]),
-        "country_of_origin": ("country", c("exp_country"), given("obs_country"), s["country"]),
-        "government_warning": ("warning", F.lit(text.STATEMENT), c("said"), None),
-        "warning_typography": ("type", None, None, None),
+        "brand_name": ("brand", c("exp_brand"), s["brand"]),
+        "class_type": ("class", c("exp_class"), s["klass"]),
+        "alcohol_content": ("alcohol", percent, None),
+        "alcohol_format": ("format", None, None),
+        "proof_consistency": ("proof", None, None),
+        "net_contents": ("net", c("exp_net"), None),
+        "bottler_name": ("bottler", c("exp_bottler"), s["maker"]),
+        "bottler_address": ("address", c("exp_address"), s["address"]),
+        "country_of_origin": ("country", c("exp_country"), s["country"]),
+        "government_warning": ("warning", F.lit(text.STATEMENT), None),
+        "warning_typography": ("type", None, None),
     }
-    rows = softened(rows, {f: (f"code_{code}", seen) for f, (code, _, seen, _) in of.items()})
-    row = {f: decided_check(f, f"code_{code}", want, seen, similar, c("commodity")) for f, (code, want, seen, similar) in of.items()}
+    rows = softened(rows, {f: (f"code_{code}", seen.get(code)) for f, (code, _, _) in of.items()})
+    row = {f: decided_check(f, f"code_{code}", want, seen.get(code), similar, c("commodity")) for f, (code, want, similar) in of.items()}
     name, place = row["bottler_name"], row["bottler_address"]
     row |= {"bottler_name": F.when(swap, place).otherwise(name), "bottler_address": F.when(swap, name).otherwise(place)}
-    rows = rows.withColumn("checks", F.array_compact(F.array(*row.values())))
-    rows = settled(rows)
+    rows = settled(rows.withColumn("checks", F.array_compact(F.array(*row.values()))))
+    return rows.withColumn("verdict", verdict_of(c("checks")))
+
+
+def review(rows: DataFrame) -> DataFrame:
+    """Joined rows (``exp_*``, ``obs_*``) with brand, klass, how, commodity, checks and verdict."""
+    keep = rows.columns
+    rows = checked(coded(rows))
     container = quantities.minimum_type_mm(F.coalesce("exp_ml", "obs_ml"))
-    rows = rows.withColumns({"verdict": verdict_of(c("checks")), "minimum_type_mm": container, "warning_misreads": F.col("differences.misread"), "warning_alterations": F.col("differences.altered")})
+    rows = rows.withColumns({"minimum_type_mm": container, "warning_misreads": F.col("differences.misread"), "warning_alterations": F.col("differences.altered")})
     return rows.select(*keep, "brand", "klass", "how", "commodity", "checks", "verdict", "minimum_type_mm", "warning_alterations", "warning_misreads")
+
+
+#: What codes follow from: the columns that their rules look at, the codes, and whether the commodity counts as well.
+LOOKS = {
+    "names": (("exp_brand", "exp_class", "obs_brand", "obs_class", "obs_class_next"), ("brand", "class"), False),
+    "alcohol": (("exp_percent", "obs_alcohol"), ("alcohol", "format", "proof"), True),
+    "net": (("exp_net", "obs_net"), ("net",), True),
+    "maker": (("exp_bottler", "exp_address", "obs_bottler", "obs_address"), ("bottler", "address"), False),
+    "country": (("exp_country", "obs_country"), ("country",), False),
+    "warning": (("obs_warning", "obs_legibility", "obs_unsure"), ("warning",), False),
+}
+#: All that verdicts, and checklist rows without their texts and numbers, follow from.
+ALIKE = (*(f"code_{c}" for _, codes, _ in LOOKS.values() for c in codes), *(f"seen_{c}" for _, codes, _ in LOOKS.values() for c in codes), "code_type", "commodity", "illegible", "soft", "unread", "low")
+
+
+def looked_at(rows: DataFrame, *keep: str) -> DataFrame:
+    """Joined rows with what the rules look at and the columns ``keep``, for ``by_looks``: all else goes."""
+    low = F.map_keys(F.map_filter("obs_confidence", lambda k, v: v < LEAST_CONFIDENCE))
+    flags = {
+        "code_type": rules.type_code(), "illegible": rules.yes(F.col("obs_legibility") == "illegible"), "soft": rules.yes(F.col("obs_soft")),
+        "unread": rules.yes(F.size("obs_unread") > 0), "low": F.coalesce(F.array_join(F.array_sort(low), ","), F.lit("")),
+    }
+    return rows.select(*keep, *(c for columns, _, _ in LOOKS.values() for c in columns), *(c.alias(n) for n, c in flags.items()))
+
+
+def by_looks(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows of ``looked_at`` with the columns ``ALIKE``: a rule runs once for all rows that are the same to it.
+
+    rows are read seven times, so they should lie in a table. The different looks are written
+    below ``folder``; Spark sends them to the tasks while they are few, else it deals them out.
+    """
+    any_kind = F.explode(F.array(*(F.lit(k) for k in citations.WORDS), F.lit(None).cast("string")))
+    looks = []
+    for name, (columns, _, by_kind) in LOOKS.items():
+        one = rows.select(*columns).distinct()
+        looks.append((one.withColumn("kind", any_kind) if by_kind else one).withColumn("look", F.lit(name)))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), looks)
+    kind = F.coalesce("kind", citations.commodity_of(F.col("exp_class")))
+    every = every.withColumns({"exp_kind": kind, "obs_small_type": F.lit(None).cast("boolean"), "obs_bold": F.lit(None).cast("boolean")})
+    done = coded(every).withColumns({f"seen_{n}": v.isNotNull() for n, v in observed_values().items()})
+    known = done.select("look", "kind", "commodity", *dict.fromkeys(c for columns, _, _ in LOOKS.values() for c in columns), *(a for a in ALIKE if a.startswith(("code_", "seen_")) and a != "code_type"))
+    known.write.partitionBy("look").parquet(folder)
+    known = rows.sparkSession.read.schema(known.schema).parquet(folder)
+    for name, (columns, codes, by_kind) in LOOKS.items():
+        new = [*(f"code_{c}" for c in codes), *(f"seen_{c}" for c in codes), *(["commodity"] if name == "names" else [])]
+        one = known.filter(F.col("look") == name).select(*(F.col(c).alias(f"look_{c}") for c in columns), *(["kind"] if by_kind else []), *new)
+        same = [F.col(c).eqNullSafe(F.col(f"look_{c}")) for c in columns] + ([F.col("commodity").eqNullSafe(F.col("kind"))] if by_kind else [])
+        rows = rows.join(one, reduce(lambda a, b: a & b, same)).drop(*(f"look_{c}" for c in columns), "kind")
+    return rows
+
+
+def checked_alike(rows: DataFrame) -> DataFrame:
+    """Rows with the columns ``ALIKE`` as ``checked`` makes them; texts, similarities and confidences of checklist rows are not the label's own."""
+    none = lambda kind: F.lit(None).cast(kind)
+    read = {"brand": "brand", "klass": "class", "said": "warning", **{f"obs_{n}": n for n in ("alcohol", "net", "bottler", "address", "country")}}
+    own = {c: F.when(F.col(f"seen_{n}"), "read") for c, n in read.items()}
+    low = F.filter(F.split("low", ","), lambda f: f != "")
+    own |= {f"exp_{n}": none("double" if n == "percent" else "string") for n in ("brand", "class", "percent", "net", "bottler", "address", "country")}
+    own |= {
+        "how": F.lit(""), "score": F.struct(*(none("double").alias(n) for n in ("brand", "klass", "maker", "address", "country"))), "obs_soft": F.col("soft"), "obs_unread": F.when(F.col("unread"), F.array(F.lit("read"))),
+        "obs_legibility": F.when(F.col("illegible"), "illegible"), "obs_confidence": F.map_from_arrays(low, F.transform(low, lambda f: F.lit(0.0))),
+    }
+    kept = rows.columns
+    return checked(rows.withColumns(own)).select(*kept, "checks", "verdict")
+
+
+def review_counts(rows: DataFrame, folder: str) -> DataFrame:
+    """Joined rows counted by what their review gives: checks (as ``checked_alike``), verdict, commodity, n."""
+    rows = staged(looked_at(rows), f"{folder}/rows")
+    counts = by_looks(rows, f"{folder}/looks").groupBy(*ALIKE).agg(F.count("*").alias("n"))
+    return checked_alike(staged(counts, f"{folder}/counts")).select("commodity", "checks", "verdict", "n")

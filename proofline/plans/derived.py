@@ -121,11 +121,18 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, APPLICATIONS, "part", "supplier", "nation")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derivation, with the applications as a frame, so that the join can be told to hold them and let the line items stream by unsorted."""
+def observations(spark: SparkSession, sf_dir: str, dealt_by_id: bool = False) -> DataFrame:
+    """The derivation, with the applications as a frame, so that the join can be told to hold them and let the line items stream by unsorted.
+
+    dealt_by_id: they meet by ``cola_id``, which is the part's key as text, so a join of the
+    readings by it deals out nothing again; both sides' applications are then held at once.
+    """
     apps = applications(spark, sf_dir).hint("shuffle_hash")
     lines = tables(spark, sf_dir, "lineitem")["lineitem"]
-    return spark.sql(_swap(OBSERVATIONS.replace(f"({APPLICATIONS})", "{apps}"), "lineitem"), lineitem=lines, apps=apps)
+    sql = _swap(OBSERVATIONS.replace(f"({APPLICATIONS})", "{apps}"), "lineitem")
+    if dealt_by_id:
+        sql = sql.replace("ON a.k = l_partkey", "ON a.cola_id = CAST(l_partkey AS STRING)")
+    return spark.sql(sql, lineitem=lines, apps=apps)
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
