@@ -261,25 +261,28 @@ def looked_at(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, *(c for columns, _, _ in LOOKS.values() for c in columns), *(c.alias(n) for n, c in flags.items()))
 
 
-def by_looks(rows: DataFrame, folder: str) -> DataFrame:
+def by_looks(rows: DataFrame, folder: str, but: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``looked_at`` with the columns ``ALIKE``: a rule runs once for all rows that are the same to it.
 
     rows are read seven times, so they should lie in a table. The different looks are written
     below ``folder``; Spark sends them to the tasks while they are few, else it deals them out.
+    but: looks whose codes the rows have already, instead of the columns.
     """
+    asked = {name: look for name, look in LOOKS.items() if name not in but}
     any_kind = F.explode(F.array(*(F.lit(k) for k in citations.WORDS), F.lit(None).cast("string")))
     looks = []
-    for name, (columns, _, by_kind) in LOOKS.items():
+    for name, (columns, _, by_kind) in asked.items():
         one = rows.select(*columns).distinct()
         looks.append((one.withColumn("kind", any_kind) if by_kind else one).withColumn("look", F.lit(name)))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), looks)
     kind = F.coalesce("kind", citations.commodity_of(F.col("exp_class")))
     every = every.withColumns({"exp_kind": kind, "obs_small_type": F.lit(None).cast("boolean"), "obs_bold": F.lit(None).cast("boolean")})
+    every = every.withColumns({c: F.lit(None).cast("array<string>" if c == "obs_unsure" else "string") for name in but for c in LOOKS[name][0]})
     done = coded(every).withColumns({f"seen_{n}": v.isNotNull() for n, v in observed_values().items()})
     known = done.select("look", "kind", "commodity", *dict.fromkeys(c for columns, _, _ in LOOKS.values() for c in columns), *(a for a in ALIKE if a.startswith(("code_", "seen_")) and a != "code_type"))
     known.write.partitionBy("look").parquet(folder)
     known = rows.sparkSession.read.schema(known.schema).parquet(folder)
-    for name, (columns, codes, by_kind) in LOOKS.items():
+    for name, (columns, codes, by_kind) in asked.items():
         new = [*(f"code_{c}" for c in codes), *(f"seen_{c}" for c in codes), *(["commodity"] if name == "names" else [])]
         one = known.filter(F.col("look") == name).select(*(F.col(c).alias(f"look_{c}") for c in columns), *(["kind"] if by_kind else []), *new)
         same = [F.col(c).eqNullSafe(F.col(f"look_{c}")) for c in columns] + ([F.col("commodity").eqNullSafe(F.col("kind"))] if by_kind else [])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
 from ..schemas import shared_dir, staged
 from . import engine
+from .rules import type_code
 
 # The observation that each checklist row is computed from; the warning's wording is never read again.
 ROW_FIELD = {
@@ -53,10 +56,7 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
     of the field gets worse; a label never becomes rejected by it. Only referred
     labels with a reading go through the rules again.
     """
-    clean = sanitized(readings).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("field", "value")))).alias("again"),
-        F.max("value_bool").alias("again_bold"),
-    )
+    clean = _clean(readings, key)
     asked = reviewed.withColumn("asked", requested_fields(F.col("checks"), F.col("verdict")))
     got = F.map_filter(F.coalesce("again", F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains("asked", k))
     # Only rows that ask for something go whole to their readings; of the others the join carries what the caller reads.
@@ -72,13 +72,23 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
     kept = todo.select(*(F.col(c) if c in own else F.col(c).alias(f"was_{c}") for c in reviewed.columns), "before", "doubtful", "again", "again_bold")
     again = engine.review(kept.withColumns(new))
     fields = F.concat(F.map_keys("again"), F.when(F.col("again_bold").isNotNull(), F.array(F.lit("warning_prefix_is_bold"))).otherwise(F.array().cast("array<string>")))
+    out, cleared = _adopted(again.withColumn("fields", fields))
+    back = [F.col(c) if c in own else F.col(f"was_{c}").alias(c) for c in first + own if c not in ("checks", "verdict")]
+    changed = out.select(*back, F.col("merged").alias("checks"), engine.verdict_of(F.col("merged")).alias("verdict"), cleared.alias("cleared"), "adopted")
+    none = F.array().cast("array<string>")
+    same = answered(asked, "left").filter(~some).select(*reviewed.columns, none.alias("cleared"), none.alias("adopted"))
+    return changed.unionByName(same)
+
+
+def _adopted(again: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with ``before``, ``doubtful``, ``fields`` read again and the ``checks`` they give: with ``adopted`` and ``merged``; and the cleared fields."""
     find = lambda rows, f: F.try_element_at(F.filter(rows, lambda c: c["field"] == f), F.lit(1))
 
     def holds(f: Column) -> Column:
         rows = F.filter("before", lambda b: (row_field(b["field"]) == f) & F.exists("checks", lambda c: c["field"] == b["field"]))
         return F.forall(rows, lambda b: (rank(find("checks", b["field"])["verdict"]) <= rank(b["verdict"])) & (~F.array_contains("doubtful", b["field"]) | (find("checks", b["field"])["verdict"] == "pass")))
 
-    again = engine.settled(again.withColumn("adopted", F.array_sort(F.filter(fields, holds))))
+    again = engine.settled(again.withColumn("adopted", F.array_sort(F.filter("fields", holds))))
 
     def merged(b: Column) -> Column:
         new_row = find("checks", b["field"])
@@ -86,12 +96,49 @@ def apply(reviewed: DataFrame, readings: DataFrame, key: str = "digest") -> Data
         return F.when(use, engine.updated(new_row, source=F.lit("second_reading"), read_uncertain=F.lit(False))).otherwise(b)
 
     out = engine.settled(again.withColumn("merged", F.transform("before", merged)))
-    cleared = F.transform(F.filter("merged", lambda c: (c["source"] == "second_reading") & (c["verdict"] == "pass") & F.exists("before", lambda b: (b["field"] == c["field"]) & (b["verdict"] != "pass"))), lambda c: c["field"])
-    back = [F.col(c) if c in own else F.col(f"was_{c}").alias(c) for c in first + own if c not in ("checks", "verdict")]
-    changed = out.select(*back, F.col("merged").alias("checks"), engine.verdict_of(F.col("merged")).alias("verdict"), cleared.alias("cleared"), "adopted")
+    return out, F.transform(F.filter("merged", lambda c: (c["source"] == "second_reading") & (c["verdict"] == "pass") & F.exists("before", lambda b: (b["field"] == c["field"]) & (b["verdict"] != "pass"))), lambda c: c["field"])
+
+
+def apply_counts(rows: DataFrame, readings: DataFrame, folder: str, key: str = "digest") -> DataFrame:
+    """Joined rows (``exp_*``, ``obs_*``) reviewed and read again as ``apply`` does, counted: was, verdict, cleared, adopted, n.
+
+    A rule runs once for labels that are the same to it (``engine.by_looks``). A label's
+    checklist follows from what it shares with others, so no row carries one: to its readings
+    a label takes what the rules look at, without the statement, which is never read again.
+    """
     none = F.array().cast("array<string>")
-    same = answered(asked, "left").filter(~some).select(*reviewed.columns, none.alias("cleared"), none.alias("adopted"))
-    return changed.unionByName(same)
+    texts = [c for name, (columns, _, _) in engine.LOOKS.items() if name != "warning" for c in columns]
+    flags = ["code_warning", "seen_warning", "illegible", "soft", "unread"]
+    rows = staged(engine.looked_at(rows, key, "obs_bold", "obs_small_type"), f"{folder}/rows")
+    first = engine.by_looks(rows, f"{folder}/looks")
+    alike = engine.checked_alike(staged(first.groupBy(*engine.ALIKE).agg(F.count("*").alias("n")), f"{folder}/counts"))
+    doubtful = F.transform(eligible(F.col("checks"), F.col("verdict")), lambda c: c["field"])
+    alike = alike.withColumns({"asked": requested_fields(F.col("checks"), F.col("verdict")), "doubtful": doubtful, "label": F.monotonically_increasing_id()})
+    alike = staged(alike.withColumnRenamed("checks", "before"), f"{folder}/alike")
+    asks = alike.filter(F.size("asked") > 0).select(*(F.col(c).alias(f"as_{c}") for c in engine.ALIKE), "label", "asked", "doubtful")
+    asking = first.join(asks, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"as_{c}")) for c in engine.ALIKE)))
+    asking = asking.select(key, "label", "asked", "doubtful", "low", "obs_bold", "obs_small_type", *flags, *texts).join(_clean(readings, key), key)
+    again = F.map_filter("again", lambda k, v: F.array_contains("asked", k))
+    asking = asking.withColumns({"again": again, "again_bold": F.when(F.array_contains("asked", "warning_prefix_is_bold"), F.col("again_bold"))})
+    asking = asking.withColumn("fields", F.array_sort(F.concat(F.map_keys("again"), F.when(F.col("again_bold").isNotNull(), F.array(F.lit("warning_prefix_is_bold"))).otherwise(none)))).filter(F.size("fields") > 0)
+    new = {col: F.coalesce(F.try_element_at("again", F.lit(f)), F.col(col)) for f, col in _COLUMN.items()}
+    new |= {"obs_bold": F.coalesce("again_bold", "obs_bold"), "low": F.array_join(F.array_except(F.split("low", ","), "doubtful"), ",")}
+    second = asking.withColumns(new).withColumn("code_type", type_code()).select("label", "fields", "low", "code_type", *flags, *texts)
+    second = engine.by_looks(staged(second, f"{folder}/asked"), f"{folder}/looks_again", but=("warning",))
+    second = staged(second.groupBy("label", "fields", *engine.ALIKE).agg(F.count("*").alias("n")), f"{folder}/counts_again")
+    known = alike.select("label", F.col("verdict").alias("was"), "before", "doubtful")
+    out, cleared = _adopted(engine.checked_alike(second).drop("verdict").join(known, "label"))
+    changed = out.select("was", engine.verdict_of(F.col("merged")).alias("verdict"), cleared.alias("cleared"), "adopted", "n")
+    left = alike.join(second.groupBy("label").agg(F.sum("n").alias("read")), "label", "left").withColumn("n", F.col("n") - F.coalesce("read", F.lit(0)))
+    return changed.unionByName(left.filter("n > 0").select(F.col("verdict").alias("was"), "verdict", none.alias("cleared"), none.alias("adopted"), "n"))
+
+
+def _clean(readings: DataFrame, key: str) -> DataFrame:
+    """One row a key: the readings by field as ``again``, the one of the heading's weight as ``again_bold``."""
+    return sanitized(readings).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("field", "value")))).alias("again"),
+        F.max("value_bool").alias("again_bold"),
+    )
 
 
 def daily_cap(requests: DataFrame, limit: int, paid_before: DataFrame | None = None, spent: DataFrame | None = None) -> DataFrame:
